@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries. Each has QUERIES and ORACLES.
-MODULES = ("exact_dedup", "bpe")
+MODULES = ("url_filter", "bpe", "exact_dedup")
 
 
 def queries() -> dict:
