@@ -180,15 +180,17 @@ def _missed(bucketed: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     order = Window.partitionBy("node").orderBy("count", "token")
     # Two sets of that similarity share a shingle among the first n - ceil(n * percent / 100) + 1 of any common order.
     kept = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    prefix = tokens.join(seen, "token").withColumn("at", F.row_number().over(order)).where((F.col("at") <= kept) & (F.col("count") > 1))
-    prefix = materialize(prefix.select("token", "node", "component", "n"), "prefix")
+    prefix = tokens.join(seen, "token").withColumns({"at": F.row_number().over(order), "m": F.count_if(F.col("count") > 1).over(Window.partitionBy("node"))})
+    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "m"), "prefix")
     by = prefix.groupBy("token", "component").count()
     by = by.groupBy("token").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("components")).where("components > 1").select("token", "largest")
     # Within a token's rows, only those outside its largest component look for partners: the largest is one component already.
-    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"))
+    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
     fits = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # A pair shares at most the shingles that either has in common with any member, and needs (n_a + n_b) s / (1 + s).
+    fits = fits & ((100 + percent) * F.least("m_a", "m_b") >= percent * (F.col("n_a") + F.col("n_b")))
     return left.join(right, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
