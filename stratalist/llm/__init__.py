@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries. Each has QUERIES and ORACLES.
-MODULES = ("url_filter", "bpe", "quality", "near_dedup", "media", "exact_dedup")
+MODULES = ("url_filter", "bpe", "mixing", "quality", "near_dedup", "media", "exact_dedup", "pii")
 
 
 def queries() -> dict:
