@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Word lists, patterns and weights that decide which titles and companies count as equal.
 COMPANY_SUFFIXES = (
@@ -55,7 +56,7 @@ GENERIC_WEIGHT = 0.35
 SHINGLE_WORDS, SHINGLE_LIMIT = 5, 150
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
