@@ -181,16 +181,20 @@ def _missed(bucketed: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     # Two sets of that similarity share a shingle among the first n - ceil(n * percent / 100) + 1 of any common order.
     kept = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     prefix = tokens.join(seen, "token").withColumns({"at": F.row_number().over(order), "m": F.count_if(F.col("count") > 1).over(Window.partitionBy("node"))})
-    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "m"), "prefix")
+    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "m", "at"), "prefix")
     by = prefix.groupBy("token", "component").count()
     by = by.groupBy("token").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("components")).where("components > 1").select("token", "largest")
     # Within a token's rows, only those outside its largest component look for partners: the largest is one component already.
-    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"))
-    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
+    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("at").alias("at_a"))
+    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("at").alias("at_b"))
     fits = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     # A pair shares at most the shingles that either has in common with any member, and needs (n_a + n_b) s / (1 + s).
     fits = fits & ((100 + percent) * F.least("m_a", "m_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    # Of the smaller set the first n - ceil(2 n s / (1 + s)) + 1 are enough, as the other is at least as large.
+    short = lambda n: n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    fits = fits & F.when(smaller, F.col("at_a") <= short(F.col("n_a"))).otherwise(F.col("at_b") <= short(F.col("n_b")))
     return left.join(right, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -213,8 +217,12 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
     sets = materialize(_sets(texts.join(members, "doc_id").select(F.col("doc_id").alias("node"), "text"), k), "sets")
     links = connected_components(_confirmed(best, sets, percent))
     more = _confirmed(_estimated(_missed(bucketed, links, sets, percent), sketches, percent), sets, percent)
-    edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    component = connected_components(edges)
+    # What the second pass found links whole components: one edge for each two of them.
+    for side in ("a", "b"):
+        more = more.join(links.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    merged = connected_components(more.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).distinct())
+    component = nodes.select("node").join(links, "node", "left").select("node", F.coalesce("component", "node").alias("first"))
+    component = component.join(merged.select(F.col("node").alias("first"), F.col("component").alias("last")), "first", "left").select("node", F.coalesce("last", "first").alias("component"))
     by_seq = nodes.select("seq", "node").join(component, "node", "left").select("seq", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "seq", "n").join(by_seq, "seq", "left")
     found = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
