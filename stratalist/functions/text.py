@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,6 +62,11 @@ def _without_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_array(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
@@ -150,12 +156,18 @@ def discriminators(normalized: Column) -> Column:
 
 def shingles(normalized: Column, size: int = SHINGLE_WORDS, limit: int = SHINGLE_LIMIT) -> Column:
     """Distinct word shingles, sorted; of more than ``limit`` those with the smallest MD5."""
-    w = F.filter(F.split(normalized, " "), lambda x: x != "")
-    at = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " ")))
-    by_hash = F.slice(F.array_sort(F.transform(grams, lambda g: F.struct(F.md5(g).alias("h"), g.alias("g")))), 1, limit)
-    kept = F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(grams) <= limit, grams).otherwise(F.transform(by_hash, lambda s: s["g"]))
-    return F.array_sort(kept)
+    empty = F.array().cast("array<string>")
+
+    def of_words(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1)))
+        grams = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " ")))
+        return F.when(F.size(w) == 0, empty).otherwise(let(grams, of_grams))
+
+    def of_grams(grams: Column) -> Column:
+        by_hash = F.slice(F.array_sort(F.transform(grams, lambda g: F.struct(F.md5(g).alias("h"), g.alias("g")))), 1, limit)
+        return F.array_sort(F.when(F.size(grams) <= limit, grams).otherwise(F.transform(by_hash, lambda x: x["g"])))
+
+    return let(F.filter(F.split(normalized, " "), lambda x: x != ""), of_words)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words_array
+from .text import let, words_array
 
 # Parameters and hosts that decide which urls are one posting.
 TRACKING_PARAMS = (
@@ -61,18 +61,21 @@ def _parameters(query: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("key"), _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
 
 
-def unwrap_redirect(url: Column) -> Column:
-    """The destination that a wrapper url carries in its query, up to four hops deep."""
-    for _ in range(REDIRECT_HOPS):
-        found, host = _parameters(_part(url, 3)), F.lower(_part(url, 1))
-        targets = []
+def _one_hop(url: Column) -> Column:
+    def target(found: Column, host: Column) -> Column:
+        out = []
         for name in REDIRECT_PARAMS:
-            own = F.filter(found, _named(name))
-            value = _decoded(F.element_at(F.transform(own, lambda p: p["value"]), -1))
+            value = _decoded(F.get(F.transform(F.filter(found, _named(name)), lambda p: p["value"]), F.lit(0)))
             elsewhere = host.isin(REDIRECT_HOSTS) | (F.lower(_part(value, 1)) != host)
-            targets.append(F.when((F.size(own) > 0) & value.rlike("^https?://") & elsewhere, value))
-        url = F.when(F.contains(_part(url, 3), F.lit("http")), F.coalesce(*targets, url)).otherwise(url)
-    return url
+            out.append(F.when(value.rlike("^https?://") & elsewhere, value))
+        return F.coalesce(*out, url)
+
+    return let(_parameters(_part(url, 3)), lambda found: let(F.lower(_part(url, 1)), lambda host: target(found, host)))
+
+
+def unwrap_redirect(url: Column) -> Column:
+    """The destination that a wrapper url carries in its query, up to four hops deep."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(REDIRECT_HOPS)), url, lambda u, _: F.when(_part(u, 3).rlike("(?i)http"), _one_hop(u)).otherwise(u))
 
 
 def _named(name: str):
@@ -81,12 +84,24 @@ def _named(name: str):
 
 def canonicalize_url(url: Column, *, unwrap: bool = True) -> Column:
     """https, lower-case host without www or default port, sorted meaningful parameters, no trailing slash or fragment."""
+    def canonical(u: Column) -> Column:
+        host = F.regexp_replace(F.regexp_replace(F.lower(_part(u, 1)), r"^www\.", ""), ":(80|443)$", "")
+        return let(host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, _path(u), _query(u, h))))
+
     u = F.trim(url)
     u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)
     u = F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u))
     if unwrap:
         u = F.when(_part(u, 3).rlike("(?i)http"), unwrap_redirect(u)).otherwise(u)
-    host = F.regexp_replace(F.regexp_replace(F.lower(_part(u, 1)), r"^www\.", ""), ":(80|443)$", "")
+    return F.when(F.length(F.trim(url)) > 0, let(u, canonical))
+
+
+def _path(u: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_replace(_part(u, 2), "/+$", ""), F.lit("")), F.lit("/"))
+
+
+def _query(u: Column, host: Column) -> Column:
+    """The meaningful parameters, sorted and encoded, with their question mark."""
     keep = F.array().cast("array<string>")
     for domain, names in MEANINGFUL_PARAMS.items():
         keep = F.when(F.contains(host, F.lit(domain)), words_array(names)).otherwise(keep)
@@ -97,9 +112,7 @@ def canonicalize_url(url: Column, *, unwrap: bool = True) -> Column:
 
     found = F.array_sort(F.filter(_parameters(_part(u, 3)), kept))
     query = F.array_join(F.transform(found, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))), "&")
-    path = F.coalesce(F.nullif(F.regexp_replace(_part(u, 2), "/+$", ""), F.lit("")), F.lit("/"))
-    out = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when((F.length(F.trim(url)) > 0) & (host != ""), out)
+    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
 
 
 def url_hash(url: Column) -> Column:

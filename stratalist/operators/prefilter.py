@@ -39,5 +39,5 @@ def prefilter(rows: DataFrame, terms: list[str], internship_only: bool = True) -
     """The rows that stay, and one row with the two counts of those dropped."""
     intern, domain = wanted(F.col("title"), F.col("description"), terms, internship_only)
     marked = rows.withColumns({"__intern": intern, "__domain": domain})
-    counts = marked.agg(F.count_if(~F.col("__intern")).alias("not_internship"), F.count_if(F.col("__intern") & ~F.col("__domain")).alias("off_domain"), F.count_if("__intern and __domain").alias("kept"))
+    counts = marked.agg(F.count_if(~F.col("__intern")).alias("not_internship"), F.count_if(F.col("__intern") & ~F.col("__domain")).alias("off_domain"), F.count_if(F.col("__intern") & F.col("__domain")).alias("kept"))
     return marked.where("__intern and __domain").drop("__intern", "__domain"), counts

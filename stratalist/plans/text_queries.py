@@ -1,3 +1,354 @@
-"""x"""
+"""Queries of text, URL, fact, resolution and score functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import facts, text, urls
+from ..operators import prefilter as pre
+from ..operators import resolve, score
+from ..sources import payloads
+from ..storage import table
+from . import bindings as b
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: What normalising ASCII text is in SQL. The oracles judge rows without other letters; the functions run over all rows.
+NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '')"
+
+
+def _core_sql(title: str) -> str:
+    t = rf"regexp_replace(regexp_replace({title}, '[\(\[\{{][^\)\]\}}]*[\)\]\}}]', ' ', 'g'), '\b[A-Z]{{1,4}}[-_]?\d{{4,}}\b', ' ', 'g')"
+    t = f"regexp_replace(translate({NORM.format(t)}, '/-,', '   '), '{text.TITLE_NOISE}', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({t}, '[^a-z0-9+#. ]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+PART_TITLE = "p_name || ' (' || p_brand || ') ' || p_type || ' Engineering/Design Intern - Summer 2026 REQ-' || CAST(10000 + p_partkey AS VARCHAR)"
+
+
+def _part_titles(spark, sf):
+    p = table(spark, sf, "part")
+    title = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") "), "p_type", F.lit(" Engineering/Design Intern - Summer 2026 REQ-"), (F.col("p_partkey") + 10000).cast("string"))
+    return p.select("p_partkey", title.alias("title"))
+
+
+@query(f"SELECT p_partkey, {_core_sql(PART_TITLE)} AS core FROM part")
+def title_normalize(spark, sf):
+    return _part_titles(spark, sf).select("p_partkey", text.title_core(F.col("title")).alias("core"))
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_core_sql(PART_TITLE)} AS core FROM part) SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(core, ' '), lambda w: length(w) > 1))) AS tokens FROM t")
+def title_tokens(spark, sf):
+    return _part_titles(spark, sf).select("p_partkey", F.array_sort(text.title_tokens(text.title_core(F.col("title")))).alias("tokens"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+def text_normalize(spark, sf):
+    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return d.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
+
+
+@query()
+def text_normalize_accents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
+
+
+_GROUPS = "[" + ", ".join("CASE WHEN " + " OR ".join("contains(hay, '" + n.replace("'", "''") + "')" for n in needles) + f" THEN '{g}' END" for g, needles in sorted(text.DISCRIMINATORS.items())) + "]"
+
+
+@query(f"WITH t AS (SELECT p_partkey, ' ' || {NORM.format(PART_TITLE)} || ' ' AS hay FROM part) SELECT p_partkey, array_to_string(list_filter({_GROUPS}, lambda g: g IS NOT NULL), ',') AS groups FROM t")
+def discriminators(spark, sf):
+    return _part_titles(spark, sf).select("p_partkey", F.array_join(text.discriminators(text.normalize_text(F.col("title"))), ",").alias("groups"))
+
+
+ROLES = [("Hardware Design Engineer Intern", 1.0), ("Widget Engineer", 1.5), ("Bolt Development", 0.5)]
+
+
+@query()
+def role_affinity(spark, sf):
+    """Every title against every role of the preferences."""
+    t = _part_titles(spark, sf).withColumn("tokens", text.role_tokens(text.title_core(F.col("title"))))
+    return t.select("p_partkey", *[F.round(text.role_affinity(F.col("tokens"), r), 6).alias(f"role_{i}") for i, (r, _) in enumerate(ROLES)])
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w)
+SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(CASE WHEN len(g) <= 150 THEN g ELSE list_transform(list_sort(list_transform(g, lambda x: md5(x) || x))[1:150], lambda y: y[33:]) END), '|')) AS digest FROM g""")
+def shingle_set(spark, sf):
+    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    norm = text.normalize_ascii(F.col("text"))
+    return d.select("doc_id", F.size(text.shingles(norm, limit=1 << 30)).cast("long").alias("n_shingles"), F.md5(F.array_join(text.shingles(norm), "|")).alias("digest"))
+
+
+@query("SELECT o_orderkey, left(sha256(lower(trim(c_name)) || '|' || lower(trim(o_orderpriority)) || '|' || lower(trim(c_mktsegment)) || '|'), 32) AS fingerprint FROM orders JOIN customer ON o_custkey = c_custkey")
+def fingerprint(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
+    return rows.select("o_orderkey", text.fingerprint(F.col("c_name"), F.col("o_orderpriority"), F.col("c_mktsegment"), F.lit(None).cast("string")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, sha256(lower(trim(text))) AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.sha256_of(F.col("text")).alias("content_hash"))
+
+
+_TRACKED = ", ".join(f"'{p}'" for p in urls.TRACKING_PARAMS)
+_CANON = rf"""SELECT page_id, url, 'https://' || {HOST} || CASE WHEN regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END
+|| CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canonical FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.') AND NOT (lower(split_part(p, '=', 1)) IN ({_TRACKED}) OR starts_with(lower(split_part(p, '=', 1)), 'utm_'))) AS kept FROM pages)"""
+
+
+@query(f"SELECT page_id, canonical FROM ({_CANON})")
+def url_canonicalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.canonicalize_url(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT page_id, sha1(canonical) AS url_hash FROM ({_CANON})")
+def url_hash(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query(rf"WITH h AS (SELECT page_id, {HOST} AS host FROM pages) SELECT page_id, CASE WHEN host = '' THEN 'unknown' ELSE 'company_careers' END AS host_class FROM h")
+def url_host_class(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.classify_host(F.col("url")).alias("host_class"))
+
+
+_ATS_URL = "'https://boards.greenhouse.io/acme' || CAST(page_id % 7 AS VARCHAR) || '/jobs/' || CAST(page_id AS VARCHAR) || '?gh_src=x'"
+
+
+@query(f"SELECT page_id, 'greenhouse:acme' || CAST(page_id % 7 AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) AS ats_key, md5({_ATS_URL}) AS url_md5 FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, md5(url) FROM pages WHERE page_id % 2 = 1")
+def ats_identity_extract(spark, sf):
+    p = table(spark, sf, "pages")
+    ats = F.concat(F.lit("https://boards.greenhouse.io/acme"), (F.col("page_id") % 7).cast("string"), F.lit("/jobs/"), F.col("page_id").cast("string"), F.lit("?gh_src=x"))
+    p = p.withColumn("u", F.when(F.col("page_id") % 2 == 0, ats).otherwise(F.col("url")))
+    return p.select("page_id", urls.ats_key(urls.ats_identity(F.col("u"))).alias("ats_key"), F.md5("u").alias("url_md5"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<li\b[^>]*>', chr(10) || '* ', 'gi'), '</?(br|p|div|h[1-4]|li|ul|ol|tr|table)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM c""")
+def html_strip(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
+
+
+#: Sentences that order rows are given, so that facts are read from text that grows with the table.
+_SAID = [
+    ("Pay is $45 - $60 per hour. Summer 2026 internship. BS or MS required.", 45.0, "hourly", "Summer 2026", "Bachelors,Masters", None, "unknown"),
+    ("Salary $120,000-$150,000 annually. 3+ years of experience. We sponsor visas.", 120000.0, "yearly", "", "", 3.0, "offered"),
+    ("US citizenship required. Visa sponsorship available. Fall or Autumn term, PhD.", None, None, "Fall", "PhD", None, "citizenship_required"),
+    ("No sponsorship. Between 2 to 4 years relevant experience, MBA.", None, None, "", "MBA", 2.0, "not_offered"),
+    ("Active clearance needed; spring 2025 and Spring 2025 again.", None, None, "Spring 2025", "", None, "security_clearance_required"),
+]
+
+
+def _said(spark, sf):
+    i = (F.col("o_orderkey") % len(_SAID)).cast("int")
+    return table(spark, sf, "orders").select("o_orderkey", F.get(F.array(*[F.lit(x[0]) for x in _SAID]), i).alias("said"))
+
+
+def _said_sql(column: int, name: str) -> str:
+    def lit(x):
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+    return "SELECT o_orderkey, CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {lit(x[column])}" for k, x in enumerate(_SAID)) + f" END AS {name} FROM orders"
+
+
+@query("SELECT a.o_orderkey, salary_min, period FROM (" + _said_sql(1, "salary_min") + ") a JOIN (" + _said_sql(2, "period") + ") b ON a.o_orderkey = b.o_orderkey")
+def fact_salary(spark, sf):
+    s = facts.salary(F.col("said"))
+    # Years and counts within 10 to 400 read as hourly pay; the rule says so, and the query keeps dollars only.
+    return _said(spark, sf).withColumn("s", s).select("o_orderkey", F.when(F.col("s.currency") == "USD", F.col("s.min")).alias("salary_min"), F.when(F.col("s.currency") == "USD", F.col("s.period")).alias("period"))
+
+
+@query(_said_sql(3, "terms"))
+def fact_terms(spark, sf):
+    return _said(spark, sf).select("o_orderkey", F.array_join(facts.terms(F.col("said")), ",").alias("terms"))
+
+
+@query(_said_sql(4, "degrees"))
+def fact_degrees(spark, sf):
+    return _said(spark, sf).select("o_orderkey", F.array_join(facts.degrees(F.col("said")), ",").alias("degrees"))
+
+
+@query(_said_sql(5, "years"))
+def fact_years(spark, sf):
+    return _said(spark, sf).select("o_orderkey", facts.experience_years(F.col("said")).alias("years"))
+
+
+@query(_said_sql(6, "sponsorship"))
+def fact_sponsorship(spark, sf):
+    return _said(spark, sf).select("o_orderkey", facts.sponsorship(F.col("said")).alias("sponsorship"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'internship' WHEN p_partkey % 3 = 1 THEN 'co_op' ELSE 'unknown' END AS employment_type FROM part")
+def fact_employment(spark, sf):
+    p = table(spark, sf, "part")
+    title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " intern").when(F.col("p_partkey") % 3 == 1, " co-op intern").otherwise(" maker"))
+    return p.select("p_partkey", facts.employment_type(title, F.lit(""), F.lit(None).cast("string")).alias("employment_type"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'bay_area' WHEN 1 THEN 'austin' WHEN 2 THEN 'remote' ELSE 'springfield|il' END AS location_key FROM supplier")
+def fact_location(spark, sf):
+    s = table(spark, sf, "supplier")
+    raw = F.get(F.array(*map(F.lit, ["Santa Clara, CA", "Austin, Texas", "Remote", "Springfield, Illinois, USA"])), (F.col("s_suppkey") % 4).cast("int"))
+    return s.select("s_suppkey", facts.parse_location(raw)["key"].alias("location_key"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2026-12-15 23:59:59' WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '2026-09-01 23:59:59' END AS deadline FROM orders")
+def fact_deadline(spark, sf):
+    said = F.get(F.array(F.lit("Applications close: apply by December 15, 2026."), F.lit("Deadline is 2026-09-01"), F.lit("We closed March 1")), (F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", facts.deadline(said, F.lit("2026-08-18").cast("date")).alias("deadline"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS cluster_id FROM documents")
+def dedup_exact(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"))
+    edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97)
+    return resolve.clusters(d, "doc_id", edges.select("left", "right"))
+
+
+@query("""WITH h AS (SELECT md5(text) AS c, min(doc_id) AS head FROM documents GROUP BY 1 HAVING count(*) > 1)
+SELECT h.head AS "left", d.doc_id AS "right", CASE WHEN a.lang <> d.lang THEN 'employment' END AS veto FROM documents d JOIN h ON md5(d.text) = h.c JOIN documents a ON a.doc_id = h.head WHERE d.doc_id <> h.head""")
+def dedup_content_guarded(spark, sf):
+    """Content edges with the reason for which the guard would refuse them; the language stands for the kind of employment."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.lit("one").alias("company_slug"), F.lit("").alias("requisition_id"), F.lit("").alias("ats_identity"), F.lit("").alias("canonical_url"), F.col("lang").alias("employment_type"), F.lit("").alias("location_key"), F.array().cast("array<string>").alias("discriminators"), "source")
+    edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97).alias("e")
+    rows = edges.join(d.alias("a"), F.col("a.doc_id") == F.col("left")).join(d.alias("b"), F.col("b.doc_id") == F.col("right"))
+    return rows.select("left", "right", resolve.merge_veto(resolve.side("a"), resolve.side("b")).alias("veto"))
+
+
+_TOK = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 1))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang || '/' || lower(left(text, 20)) AS block, {_TOK} AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+s AS (SELECT block FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
+p AS (SELECT a.doc_id AS "left", b.doc_id AS "right", len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id WHERE a.block IN (SELECT block FROM s))
+SELECT "left", "right", round(score, 6) AS score, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'uncertain' END AS verdict FROM p WHERE score >= 0.70""")
+def dedup_similarity(spark, sf):
+    """Pairs within blocks of language and opening, by the share of common words."""
+    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    block = F.concat_ws("/", "lang", F.lower(F.substring("text", 1, 20)))
+    rows = d.select("doc_id", block.alias("block"), text.title_tokens(text.normalize_ascii(F.col("text"))).alias("t"))
+    pairs = resolve.similar_pairs(rows, "block", "doc_id", lambda a, c: text.token_set_ratio(a("t"), c("t")))
+    return pairs.withColumn("score", F.round("score", 6))
+
+
+@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS c, left(text, 60) AS o FROM documents), h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS hc, min(doc_id) OVER (PARTITION BY o) AS ho FROM k),
+s AS (SELECT doc_id AS x, hc AS y FROM h UNION SELECT doc_id, ho FROM h), e AS (SELECT x, y FROM s WHERE x <> y UNION SELECT y, x FROM s WHERE x <> y),
+r AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, e.y FROM r JOIN e ON r.m = e.x) SELECT n AS doc_id, min(m) AS cluster_id FROM r GROUP BY 1""")
+def dedup_components(spark, sf):
+    """Two kinds of evidence, one partition: equal texts and equal openings."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.substring("text", 1, 60).alias("opening"))
+    edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97).unionByName(resolve.star_edges(d, "opening", "doc_id", "fingerprint", 0.95))
+    return resolve.clusters(d, "doc_id", edges.select("left", "right"))
+
+
+@query("""WITH m AS (SELECT d.*, md5(text) AS c, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY source, doc_id) AS rk FROM m)
+SELECT min(doc_id) AS cluster_id, count(*) AS members, arg_min(quality, rk) FILTER (quality IS NOT NULL) AS quality, arg_min(source, rk) AS source, max(doc_id) AS last_doc FROM k GROUP BY c""")
+def dedup_survivorship(spark, sf):
+    """Copies folded into one row: the first known label and the leading member's source."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("c", F.md5("text"))
+    d = d.withColumns({"cluster_id": F.min("doc_id").over(Window.partitionBy("c")), "rank": F.row_number().over(Window.partitionBy("c").orderBy("source", "doc_id")), "last_doc": F.col("doc_id")})
+    return resolve.survivors(d.select("cluster_id", "rank", "quality", "source", "last_doc"), "cluster_id", "rank", first=["quality"], lists=[], latest=["last_doc"], leader=["source"])
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {HOST} AS host, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang FROM pages)
+SELECT host AS cluster, arg_min(url, page_id) AS url, 'company_careers' AS host_class FROM p WHERE host <> '' GROUP BY 1""")
+def apply_url_election(spark, sf):
+    p = table(spark, sf, "pages")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", ""), ":(80|443)$", "")
+    rows = p.select(host.alias("cluster"), "url", urls.classify_host(F.col("url")).alias("host_class"), F.lit("company_careers").alias("kind"), F.lit(True).alias("is_apply"), F.col("page_id").alias("rank")).where("cluster <> ''")
+    return resolve.elect_url(rows, "cluster")
+
+
+PREFS = score.Preferences(
+    roles=[("automobile engineer", 1.0), ("machinery intern", 1.5)], preferred=["customer#000000003"], blacklisted=["customer#000000005"], locations=[("GERMANY", 10.0), ("FRANCE", 6.0)],
+    excluded_locations=["CHINA"], negative=["household", "urgent"], hard_keywords=["not specified"],
+)
+
+
+def _scored(spark, sf):
+    j = b.jobs(spark, sf)
+    days = F.timestamp_diff("SECOND", "date_posted", F.lit(b.NOW).cast("timestamp_ntz")) / 86400
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("job_id"), (100.0 * F.col("quality") - 40.0 * F.col("toxic")).alias("fit"))  # noqa: E741
+    rows = j.join(l, "job_id", "left")
+    parts = {
+        "role_match": F.col("score"), "candidate_fit": F.col("fit"), "location": score.location_score(F.col("location"), PREFS), "company_preference": score.company_preference(F.lower("company"), PREFS),
+        "freshness": score.freshness_score(days), "internship_constraints": score.constraints_score(F.col("employment_type"), PREFS),
+    }
+    return rows.select("job_id", "title", "description", "company", "location", *[x.alias(f"p_{n}") for n, x in parts.items()]), list(parts)
+
+
+_FRESH = "CASE WHEN d <= 1 THEN 100.0 WHEN d <= 3 THEN 70.0 WHEN d <= 7 THEN 30.0 WHEN d <= 14 THEN 10.0 ELSE 0.0 END"
+_PARTS_SQL = f"""WITH {b.JOBS_SQL}, s AS (SELECT j.job_id, title, description, company, location, score AS p_role_match, 100.0 * quality - 40.0 * toxic AS p_candidate_fit,
+CASE WHEN contains(lower(location), 'china') THEN 0.0 WHEN location = 'GERMANY' THEN 100.0 WHEN location = 'FRANCE' THEN 80.0 ELSE 60.0 END AS p_location, CASE WHEN lower(company) = 'customer#000000003' THEN 100.0 ELSE 50.0 END AS p_company_preference,
+{_FRESH} AS p_freshness, CASE employment_type WHEN 'internship' THEN 85.0 WHEN 'unknown' THEN 55.0 ELSE 15.0 END AS p_internship_constraints
+FROM (SELECT *, greatest(epoch({b.NOW_SQL} - date_posted) / 86400, 0) AS d FROM jobs) j LEFT JOIN labels l ON l.doc_id = j.job_id)"""
+_BLEND_SQL = """p_role_match * (0.7 + 0.3 * ((coalesce(p_candidate_fit * 15, 0) + p_location * 10 + p_company_preference * 5 + p_freshness * 10 + p_internship_constraints * 10) / (CASE WHEN p_candidate_fit IS NULL THEN 0 ELSE 15 END + 35)) / 100)"""
+
+
+@query(_PARTS_SQL + " SELECT job_id, p_role_match, p_candidate_fit, p_location, p_company_preference, p_freshness, p_internship_constraints FROM s")
+def score_components(spark, sf):
+    rows, names = _scored(spark, sf)
+    return rows.select("job_id", *[f"p_{n}" for n in names])
+
+
+@query(_PARTS_SQL + f" SELECT job_id, round({_BLEND_SQL}, 6) AS blended FROM s")
+def score_blend(spark, sf):
+    rows, names = _scored(spark, sf)
+    return rows.select("job_id", F.round(score.blend({n: F.col(f"p_{n}") for n in names}, PREFS.weights), 6).alias("blended"))
+
+
+@query(_PARTS_SQL + f" SELECT job_id, CASE WHEN x >= 90 THEN 'apply_now' WHEN x >= 80 THEN 'strong_match' WHEN x >= 70 THEN 'worth_considering' WHEN x >= 60 THEN 'maybe' ELSE 'skip' END AS band FROM (SELECT job_id, round({_BLEND_SQL}, 6) AS x FROM s)")
+def priority_band(spark, sf):
+    return score_blend(spark, sf).select("job_id", score.priority_band(F.col("blended")).alias("band"))
+
+
+@query(_PARTS_SQL + f""", t AS (SELECT *, p_role_match * 25 + coalesce(p_candidate_fit * 15, 0) + p_location * 10 + p_company_preference * 5 + p_freshness * 10 + p_internship_constraints * 10 AS total, {_BLEND_SQL} AS x FROM s)
+SELECT job_id, round(p_role_match * 25 / total * x, 6) AS role_match, round(coalesce(p_candidate_fit * 15, 0) / total * x, 6) AS candidate_fit FROM t""")
+def score_contributions(spark, sf):
+    rows, names = _scored(spark, sf)
+    parts = {n: F.col(f"p_{n}") for n in names}
+    split = score.contributions(parts, PREFS.weights, score.blend(parts, PREFS.weights))
+    return rows.select("job_id", *[F.round(split[n], 6).alias(n) for n in ("role_match", "candidate_fit")])
+
+
+@query(_PARTS_SQL + " SELECT job_id, CASE WHEN lower(company) = 'customer#000000005' THEN 'company' WHEN contains(lower(location), 'china') THEN 'location: CHINA' WHEN contains(lower(description), 'not specified') THEN 'keyword: not specified' END AS reason FROM s")
+def hard_exclusions(spark, sf):
+    rows, _ = _scored(spark, sf)
+    return rows.select("job_id", score.hard_exclusion(F.lower("company"), F.col("location"), F.lower("description"), PREFS).alias("reason"))
+
+
+@query(_PARTS_SQL + " SELECT job_id, least(40.0, 6.0 * (CASE WHEN contains(title, 'household') THEN 2.0 WHEN contains(lower(description), 'household') THEN 0.5 ELSE 0 END + CASE WHEN contains(title, 'urgent') THEN 2.0 WHEN contains(lower(description), 'urgent') THEN 0.5 ELSE 0 END)) AS penalty FROM s")
+def negative_penalty(spark, sf):
+    rows, _ = _scored(spark, sf)
+    return rows.select("job_id", score.negative_penalty(F.col("title"), F.lower("description"), PREFS).alias("penalty"))
+
+
+@query(f"WITH {b.JOBS_SQL} SELECT count(*) FILTER (NOT contains(title, 'intern')) AS not_internship, count(*) FILTER (contains(title, 'intern') AND NOT (contains(t, 'machinery') OR contains(t, 'building'))) AS off_domain, count(*) FILTER (contains(title, 'intern') AND (contains(t, 'machinery') OR contains(t, 'building'))) AS kept FROM (SELECT *, lower(title || ' ' || description) AS t FROM jobs)")
+def prefilter_counts(spark, sf):
+    return pre.prefilter(b.jobs(spark, sf), pre.domain_terms(["Machinery Intern"], ["building"]))[1]
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS source_job_id, event_type AS title, 'https://x.example/' || CAST(event_id AS VARCHAR) AS url, ts - INTERVAL (microsecond(ts) % 1000) MICROSECOND AS date_posted FROM events")
+def json_source_scan(spark, sf):
+    """Payloads built from the events table, read back as board postings."""
+    e = table(spark, sf, "events")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    one = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.concat(F.lit("https://x.example/"), F.col("event_id").cast("string")).alias("hostedUrl"), ms.alias("createdAt"))
+    return payloads.read_board(e.select(F.to_json(F.array(one)).alias("payload")), "lever").select("source_job_id", "title", "url", "date_posted")
