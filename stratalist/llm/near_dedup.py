@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .shared import materialize, table
 
 BANDS, ROWS = 32, 6
@@ -40,6 +40,8 @@ REGISTERS = BANDS * ROWS
 #: Registers that the likelihood compares, and the log-likelihood that a pair may lack before it is dropped.
 ESTIMATED, SLACK = 96, 10.0
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
+#: Parts of the shingles in which a pair's common ones are bounded before the pair is made.
+PARTS = 48
 
 _SEEDS = np.random.Generator(np.random.Philox(20)).integers(1, 2**63, size=(2, REGISTERS), dtype=np.uint64)
 _MULTIPLY, _ADD = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
@@ -180,22 +182,28 @@ def _missed(bucketed: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     order = Window.partitionBy("node").orderBy("count", "token")
     # Two sets of that similarity share a shingle among the first n - ceil(n * percent / 100) + 1 of any common order.
     kept = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    prefix = tokens.join(seen, "token").withColumns({"at": F.row_number().over(order), "m": F.count_if(F.col("count") > 1).over(Window.partitionBy("node"))})
-    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "m", "at"), "prefix")
+    counted = tokens.join(seen, "token")
+    # How many of a set's shared shingles fall into each of some parts of all shingles: what two sets have in common is at
+    # most the sum of the smaller counts.
+    part = F.pmod("token", F.lit(PARTS))
+    parts = counted.where("count > 1").groupBy("node").agg(F.array(*[F.count_if(part == i).cast("int") for i in range(PARTS)]).alias("parts"))
+    prefix = counted.withColumn("at", F.row_number().over(order)).join(parts, "node")
+    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "parts", "at"), "prefix")
     by = prefix.groupBy("token", "component").count()
     by = by.groupBy("token").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("components")).where("components > 1").select("token", "largest")
     # Within a token's rows, only those outside its largest component look for partners: the largest is one component already.
-    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("at").alias("at_a"))
-    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("at").alias("at_b"))
+    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("parts").alias("p_a"), F.col("at").alias("at_a"))
+    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("parts").alias("p_b"), F.col("at").alias("at_b"))
     fits = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    # A pair shares at most the shingles that either has in common with any member, and needs (n_a + n_b) s / (1 + s).
-    fits = fits & ((100 + percent) * F.least("m_a", "m_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    # A pair needs (n_a + n_b) s / (1 + s) shingles in common.
+    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
     # Of the smaller set the first n - ceil(2 n s / (1 + s)) + 1 are enough, as the other is at least as large.
     short = lambda n: n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     fits = fits & F.when(smaller, F.col("at_a") <= short(F.col("n_a"))).otherwise(F.col("at_b") <= short(F.col("n_b")))
-    return left.join(right, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.join(right, "token").where(fits & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
