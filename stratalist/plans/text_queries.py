@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-#: What normalising ASCII text is in SQL. The oracles judge rows without other letters; the functions run over all rows.
+#: What normalising text without accents is in SQL.
 NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '')"
 
@@ -55,15 +55,17 @@ def title_tokens(spark, sf):
     return _part_titles(spark, sf).select("p_partkey", F.array_sort(text.title_tokens(text.title_core(F.col("title")))).alias("tokens"))
 
 
-@query("""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+_FOLDED = r"SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g'))) AS digest FROM documents"
+
+
+@query(_FOLDED)
 def text_normalize(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(_FOLDED.replace("SELECT doc_id, md5(", "SELECT doc_id, length(").replace("AS digest", "AS n_chars"))
 def text_normalize_accents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.length(text.normalize_text(F.col("text"))).cast("long").alias("n_chars"))
 
 
 _GROUPS = "[" + ", ".join("CASE WHEN " + " OR ".join("contains(hay, '" + n.replace("'", "''") + "')" for n in needles) + f" THEN '{g}' END" for g, needles in sorted(text.DISCRIMINATORS.items())) + "]"
@@ -84,11 +86,11 @@ def role_affinity(spark, sf):
     return t.select("p_partkey", *[F.round(text.role_affinity(F.col("tokens"), r), 6).alias(f"role_{i}") for i, (r, _) in enumerate(ROLES)])
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w)
 SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(CASE WHEN len(g) <= 150 THEN g ELSE list_transform(list_sort(list_transform(g, lambda x: md5(x) || x))[1:150], lambda y: y[33:]) END), '|')) AS digest FROM g""")
 def shingle_set(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    d = table(spark, sf, "documents")
     norm = text.normalize_ascii(F.col("text"))
     return d.select("doc_id", F.size(text.shingles(norm, limit=1 << 30)).cast("long").alias("n_shingles"), F.md5(F.array_join(text.shingles(norm), "|")).alias("digest"))
 
@@ -233,13 +235,13 @@ def dedup_content_guarded(spark, sf):
 _TOK = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 1))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang || '/' || lower(left(text, 20)) AS block, {_TOK} AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+@query(f"""WITH d AS (SELECT doc_id, lang || '/' || lower(left(text, 20)) AS block, {_TOK} AS t FROM documents),
 s AS (SELECT block FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
 p AS (SELECT a.doc_id AS "left", b.doc_id AS "right", len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id WHERE a.block IN (SELECT block FROM s))
 SELECT "left", "right", round(score, 6) AS score, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'uncertain' END AS verdict FROM p WHERE score >= 0.70""")
 def dedup_similarity(spark, sf):
     """Pairs within blocks of language and opening, by the share of common words."""
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    d = table(spark, sf, "documents")
     block = F.concat_ws("/", "lang", F.lower(F.substring("text", 1, 20)))
     rows = d.select("doc_id", block.alias("block"), text.title_tokens(text.normalize_ascii(F.col("text"))).alias("t"))
     pairs = resolve.similar_pairs(rows, "block", "doc_id", lambda a, c: text.token_set_ratio(a("t"), c("t")))
