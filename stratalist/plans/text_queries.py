@@ -354,3 +354,56 @@ def json_source_scan(spark, sf):
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
     one = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.concat(F.lit("https://x.example/"), F.col("event_id").cast("string")).alias("hostedUrl"), ms.alias("createdAt"))
     return payloads.read_board(e.select(F.to_json(F.array(one)).alias("payload")), "lever").select("source_job_id", "title", "url", "date_posted")
+
+
+@query(r"""WITH t AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' written in C, SQL and git' WHEN 1 THEN ' heat to 300 C with golang' ELSE ' FPGA and SystemVerilog' END) AS t FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'c,git,sql' WHEN 1 THEN 'go' ELSE 'fpga,systemverilog,verilog' END AS skills FROM t""")
+def skill_tags(spark, sf):
+    from ..functions.skills import extract_skills
+
+    said = F.get(F.array(F.lit(" written in C, SQL and git"), F.lit(" heat to 300 C with golang"), F.lit(" FPGA and SystemVerilog")), (F.col("p_partkey") % 3).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", said).alias("t"))
+    return rows.select("p_partkey", F.array_join(F.array_sort(extract_skills(F.col("t"))), ",").alias("skills"))
+
+
+RESUMES = [("machinery", ["ECONOMY", "SMALL"]), ("building", ["LARGE", "PROMO", "STANDARD"]), ("general", ["ECONOMY", "MEDIUM", "LARGE"])]
+
+
+def _resume_sql() -> str:
+    one = " UNION ALL ".join(
+        f"SELECT j.job_id, '{k}' AS kind, 100.0 * len(list_intersect(skills, {own!r})) / greatest(len(skills), 1) + CASE WHEN contains(lower(title), '{k}') THEN 5.0 ELSE 0 END AS score FROM jobs j JOIN skills s ON s.job_id = j.job_id" for k, own in RESUMES
+    )
+    return f"WITH {b.JOBS_SQL}, {b.SKILLS_SQL}, r AS ({one}) SELECT job_id, kind, round(score, 6) AS score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, kind) AS rank FROM r"
+
+
+@query(_resume_sql())
+def resume_match(spark, sf):
+    from ..operators.discovery import rank_resumes
+
+    jobs = b.jobs(spark, sf).join(b.skills(spark, sf), "job_id")
+    return rank_resumes(jobs, RESUMES).select("job_id", "kind", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH k AS (SELECT c_name AS company, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 > 0), f AS (SELECT c_name AS company, max(c_mktsegment) AS segment FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+SELECT coalesce(k.company, f.company) AS company, coalesce(k.segment, f.segment) AS segment, f.company IS NOT NULL AS seen_now, k.company IS NULL AS is_new FROM k FULL JOIN f ON k.company = f.company""")
+def register_companies(spark, sf):
+    from ..operators.discovery import register
+
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    known = c.where("c_custkey % 3 > 0").select(F.col("c_name").alias("company"), F.col("c_mktsegment").alias("segment"), F.lit(b.NOW).cast("timestamp_ntz").alias("first_seen"))
+    found = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_name").alias("company")).agg(F.max("c_mktsegment").alias("segment"))
+    return register(known, found, ["company"], ["segment"], b.NOW).select("company", "segment", "seen_now", "is_new")
+
+
+@query("""WITH h AS (SELECT s_name AS source, CAST(s_suppkey % 9 AS INT) AS runs, CAST(s_suppkey % 5 AS DOUBLE) AS avg_new, CAST(s_suppkey % 3 AS INT) AS failures, s_suppkey FROM supplier),
+r AS (SELECT l_suppkey, count(*) AS new FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1)
+SELECT source, runs + CASE WHEN r.new IS NULL THEN 0 ELSE 1 END AS runs, CASE WHEN r.new IS NULL THEN avg_new ELSE round((avg_new * runs + r.new) / (runs + 1), 2) END AS avg_new,
+CASE WHEN r.new IS NULL THEN failures WHEN r.new % 4 > 0 THEN 0 ELSE failures + 1 END AS failures, CASE WHEN r.new IS NULL THEN 'idle' WHEN r.new % 4 = 0 THEN 'failed' WHEN r.new % 2 = 0 THEN 'degraded' ELSE 'ok' END AS status FROM h LEFT JOIN r ON l_suppkey = s_suppkey""")
+def source_health(spark, sf):
+    from ..operators.discovery import source_health as updated
+
+    s, item = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
+    health = s.select(F.col("s_name").alias("source"), (F.col("s_suppkey") % 9).cast("int").alias("runs"), (F.col("s_suppkey") % 5).cast("double").alias("avg_new"), (F.col("s_suppkey") % 3).cast("int").alias("failures"))
+    run = item.where("l_shipdate >= timestamp_ntz '2000-01-01 00:00:00'").join(s, item["l_suppkey"] == s["s_suppkey"]).groupBy(F.col("s_name").alias("source")).agg(F.count("*").alias("new"))
+    run = run.withColumns({"ok": F.col("new") % 4 > 0, "partial": F.col("new") % 2 == 0})
+    return updated(health, run)
