@@ -89,6 +89,9 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 def estimate_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of the similarity of each pair, and how much better it fits than any of ``least`` or more.
 
+    No similarity is above ``top``, the quotient of the sizes; ``least`` is clipped to it, as 4/5 may round to just below 0.8.
+    Pairs whose sizes exclude ``least`` are for the caller to drop, in integers.
+
     With u and v the shares of both cardinalities in their sum, P(a > b) = p(u - v J) and P(a < b) = p(v - u J), where
     p(x) = -log_B(1 - x (B - 1) / B).
     """
@@ -112,7 +115,7 @@ def estimate_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
         low, high = np.where(better, one, low), np.where(better, high, two)
     best = (low + high) / 2
     lack = likelihood(best) - likelihood(np.clip(best, np.minimum(least, top), top))
-    return best, np.where(top < least, np.inf, lack)
+    return best, lack
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:

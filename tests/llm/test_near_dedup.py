@@ -78,6 +78,29 @@ def test_equals_brute_force_on_the_table(spark):
     assert got == want
 
 
+def contained(k: int) -> list[tuple[int, str]]:
+    """Pairs of a text and a part of it with exactly four fifths of its shingles, of few and of hundreds."""
+    rng, rows = random.Random(7), []
+    for i, n in enumerate([4, 4, 8, 12, 40, 200, 400, 800]):
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n * 5 // 4 + k - 1)]
+        short = w[: n + k - 1] if i % 2 else w[-(n + k - 1) :]
+        rows += [(10 * i + i % 2, " ".join(w)), (10 * i + 1 - i % 2, " ".join(short)), (10 * i + 2, " ".join(short[1:]))]
+    return rows
+
+
+def test_sets_of_exactly_four_fifths(spark):
+    for k in (4, 5):
+        rows = contained(k)
+        want = brute(rows, k, 80)
+        assert all(want[10 * i + 1][1] == 10 * i for i in range(8))
+        got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+        # Without a third text that could join the two.
+        rows = [r for r in rows if r[0] % 10 < 2]
+        got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, 80)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_groups(docs).count() == 0
