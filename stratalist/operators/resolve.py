@@ -6,16 +6,21 @@ these are found. Guards look at pairs, not at clusters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, token_set_ratio, words_array
+from ..storage import materialize
 from .components import connected_components
 
 # Thresholds, bonuses and axes of the match.
 MERGE, UNCERTAIN, MAX_BLOCK = 0.88, 0.70, 60
+#: Cells in which ``similar_sets`` counts tokens.
+CELLS = 2**20
 EXCLUSIVE_AXES = [["summer", "fall", "spring", "winter"], ["verification", "design", "physical", "analog"], ["software", "hardware", "firmware"], ["intern", "coop"], ["phd", "masters"]]
 HOST_RANK = {"company_careers": 0, "ats": 1, "job_board": 2, "unknown": 4}
 KIND_RANK = {"company_careers": 0, "ats": 1, "job_board": 2, "aggregator": 3, "curated_list": 4, "unknown": 5}
@@ -69,7 +74,7 @@ def pair_score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column
 
 def similar_pairs(rows: DataFrame, block: str, node: str, score: Callable, veto: Callable | None = None, max_block: int = MAX_BLOCK) -> DataFrame:
     """(left, right, score, verdict) for pairs of a block: merge or uncertain. Blocks beyond ``max_block`` are skipped, as the
-    matching rule says; what they hold is still joined by the exact stages.
+    matching rule says: ``skipped_blocks`` reports them, and ``similar_sets`` compares all rows.
     """
     sized = rows.groupBy(block).agg(F.count("*").alias("__n")).where(f"__n between 2 and {max_block}")
     own = rows.join(sized.select(block), block, "left_semi")
@@ -81,6 +86,11 @@ def similar_pairs(rows: DataFrame, block: str, node: str, score: Callable, veto:
     return pairs.withColumn("verdict", F.when(F.col("score") >= MERGE, "merge").otherwise("uncertain"))
 
 
+def skipped_blocks(rows: DataFrame, block: str, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(block, skipped): the blocks that ``similar_pairs`` does not compare, with their rows."""
+    return rows.groupBy(block).agg(F.count("*").alias("skipped")).where(f"skipped > {max_block}")
+
+
 def adjudicated(pairs: DataFrame, adjudicator: Callable[[DataFrame], DataFrame] | None, budget: int = 0, least: float = 0.8) -> DataFrame:
     """Turns uncertain pairs into merges where the adjudicator, asked for at most ``budget`` of the best, is sure enough.
 
@@ -119,3 +129,50 @@ def elect_url(candidates: DataFrame, cluster: str) -> DataFrame:
     """The most authoritative url of each cluster. candidates: cluster, url, host_class, kind, is_apply, rank."""
     order = F.struct(ranked(HOST_RANK, F.col("host_class"), 4), ranked(KIND_RANK, F.col("kind"), 5), (~F.col("is_apply")).cast("int"), "rank")
     return candidates.where("url <> ''").groupBy(cluster).agg(F.min_by("url", order).alias("url"), F.min_by("host_class", order).alias("host_class"))
+
+
+def similar_sets(rows: DataFrame, node: str, tokens: str) -> DataFrame:
+    """(left, right, score, verdict) over all rows, without blocks or a cap; the score is ``token_set_ratio``.
+
+    Rows with equal sets are joined by a star around the lowest of them, with a score of 1; that one stands for them in the
+    pairs of different sets. Two sets that share seven tenths of the larger share one of their rarest tokens (a prefix
+    filter in integers); the full sets decide. Tokens are compared by hash only to find candidates.
+    """
+    percent, node_type = round(100 * UNCERTAIN), rows.schema[node].dataType.simpleString()
+    rows = rows.select(F.col(node).alias("node"), F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0)
+    keys = materialize(rows.select("node", F.sha2(F.array_join("tokens", " "), 256).alias("set")), "keys")
+    copies = star_edges(keys, "set", "node", "equal", 1.0).select("left", "right", F.lit(1.0).alias("score"))
+    sets = materialize(rows.join(keys.groupBy("set").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"), "sets")
+    hashed = sets.select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    # Any common order of the tokens will do: here the number of tokens in a token's cell, so that frequent ones come last.
+    cells = hashed.select(F.explode("hashes").alias("token")).groupBy(F.pmod("token", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ats, found, own = [], [], [], []
+            for i, x in enumerate(batch.column("hashes")):
+                h = x.values.to_numpy()
+                count = shared.value[h % CELLS]
+                kept = np.lexsort((h, count))[: len(h) - -(-percent * len(h) // 100) + 1]
+                at = np.flatnonzero(count[kept] > 1)  # alone in its cell: no other set has it
+                own.append(np.full(len(at), i))
+                sizes.append(np.full(len(at), len(h)))
+                ats.append(at)
+                found.append(h[kept[at]])
+            if own:
+                nodes = batch.column("node").take(pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([nodes, *(pa.array(np.concatenate(x).astype(t)) for x, t in ((sizes, "i4"), (ats, "i4"), (found, "i8")))], ["node", "n", "at", "token"])
+
+    prefix = materialize(hashed.mapInArrow(run, f"node {node_type}, n int, at int, token long"), "prefix")
+    left, right = (prefix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at")]) for s in "ab")
+    # From the first common token on, what is left of both must still hold enough.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("node_a") < F.col("node_b")) & (100 * most >= percent * F.greatest("n_a", "n_b"))
+    pairs = left.join(right, "token").where(fits).select(F.col("node_a").alias("left"), F.col("node_b").alias("right")).distinct()
+    for s in ("left", "right"):
+        pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("tokens").alias(f"t_{s}")), s)
+    pairs = pairs.select("left", "right", token_set_ratio(F.col("t_left"), F.col("t_right")).alias("score")).where(F.col("score") >= UNCERTAIN)
+    return pairs.unionByName(copies).withColumn("verdict", F.when(F.col("score") >= MERGE, "merge").otherwise("uncertain"))

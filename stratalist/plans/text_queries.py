@@ -240,14 +240,30 @@ s AS (SELECT block FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
 p AS (SELECT a.doc_id AS "left", b.doc_id AS "right", len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id WHERE a.block IN (SELECT block FROM s))
 SELECT "left", "right", round(score, 6) AS score, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'uncertain' END AS verdict FROM p WHERE score >= 0.70""")
 def dedup_similarity(spark, sf):
-    """Pairs within blocks of language and opening, by the share of common words."""
-    d = table(spark, sf, "documents")
-    block = F.concat_ws("/", "lang", F.lower(F.substring("text", 1, 20)))
-    rows = d.select("doc_id", block.alias("block"), text.title_tokens(text.normalize_ascii(F.col("text"))).alias("t"))
-    pairs = resolve.similar_pairs(rows, "block", "doc_id", lambda a, c: text.token_set_ratio(a("t"), c("t")))
+    """Pairs within blocks of language and opening, by the share of common words; ``dedup_similarity_all`` has no blocks."""
+    pairs = resolve.similar_pairs(_openings(spark, sf), "block", "doc_id", lambda a, c: text.token_set_ratio(a("t"), c("t")))
     return pairs.withColumn("score", F.round("score", 6))
 
 
+def _openings(spark, sf):
+    block = F.concat_ws("/", "lang", F.lower(F.substring("text", 1, 20)))
+    return table(spark, sf, "documents").select("doc_id", block.alias("block"), text.title_tokens(text.normalize_ascii(F.col("text"))).alias("t"))
+
+
+@query("SELECT lang || '/' || lower(left(text, 20)) AS block, count(*) AS skipped FROM documents GROUP BY 1 HAVING count(*) > 60")
+def dedup_similarity_skipped(spark, sf):
+    """The blocks that ``dedup_similarity`` skips, as its rule says, with their rows."""
+    return resolve.skipped_blocks(_openings(spark, sf), "block")
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_sort({_TOK}) AS t FROM documents), h AS (SELECT t, min(doc_id) AS head FROM d WHERE len(t) > 0 GROUP BY 1),
+p AS (SELECT a.head AS "left", b.head AS "right", len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM h a JOIN h b ON a.head < b.head UNION ALL SELECT head, doc_id, 1.0 FROM d JOIN h ON d.t = h.t WHERE doc_id <> head)
+SELECT "left", "right", round(score, 6) AS score, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'uncertain' END AS verdict FROM p WHERE score >= 0.70""")
+def dedup_similarity_all(spark, sf):
+    """All pairs of different word sets by the share of common words, and of equal ones each with the first."""
+    return resolve.similar_sets(_openings(spark, sf), "doc_id", "t").withColumn("score", F.round("score", 6))
+
+
 @query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS c, left(text, 60) AS o FROM documents), h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS hc, min(doc_id) OVER (PARTITION BY o) AS ho FROM k),
 s AS (SELECT doc_id AS x, hc AS y FROM h UNION SELECT doc_id, ho FROM h), e AS (SELECT x, y FROM s WHERE x <> y UNION SELECT y, x FROM s WHERE x <> y),
 r AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, e.y FROM r JOIN e ON r.m = e.x) SELECT n AS doc_id, min(m) AS cluster_id FROM r GROUP BY 1""")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -68,6 +69,29 @@ def test_similarity_band_and_adjudicator(spark):
     assert [resolve.adjudicated(pairs, f, n).count() for f, n in ((None, 5), (say(True, 0.95), 5), (say(False, 0.95), 5), (say(True, 0.4), 5), (say(True, 0.95), 0))] == [0, 1, 0, 0, 0]
 
 
+def test_similarity_without_blocks(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(20)]
+    rows = [(i, " ".join([*base[:-4], *(word() if rng.random() < 0.5 else w for w in base[-4:])])) for i in range(70)]
+    rows += [(100 + i, rows[0][1]) for i in range(5)] + [(200, " ".join(["other", "head", *base[2:]])), (201, ""), (202, None), (203, word())]
+    tenth = [word() for _ in range(10)]  # exactly seven tenths, and less
+    rows += [(300, " ".join(tenth)), (301, " ".join(tenth[:7])), (302, " ".join([*tenth[3:], word()])), (303, " ".join(tenth[4:]))]
+    sets, heads, want = {i: frozenset((t or "").split()) for i, t in rows}, {}, set()
+    for i in sorted(sets):
+        if sets[i] and heads.setdefault(sets[i], i) != i:
+            want.add((heads[sets[i]], i, 1.0))
+    for x, i in heads.items():
+        want |= {(i, j, round(len(x & y) / max(len(x), len(y)), 6)) for y, j in heads.items() if i < j and len(x & y) / max(len(x), len(y)) >= 0.7}
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("block", F.substring("text", 1, 20))
+    df = df.withColumn("t", text.title_tokens(text.normalize_ascii(F.col("text"))))
+    got = [(r.left, r.right, round(r.score, 6)) for r in resolve.similar_sets(df, "id", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (300, 301, 0.7) in want and any(200 in x for x in want)
+    by_block = resolve.similar_pairs(df, "block", "id", lambda a, b: text.token_set_ratio(a("t"), b("t"))).collect()
+    assert not any(r.left < 200 for r in by_block)  # the block of 75 is skipped, and reported
+    assert [r.skipped for r in resolve.skipped_blocks(df, "block").collect()] == [75]
+
+
 def test_blend_shares_unmeasured_weight(spark):
     df = spark.createDataFrame([(80.0, None, 50.0), (None, None, 40.0), (None, None, None), (80.0, 40.0, 100.0)], "role_match double, technical_skills double, freshness double")
     got = [r[0] for r in df.coalesce(1).select(score.blend({c: F.col(c) for c in df.columns}, score.WEIGHTS)).collect()]
