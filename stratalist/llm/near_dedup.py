@@ -3,20 +3,24 @@
 1. Each text becomes its set of word shingles (64-bit hashes) and a SetSketch: for each of ``REGISTERS`` hash functions the
    minimum over the set, as an exponential variable, truncated to an exponentially spaced scale of base ``BASE``. The
    registers of a union are the larger ones, so sketches merge; texts with equal word sequences share one sketch, and
-   only one row stands for them from here on.
-2. Bands of registers are bucket keys. In each bucket of two or more, the member with the lowest hash is the hub, and each
-   member is paired with the hub, never with all others.
+   only one node stands for them from here on.
+2. Bands of registers are bucket keys. A node's weight is the number of rows in all its buckets; the heaviest member of a
+   bucket is its hub, which in a group of copies is close to what they were copied from. Each member is paired with its hubs.
 3. The likelihood of the register comparisons of a pair (how many are larger, smaller, equal), given both set sizes,
-   estimates the Jaccard similarity; hopeless pairs go and each member keeps its best hub. The full sets then decide.
-4. What hubs miss is found exactly: in buckets whose members lie in several components, a prefix filter (the rarest
-   shingles of each set, of which two similar sets must share one) joins members of different components, and the full
-   sets decide again. There is no cap on buckets, partners or candidates.
-5. Components are the lowest id that can be reached over all confirmed links.
+   estimates the Jaccard similarity. Pairs that may be similar are verified on their full sets and joined to components.
+4. What is left are buckets whose members lie in several components. There each member is described by how it differs from
+   the hub: the number of shingles that only one of the two has, and ``PARTS`` bits of them. Two members have at most so much of
+   these differences in common as their bits allow, which bounds their similarity from above. Only pairs of different
+   components that pass this bound leave the join, and their full sets decide. No pair that shares a bucket is lost: there
+   is no cap on buckets, partners or candidates, and no estimate rejects a pair for good. Two sets of similarity 0.8 share a
+   bucket with a probability of 0.99994.
+5. Components are reached over all confirmed links.
 
 Defined results: words are runs of anything but the six ASCII white-space characters, A-Z are lower-cased; a text with
 fewer words than a shingle has its whole sequence as one shingle; null texts and texts without words have an empty set and
-are linked with nothing; repeated rows (same id) count as one document; an empty table gives an empty result; other columns
-are ignored by ``near_groups`` and kept as they are by ``drop_near_copies``.
+are linked with nothing; repeated rows (same id, same text) are alike, and rows of one id with different texts are judged each by
+its own text; a row without an id has that of its group, or null; an empty table gives an empty result; other columns are ignored
+by ``near_groups`` and kept as they are, whatever their names, by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -24,24 +28,25 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators.components import connected_components
-from .shared import materialize, table
+from .shared import materialize, table, unused
 
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Registers that the likelihood compares, and the log-likelihood that a pair may lack before it is dropped.
+#: Registers that the likelihood compares, and the log-likelihood that a pair may lack before it has to wait for step 4.
 ESTIMATED, SLACK = 96, 10.0
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Parts of the shingles in which a pair's common ones are bounded before the pair is made.
-PARTS = 48
+#: Bits, in words of 64, in which the differences of two sets from their hub are compared.
+PARTS = 1024
+WORDS = [f"w{i}" for i in range(PARTS // 64)]
 
 _SEEDS = np.random.Generator(np.random.Philox(20)).integers(1, 2**63, size=(2, REGISTERS), dtype=np.uint64)
 _MULTIPLY, _ADD = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
@@ -119,7 +124,7 @@ def estimate_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, seq (names the word sequence), n, bands, registers (those that the likelihood compares)."""
+    """doc_id, mark, seq (names the word sequence), n, bands, registers (those that the likelihood compares)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +137,10 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(shingles))
                 bands.append(band_keys(own) if len(shingles) else [])
                 registers.append(own[:ESTIMATED].tobytes())
-            columns = [batch.column("doc_id"), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "n", "bands", "registers"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "seq", "n", "bands", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq binary, n long, bands array<long>, registers binary")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark binary, seq binary, n long, bands array<long>, registers binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -147,8 +152,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be similar enough, with their estimated similarity j."""
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that the likelihood does not rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
     # Sizes alone exclude a pair whose smaller set is less than that share of the larger.
@@ -160,90 +165,129 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
                 continue
             r_a, r_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, ESTIMATED) for c in ("r_a", "r_b"))
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            j, lack = estimate_jaccard(r_a, r_b, n_a, n_b, percent / 100)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], ["a", "b", "j"]).filter(pa.array(lack <= SLACK))
+            _, lack = estimate_jaccard(r_a, r_b, n_a, n_b, percent / 100)
+            yield batch.select(["a", "b"]).filter(pa.array(lack <= SLACK))
 
-    return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, j double")
+    return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _enough(n: Column, differ: Column, percent: int) -> Column:
+    """Whether sets of ``n`` shingles together, ``differ`` of which only one has, are similar enough: 2 both = n - differ."""
+    return (100 + percent) * (n - differ) >= 2 * percent * n
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
-
-
-def _missed(bucketed: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of members of different components in buckets that hold several, by prefix filter."""
-    labelled = bucketed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = labelled.join(mixed, "key", "left_semi").select("node", "component").distinct()
-    tokens = sets.join(members, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    tokens = materialize(tokens, "tokens")
-    seen = tokens.groupBy("token").count()
-    order = Window.partitionBy("node").orderBy("count", "token")
-    # Two sets of that similarity share a shingle among the first n - ceil(n * percent / 100) + 1 of any common order.
-    kept = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    counted = tokens.join(seen, "token")
-    # How many of a set's shared shingles fall into each of some parts of all shingles: what two sets have in common is at
-    # most the sum of the smaller counts.
-    part = F.pmod("token", F.lit(PARTS))
-    parts = counted.where("count > 1").groupBy("node").agg(F.array(*[F.count_if(part == i).cast("int") for i in range(PARTS)]).alias("parts"))
-    prefix = counted.withColumn("at", F.row_number().over(order)).join(parts, "node")
-    prefix = materialize(prefix.where((F.col("at") <= kept) & (F.col("count") > 1)).select("token", "node", "component", "n", "parts", "at"), "prefix")
-    by = prefix.groupBy("token", "component").count()
-    by = by.groupBy("token").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("components")).where("components > 1").select("token", "largest")
-    # Within a token's rows, only those outside its largest component look for partners: the largest is one component already.
-    left = prefix.join(by, "token").where("component <> largest").select("token", "largest", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("parts").alias("p_a"), F.col("at").alias("at_a"))
-    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("parts").alias("p_b"), F.col("at").alias("at_b"))
-    fits = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    return pairs
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both, n = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
+    return _with_sets(pairs, sets).where(_enough(n.cast("long"), (n - 2 * both).cast("long"), percent)).select("a", "b")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each pair of a node and its hub (a, b): n and n_hub, how many shingles differ, how many of them share a bit, the bits."""
+    differ = F.transform(F.concat(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a")), lambda x: F.pmod(x, F.lit(PARTS)).cast("int"))
+    rows = _with_sets(pairs, sets).select("a", "b", F.size("s_a").cast("long").alias("n"), F.size("s_b").cast("long").alias("n_hub"), differ.alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at")
+            count = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            bits = np.zeros((batch.num_rows, PARTS), dtype=bool)
+            bits[np.repeat(np.arange(batch.num_rows), count), at.flatten().to_numpy(zero_copy_only=False)] = True
+            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            columns = [*(batch.column(c) for c in ("a", "b", "n", "n_hub")), pa.array(count), pa.array(count - bits.sum(axis=1)), *(pa.array(w) for w in words.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "n_hub", "differ", "hidden", *WORDS])
+
+    return rows.mapInArrow(run, "a long, b long, n long, n_hub long, differ long, hidden long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def _rest(bucketed: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between different components that share a bucket."""
+    labelled = bucketed.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
+    by = labelled.groupBy("key", "component").count()
+    mixed = by.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1")
+    members = materialize(labelled.join(mixed.select("key", "largest"), "key").where("node <> hub"), "members")
+    hub_pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    differences = materialize(_differences(hub_pairs, sets), "differences")
+    with_hub = differences.where(_enough(F.col("n") + F.col("n_hub"), F.col("differ"), percent)).select("a", "b")
+    described = members.join(differences.drop("n_hub").withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"])
+    # Within a bucket, only members outside its largest component look for partners: the largest is one component already.
+    own = ["node", "component", "n", "differ", "hidden", *WORDS]
+    left = described.where("component <> largest").select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in own))
+    right = described.select("key", *(F.col(c).alias(f"{c}_b") for c in own))
+    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b")))
     fits = fits & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    # A pair needs (n_a + n_b) s / (1 + s) shingles in common.
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    # Of the smaller set the first n - ceil(2 n s / (1 + s)) + 1 are enough, as the other is at least as large.
-    short = lambda n: n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    fits = fits & F.when(smaller, F.col("at_a") <= short(F.col("n_a"))).otherwise(F.col("at_b") <= short(F.col("n_b")))
-    return left.join(right, "token").where(fits & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Common differences: as many as there are common bits, and those that hide behind another one's bit in either set.
+    common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b"))) for w in WORDS]) + F.least("hidden_a", "hidden_b")
+    fits = fits & _enough(F.col("n_a") + F.col("n_b"), F.col("differ_a") + F.col("differ_b") - 2 * common, percent)
+    pairs = left.join(right, "key").where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return _confirmed(materialize(pairs, "pairs"), sets, percent).unionByName(with_hub)
 
 
-def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, mark, component (a node), n_shingles, component_id for each row (doc_id, mark, text)."""
     rows = materialize(_sketches(docs, k), "sketches")
-    # One node, the lowest id, stands for all texts with the same words.
-    nodes = rows.where("n > 0").groupBy("seq").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    # One node stands for all texts with the same words. Its number is written once and only read from there.
+    nodes = rows.where("n > 0").groupBy("seq").agg(F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    nodes = nodes.withColumn("low", F.col("of.doc_id")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hub = F.min(F.struct(F.xxhash64("node", F.col("band") % 4).alias("h"), "node"))
-    hubs = banded.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.node").alias("hub"))
-    bucketed = materialize(banded.select("node", "key").join(hubs, "key"), "bucketed")
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    bucketed = materialize(banded.join(sizes, "key"), "buckets")
+    weights = bucketed.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = bucketed.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    bucketed = materialize(bucketed.select("node", "key").join(hubs, "key"), "bucketed")
     pairs = bucketed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    sketches = nodes.select("node", "n", "registers")
-    best = _estimated(pairs, sketches, percent).groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
-    members = bucketed.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialize(_sets(texts.join(members, "doc_id").select(F.col("doc_id").alias("node"), "text"), k), "sets")
-    links = connected_components(_confirmed(best, sets, percent))
-    more = _confirmed(_estimated(_missed(bucketed, links, sets, percent), sketches, percent), sets, percent)
+    # One text for each node that shares a bucket.
+    members = nodes.join(weights, "node", "left_semi").select("node", "of.*")
+    sets = materialize(_sets(docs.join(members, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]), k), "sets")
+    links = connected_components(_confirmed(materialize(_likely(pairs, nodes.select("node", "n", "registers"), percent), "likely"), sets, percent))
+    more = _rest(bucketed, links, sets, percent)
     # What the second pass found links whole components: one edge for each two of them.
     for side in ("a", "b"):
         more = more.join(links.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
     merged = connected_components(more.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).distinct())
-    component = nodes.select("node").join(links, "node", "left").select("node", F.coalesce("component", "node").alias("first"))
-    component = component.join(merged.select(F.col("node").alias("first"), F.col("component").alias("last")), "first", "left").select("node", F.coalesce("last", "first").alias("component"))
-    by_seq = nodes.select("seq", "node").join(component, "node", "left").select("seq", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "seq", "n").join(by_seq, "seq", "left")
-    found = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), (found == F.col("doc_id")).alias("kept"))
+    component = nodes.select("node", "seq", "low").join(links, "node", "left").withColumn("first", F.coalesce("component", "node"))
+    component = component.select("seq", "low", "first").join(merged.select(F.col("node").alias("first"), F.col("component").alias("last")), "first", "left")
+    component = materialize(component.select("seq", "low", F.coalesce("last", "first").alias("component")), "components")
+    lowest = component.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = rows.select("doc_id", "mark", "seq", "n").join(component.join(lowest, "component").select("seq", "component", "component_id"), "seq", "left")
+    found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "mark", "component", F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+#: Stands for a missing id, so that no row loses its partner.
+NO_ID = 2**63 - 1
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (never null), text, and a mark of the text: rows of one id may hold different texts."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.withColumn("mark", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    out = _grouped(_marked(docs, id_col, text_col), k, percent)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(known("doc_id"), "n_shingles", known("component_id"), ((F.col("component_id") == F.col("doc_id")) & (F.col("doc_id") != NO_ID)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group, with all their columns; of repeated rows one stays."""
-    kept = near_groups(docs, k=k, percent=percent, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.withColumn("__id", F.col(id_col).cast("long")).join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """The rows of ``docs`` that stay, one for each group (of the lowest id, then of the lowest mark of its text), with all their columns."""
+    kept = _grouped(_marked(docs, id_col, text_col), k, percent).where("component_id = doc_id")
+    # A text without words is no group: of its rows with one id and one text, one stays.
+    low = kept.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("of")).select("of.*")
+    low = low.unionByName(kept.where("n_shingles = 0").select("doc_id", "mark"))
+    name_id, name_mark = unused(docs, 2)
+    low = low.select(F.col("doc_id").alias(name_id), F.col("mark").alias(name_mark))
+    keyed = docs.withColumns({name_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), name_mark: F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))})
+    return keyed.join(low, [name_id, name_mark], "left_semi").dropDuplicates([name_id, name_mark]).drop(name_id, name_mark)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

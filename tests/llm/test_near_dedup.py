@@ -124,3 +124,40 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     want = {i: 1 for i in range(1, 61)} | {i: 400 for i in [*range(400, 480), 500]} | {i: 700 for i in (700, 701, 702)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_equals_brute_force_on_the_larger_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 4, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.op6_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
+def test_links_that_no_hub_has(spark):
+    # Pairs of copies of one text: each pair alike, but too far from the text and from all other pairs.
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(60):
+        own = [*base]
+        for at in rng.sample(range(0, 120), 5):
+            own[at] = word()
+        rows.append((10 * i, " ".join(own)))
+        own[rng.randrange(120)] = word()
+        rows.append((10 * i + 1, " ".join(own)))
+    want = brute(rows, 4, 80)
+    assert len({c for _, c in want.values()}) > 20
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_repeated_and_missing_ids_with_several_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one, "x"), (1, two, "y"), (1, two, "z"), (2, one + " end", "x"), (3, two + " end", "x"), (None, three, "x"), (None, three + " end", "y"), (None, None, "n"), (None, "own words " * 9, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_0 string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in nd.near_groups(docs, k=4).collect())
+    assert [x for x in got if x[0]] == [(1, 57, 1, True), (1, 57, 1, True), (1, 57, 1, True), (2, 58, 1, False), (3, 58, 1, False)]
+    kept = nd.drop_near_copies(docs, k=4)
+    assert kept.columns == docs.columns
+    texts = sorted((r.text or "", r.own_0) for r in kept.collect())
+    assert len(texts) == 5 and {one, two, "", "own words " * 9} <= {t for t, _ in texts}
