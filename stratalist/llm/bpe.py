@@ -7,8 +7,9 @@ O(n log n) by the segment tree.
 
 Defined results: a null text counts as empty (no tokens, empty decoded text); special strings inside a text become
 their special token, as the library's default does; repeated rows give repeated results; an empty table gives an empty
-result; other columns are ignored. Letters that only one of the two Unicode versions (Python's, the library's) knows may
-differ in class or case.
+result; other columns are ignored. Letters and numbers are those of Unicode 16, lower case is that of Unicode 17 and combining marks
+are those of Unicode 9, as the library has them; a text with a character for which Python or the installed ``regex`` follow another version takes a
+second, slower pattern and normaliser.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Tokenizer:
     whole: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.unicode = _Unicode()
         self.by_id = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         letters = byte_letters()
         self.first = [self.vocab[x] for x in letters]
@@ -174,9 +176,64 @@ def prove_whole_tokens(tok: Tokenizer) -> dict[str, int]:
     return proven
 
 
-def normalize(text: str) -> str:
+def _points(ranges: str) -> set[int]:
+    """The code points of blank-separated hexadecimal ranges."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return {c for r in ends for c in range(r[0], r[-1] + 1)}
+
+
+#: Letters and numbers that came with Unicode 16.
+LETTERS_16 = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 "
+    "13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+)
+NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Combining marks later than Unicode 9, which the library's normaliser neither reorders nor composes.
+LATER_MARKS = (
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e "
+    "11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+#: Capitals that came with Unicode 16 and 17, and their small letters.
+LATER_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+class _Unicode:
+    """How the library's Unicode versions differ from those of this Python and of ``regex``."""
+
+    def __init__(self) -> None:
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        own, more = {}, {"L": _points(LETTERS_16), "N": _points(NUMBERS_16)}
+        # A later Python may know more than Unicode 16: what it added in between is no letter to the library.
+        for kind, added in more.items():
+            known = {ord(c) for c in every if unicodedata.category(c)[0] == kind} if unicodedata.unidata_version < "17" else set()
+            found = {ord(c) for c in regex.findall(rf"\p{{{kind}}}", every)}
+            if not known:
+                raise RuntimeError("Unicode 17 or later: fix the letters and numbers of Unicode 16 here")
+            own[kind] = found - known - added
+            if lacking := (known | added) - found:
+                raise RuntimeError(f"regex is older than Unicode 16: {len(lacking)} characters")
+        #: Characters that send a text the slow way.
+        self.odd = frozenset(chr(c) for c in {*own["L"], *own["N"], *_points(LATER_MARKS), *LATER_CAPITALS})
+        self.classes = {rf"\p{{{k}}}": rf"[\p{{{k}}}--[{''.join(map(regex.escape, map(chr, sorted(v))))}]]" if v else rf"\p{{{k}}}" for k, v in own.items()}
+        self.marks = regex.compile(f"([{''.join(map(chr, sorted(_points(LATER_MARKS))))}])")
+
+    def pattern(self, pattern: str) -> str:
+        for name, exact in self.classes.items():
+            pattern = pattern.replace(name, exact)
+        return f"(?V1){pattern}"
+
+    def compose(self, text: str) -> str:
+        return "".join(unicodedata.normalize("NFC", part) for part in self.marks.split(text))
+
+
+def normalize(text: str, exact: _Unicode | None = None) -> str:
     """NFC, white space to one space, lower case letter by letter (a final sigma is no exception)."""
-    return regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+    composed = exact.compose(text) if exact else unicodedata.normalize("NFC", text)
+    lower = regex.sub(r"\s+", " ", composed).replace("Σ", "σ")
+    return (lower.translate(LATER_CAPITALS) if exact else lower).lower()
 
 
 class _Pieces:
@@ -184,6 +241,7 @@ class _Pieces:
 
     def __init__(self, tok: Tokenizer) -> None:
         self.findall = regex.compile(tok.pattern).findall
+        self.exact, self.findall_exact = tok.unicode, regex.compile(tok.unicode.pattern(tok.pattern)).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(tok.specials, key=len, reverse=True)))) if tok.specials else None
         self.lower, self.marks = tok.lower, tuple(tok.specials)
 
@@ -199,7 +257,9 @@ class _Pieces:
         yield self.words(text[at:]), None
 
     def words(self, text: str) -> list[str]:
-        return self.findall(normalize(text) if self.lower else text)
+        if text.isascii() or self.exact.odd.isdisjoint(text):
+            return self.findall(normalize(text) if self.lower else text)
+        return self.findall_exact(normalize(text, self.exact) if self.lower else text)
 
 
 class _Cache(dict):

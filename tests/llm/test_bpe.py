@@ -72,3 +72,16 @@ def test_every_whole_token_is_proven():
     assert len(whole) > 40_000
     sample = random.Random(3).sample(sorted(whole.items()), 2_000)
     assert all(lib.encode(w, add_special_tokens=False).ids == [i] for w, i in sample)
+
+
+def test_every_code_point_equals_the_library():
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not 0x34000 <= c < 0xE0000 and c < 0xE0200]
+    marks = [c for c in points if unicodedata.combining(c)]
+    forms = [f"a{c}b {c}" for c in points] + [f"q{c}\u0334\u0323{c}\u0300 1{c}\u0345" for c in marks] + ["\U00011935\U00011930", "\u0c3c\u0323e\u0301"]
+    for name, kind in (("word_bpe_49k.json", bpe.Encoder), ("byte_bpe_50k.json", bpe.Encoder)):
+        path = bpe.tokenizer_path(name)
+        lib, own = Library.from_file(path), kind(bpe.load_tokenizer(path))
+        for at in range(0, len(forms), 32):
+            text = "\n".join(forms[at : at + 32])
+            ids = np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            assert b"".join(own.encode(text)) == ids, [f for f in forms[at : at + 32] if b"".join(own.encode(f)) != np.array(lib.encode(f, add_special_tokens=False).ids, "<u4").tobytes()]
