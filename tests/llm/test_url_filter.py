@@ -25,7 +25,7 @@ def brute(url: str | None) -> tuple:
     return host, path, rule and rule.text, rule.verdict if rule else method
 
 
-@pytest.mark.parametrize("max_bits", [uf.MAX_BITS, 0])
+@pytest.mark.parametrize("max_bits", [uf.MAX_BITS, 8])
 def test_judges_like_brute_force(spark, max_bits):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*URLS, URLS[5]])], "page_id long, url string, verdict string")
     listed = pages.select(uf.host_and_path(F.col("url"))[0].alias("h")).where(F.col("h").rlike(uf.AD_HOST))
@@ -42,6 +42,21 @@ def test_cascade_is_exact_with_many_levels(spark):
     keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
     cascade = uf.fit_cascade(keys)
     assert len(cascade.levels) > 3
-    assert keys.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
+    assert keys.where(cascade.listed(F.array("key", "key"))[1] != F.col("listed")).count() == 0
     bits = sum(x.bits for x in cascade.levels)
     assert bits < 8 * 40_000 / 3
+
+
+def test_a_long_list_is_dealt_over_several_cascades(spark):
+    assert uf.shards_of(2, 30, 8) > 1 and uf.shards_of(2, 30, uf.MAX_BITS) == 1
+    pages = spark.range(3_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 500).cast("string"), F.lit(".org/")).alias("url"))
+    listed = spark.range(0, 500, 3).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("h"))
+    got = uf.judge_urls(pages, [], listed, max_bits=600)
+    assert uf.shards_of(167, 333, 600) > 1
+    assert got.where((F.col("verdict") == "block") != (F.col("page_id") % 500 % 3 == 0)).count() == 0 and got.count() == 3_000
+
+
+def test_hosts_of_tracked_links_are_listed(spark):
+    urls = ["http://a.org/?utm_source=x", "http://a.org/?x=1&utm_id=2", "http://A.org/", "http://b.org/?utm_source=x", "http://b.org/", "http://ads.c.org/", None, "utm_x=", "http://d.org/utm_source="]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert sorted(r.host for r in uf.listed_hosts(pages).collect()) == ["a.org", "ads.c.org"]
