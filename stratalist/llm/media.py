@@ -1,14 +1,13 @@
 """Operator 7: media columns over content-addressed payloads in tar shards.
 
 Each text, as UTF-8 padded with zero bytes to a positive multiple of 64, becomes a lossless 8-bit grey PNG of 64 samples a
-row. Every task packs its payloads into tar shards in the shared folder, each distinct payload once a shard under its digest; the rows
-keep digest, shard, offset and length. Metadata columns (width, height, bits) come from range reads of the 33 header bytes
-alone; features and read-back digests from one range read of each stored payload. Texts are never shuffled; a shard is named after
-the attempt that wrote it, and only shards of successful attempts are referred to, so lost executors do no harm.
-
-Defined results: null and empty texts become one row of 64 zero bytes; equal texts have equal values everywhere but for
-shard and offset (copies in different shards are stored once in each; ``manifest`` names one place for each digest);
-an empty table gives an empty result; other columns are ignored.
+row. Every task packs its payloads into tar shards in the shared folder, each distinct payload once a shard under its digest. The manifest
+names one place for each digest, and every row refers to that place by digest, shard, offset and length; what other shards hold of the same digest
+is referred to by no row. Metadata columns (width, height, bits) come from range reads of the 33 header bytes
+alone; features and read-back digests from one range read of each place of the manifest, dealt over tasks by their bytes. Texts are never shuffled;
+a shard is named after the attempt that wrote it, and only shards of successful attempts are referred to, so lost executors do no harm.
+
+Defined results: null and empty texts become one row of 64 zero bytes; equal texts have equal values, place included; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,9 +139,18 @@ def store_payloads(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
 
 
 def manifest(index: DataFrame) -> DataFrame:
-    """One place for each digest."""
-    at = F.min(F.struct("shard", "offset", "length")).alias("at")
-    return index.groupBy("digest").agg(at).select("digest", "at.*")
+    """One place for each digest: of a hot digest, combined before the shuffle."""
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+
+
+#: Stored bytes that one task reads, about.
+READ_BYTES = 16 << 20
+
+
+def by_bytes(places: DataFrame) -> DataFrame:
+    """The places in order of shard and offset, in as many tasks as their bytes need."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    return places.repartitionByRange(1 + int(total) // READ_BYTES, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 class _Reader:
@@ -203,7 +211,9 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Stores the payloads; the index with all metadata and feature columns, and the folder of its shards."""
     folder = new_path(docs.sparkSession, "media")
     index = store_payloads(docs, folder, id_col=id_col, text_col=text_col)
-    return content_columns(header_columns(index, folder), folder), folder
+    places = materialize(manifest(index), "manifest")
+    read = materialize(content_columns(header_columns(by_bytes(places), folder), folder), "media-columns")
+    return index.select("doc_id", "n_bytes", "digest").join(read, "digest"), folder
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,20 @@
 A classifier fitted on the labelled table gives each document a posterior over the domains: naive Bayes over binned text
 statistics and the presence of a few telling words. Nonnegative rates r of the documents are then fitted by projected-
 gradient least squares so that the expected tokens of each domain, sum over documents of r * tokens * posterior, match
-the targets. The gradient of a document is its posterior times the residuals of the domains, so each round is one
-aggregation over a compact table, combined before its shuffle, which returns one row: as many sums as domains, and their curvature,
-which scales the step. A document's rate is an expression of its own posterior and the rounds' steps; nothing is joined
-back. Everything is DataFrame expressions.
+the targets, and of the rates that do, those nearest to 1 are taken. The gradient of a document is its posterior times the residuals of
+the domains. The rounds' steps add up to one multiplier a domain, and the projection is taken of their sum (lazily): a document's rate
+is max(0, 1 - posterior . multipliers), an expression of its own columns; nothing is joined back. A round is one aggregation over a compact
+table, combined before its shuffle, which returns one row: for each of several step lengths the sums of the domains, and their curvature over
+the documents above zero, which scales the next step. Rounds go on until the conditions of the optimum hold. Everything is DataFrame expressions.
 
-Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of their id; words are
-told apart by at most ``WORDS`` of them. All documents are scored, and the sums cover all of them.
+Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of their id; ``WORDS``, ``SUPPORT`` and ``LIFT`` say which
+words it looks at and are its parameters. All documents are scored, and the sums cover all of them.
 
 Defined results: null and empty texts have no tokens and the posterior of their statistics; repeated rows are rated alike
 and drawn alike; labels of unknown domains are ignored, and an id with several labels has the lowest in order of the
 targets; a domain without labelled rows has no members; without labels all domains are equally likely; targets that
-cannot be met are met as nearly as nonnegative rates allow; an empty table gives an empty result; other columns are kept by ``mix``.
+cannot be met are met as nearly as nonnegative rates allow; an empty table gives an empty result; other columns are kept by ``mix``,
+whatever their names; a table without the column of sources has a null source.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ SUPPORT = 0.02
 #: and that many times as often as in the other domains.
 LIFT = 4.0
 SYMBOLS = "!#$%&*|<>{}[]=_~^@+\\/"
-ROUNDS, TOLERANCE = 40, 1e-7
+#: Weights of the distance from 1, from coarse to fine; the residual of the optimum, as a share of the tokens; and step lengths.
+RIDGES, TOLERANCE, STEPS = (1e-2, 1e-4, 1e-6, 1e-8), 1e-9, (1.0, 0.5, 0.2, 0.05, 0.01, 1e-3)
 #: Steps of the draw: a rate of 1.25 is one copy, and a second for a quarter of the ids.
 DRAW_STEPS = 1 << 20
 
@@ -152,50 +155,60 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id
     return Classifier(tuple(domains), tuple(map(float, base)), bins, tuple(float(math.log(0.5 / (x + 20))) for x in n), words)
 
 
-def rate_of(steps: list[tuple[float, ...]]) -> Column:
-    """A document's rate after some projected steps from 1: max(0, r - p . step), once for each."""
-    r = F.lit(1.0)
-    for g in steps:
-        r = F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [F.col(f"__p{d}") * F.lit(x) for d, x in enumerate(g)]))
-    return r
+def rate_of(multipliers: tuple[float, ...]) -> Column:
+    """A document's rate: 1 less the steps along its posterior, projected to what is not negative."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, [F.col(f"__p{d}") * F.lit(float(x)) for d, x in enumerate(multipliers)]))
 
 
-def fit_steps(rows: DataFrame, weights: list[float]) -> list[tuple[float, ...]]:
-    """The steps that take the rates of (__tokens, __p0, ...) to the targets."""
+def fit_steps(rows: DataFrame, weights: list[float]) -> tuple[float, ...]:
+    """The domains' multipliers that take the rates of (__tokens, __p0, ...) to the targets.
+
+    They minimise sum(x r^2) / 2 + share . m + ridge |m|^2 / 2, x being a document's share of the tokens, whose gradient is that of
+    the least squares: share - sum(x p r) + ridge m. It is piecewise quadratic, so a step scaled by the curvature of the documents
+    above zero, shortened where it overshoots, ends at the optimum after a few rounds.
+    """
     k = range(len(weights))
-    share = np.array(weights) / sum(weights)
+    share = np.array(weights, dtype=float) / sum(weights)
     total = float(rows.agg(F.sum("__tokens")).first()[0] or 0)
+    m = np.zeros(len(weights))
     if not total:
-        return []
+        return tuple(m)
     pairs = [(i, j) for i in k for j in k if i <= j]
-
-    def sums(steps: list) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the domains, and the curvature over documents that can still move."""
-        x, r = F.col("__tokens") / total, F.col("r")
-        free = F.when(r > 0, x).otherwise(0.0)
-        out = rows.withColumn("r", rate_of(steps)).agg(*[F.sum(x * r * F.col(f"__p{d}")) for d in k], *[F.sum(free * F.col(f"__p{i}") * F.col(f"__p{j}")) for i, j in pairs]).first()
-        m = np.zeros((len(weights), len(weights)))
-        for (i, j), v in zip(pairs, out[len(weights) :], strict=True):
-            m[i, j] = m[j, i] = v
-        return np.array(out[: len(weights)]), m
-
-    steps: list[tuple[float, ...]] = []
-    have, curvature = sums(steps)
-    for _ in range(ROUNDS):
-        gap = have - share
-        if np.abs(gap).max() < TOLERANCE:
-            break
-        # The scaled step first; where the bound at zero makes it fall short, the plain one, which always descends.
-        plain = gap / max(np.linalg.eigvalsh(curvature)[-1], 1e-12)
-        for step in (np.linalg.pinv(curvature, rcond=1e-9) @ gap, plain):
-            tried = [*steps, tuple(round(float(g), 9) for g in step)]
-            now, next_curvature = sums(tried)
-            if np.sum((now - share) ** 2) < 0.7 * np.sum(gap**2):
+    x = F.col("__tokens") / total
+
+    def sums(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each multipliers: half the sum of squares, the shares of the domains, and the curvature. One pass for all."""
+        out = []
+        for t in tried:
+            r = rate_of(tuple(t))
+            free = F.when(r > 0, x).otherwise(0.0)
+            out += [F.sum(x * r * r) / 2, *(F.sum(x * r * F.col(f"__p{d}")) for d in k), *(F.sum(free * F.col(f"__p{i}") * F.col(f"__p{j}")) for i, j in pairs)]
+        row, found = [float(v) for v in rows.agg(*out).first()], []
+        for at in range(0, len(row), 1 + len(k) + len(pairs)):
+            c = np.zeros((len(k), len(k)))
+            for (i, j), v in zip(pairs, row[at + 1 + len(k) :], strict=False):
+                c[i, j] = c[j, i] = v
+            found.append((row[at], np.array(row[at + 1 : at + 1 + len(k)]), c))
+        return found
+
+    at = sums([m])[0]
+    for ridge in RIDGES:
+        while True:
+            gradient = share - at[1] + ridge * m
+            if np.abs(gradient).max() < TOLERANCE:
+                break
+            newton = -np.linalg.solve(at[2] + ridge * np.eye(len(m)), gradient)
+            tried = [m + s * newton for s in STEPS]
+            value = lambda t, f: f[0] + share @ t + ridge * (t @ t) / 2  # noqa: B023, E731
+            found = sums(tried)
+            best = min(range(len(tried)), key=lambda i: value(tried[i], found[i]))  # noqa: B023
+            # At the precision of the sums no step goes down any more.
+            if value(tried[best], found[best]) >= value(m, at) - 1e-15 * max(1.0, abs(value(m, at))):
                 break
-        if np.sum((now - share) ** 2) >= np.sum(gap**2) * (1 - 1e-6):
+            m, at = tried[best], found[best]
+        if np.abs(share - at[1]).max() < 1e-7:
             break
-        steps, have, curvature = tried, now, next_curvature
-    return steps
+    return tuple(float(v) for v in m)
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
@@ -203,28 +216,29 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(doc_id, F.lit(4)), F.lit(DRAW_STEPS)) / DRAW_STEPS).cast("long")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str, keep: list[str]) -> tuple[Classifier, DataFrame, list]:
-    model = fit_classifier(docs, labels, list(targets), id_col=id_col, text_col=text_col)
-    p = [f"__p{d}" for d in range(len(targets))]
-    scored = model.add_to(with_statistics(docs.select(*keep, F.col(text_col).alias("__text")), "__text"))
-    scored = materialize(scored.select(*keep, "__tokens", *p), "posteriors")
-    return model, scored, fit_steps(scored, list(targets.values()))
+def _scored(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str, keep: list[Column]) -> DataFrame:
+    """The kept columns, __tokens and the posteriors of each row, as a written table."""
+    model = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col)
+    p = [f"__p{d}" for d in range(len(domains))]
+    rows = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("__text"))
+    return materialize(model.add_to(with_statistics(rows, "__text")).select("kept", "__tokens", *p), "posteriors")
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, n_tokens, a posterior p_<domain> for each domain, rate and copies, for each row."""
-    _, scored, steps = _fitted(docs, labels, targets, id_col, text_col, [id_col, "source"])
-    rated = scored.withColumn("rate", F.round(rate_of(steps), 6))
+    source = F.col(source_col) if source_col in docs.columns else F.lit(None).cast("string")
+    scored = _scored(docs, labels, list(targets), id_col, text_col, [F.col(id_col).alias("doc_id"), source.alias("source")])
+    rated = scored.withColumn("rate", F.round(rate_of(fit_steps(scored, list(targets.values()))), 6))
     names = [F.col(f"__p{d}").alias(f"p_{name}") for d, name in enumerate(targets)]
-    return rated.select(F.col(id_col).alias("doc_id"), "source", F.col("__tokens").alias("n_tokens"), *names, "rate", copies_of(F.col("rate"), F.col(id_col)).alias("copies"))
+    return rated.select("kept.*", F.col("__tokens").alias("n_tokens"), *names, "rate", copies_of(F.col("rate"), F.col("kept.doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with all their columns."""
-    model, _, steps = _fitted(docs, labels, targets, id_col, text_col, [id_col])
-    rated = model.add_to(with_statistics(docs, text_col)).withColumn("__copies", copies_of(F.round(rate_of(steps), 6), F.col(id_col)))
-    drawn = rated.where("__copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__i"))
-    return drawn.drop("__i")
+    scored = _scored(docs, labels, list(targets), id_col, text_col, [F.struct("*").alias("row"), F.col(id_col).alias("doc_id")])
+    copies = copies_of(F.round(rate_of(fit_steps(scored, list(targets.values()))), 6), F.col("kept.doc_id"))
+    drawn = scored.select("kept.row", copies.alias("copies")).where("copies > 0")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

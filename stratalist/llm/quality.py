@@ -5,9 +5,8 @@ short blocks, each compressed on its own with either dictionary (so the dictiona
 text as at its start), and once as a whole. The difference of the two sizes over their sum, with the sizes per byte, goes
 through a logistic calibration that is fitted on labelled rows which no dictionary has seen.
 
-Bounds of the fit, all parameters of ``Sample``: rows for each dictionary, rows for the calibration, and bytes of a
-text that a dictionary is built from. Only these rows' texts come to the driver; each document is scored where it is, in
-one pass without a shuffle. The rows of a sample are chosen by a hash of their id, so the fit is the same on every run.
+Bounds of the fit, both parameters of ``Sample``: rows for each dictionary and rows for the calibration. Only the whole texts
+of the former come to the driver; each document is scored where it is, in one pass without a shuffle. The rows of a sample are chosen by a hash of their id, so the fit is the same on every run.
 
 Defined results: an empty or null text scores 0; repeated rows score alike; with labels of one class only (or none) there
 is nothing to tell apart and every non-empty text scores the share of label 1 (0.5 without labels); labels of null are
@@ -17,7 +16,6 @@ their names, are left as they are. Labels, language, source and id are no inputs
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import table
 
@@ -36,7 +35,6 @@ class Sample:
 
     dictionary_rows: int = 2_000  # for each class
     calibration_rows: int = 4_000
-    text_bytes: int = 32_768  # longer texts are not used for the dictionaries
     dictionary_bytes: int = 32_768
     block: int = 192
     level: int = 3
@@ -56,7 +54,7 @@ class Model:
 
 
 THRESHOLD = 0.3
-FEATURES = 6
+FEATURES = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,7 +84,7 @@ class _Compressors:
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         good, bad = (sum(map(len, map(c, blocks))) for c in self.both)
         n = len(raw)
-        return [(bad - good) / (bad + good), good / n, bad / n, *(len(c(raw)) / n for c in self.both), math.log(n)]
+        return [(bad - good) / (bad + good), good / n, bad / n, *(len(c(raw)) / n for c in self.both)]
 
 
 _MODELS: dict[int, _Compressors] = {}
@@ -127,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     picked = picks[0].unionByName(picks[1]).unionByName(picks[2]).select("doc_id", "quality", "use")
     # picked has at most 2 * dictionary_rows + calibration_rows rows, so it is broadcast and the texts aren't shuffled.
     texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked), "doc_id")
-    own = texts.where(F.col("use") < 2).where(F.octet_length("text") <= sample.text_bytes).select("use", F.col("text").cast("binary").alias("text")).collect()
+    own = texts.where(F.col("use") < 2).select("use", F.col("text").cast("binary").alias("text")).collect()
     by = {q: sorted(bytes(r.text) for r in own if r.use == q) for q in (1, 0)}
     if not by[1] or not by[0]:
         return Model(b"", b"", True, sample.block, sample.level, prior=counts[1] / (counts[0] + counts[1]))
@@ -156,41 +154,40 @@ def _with_features(df: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(add, "quality long, " + ", ".join(f"__f{i} double" for i in range(FEATURES)))
 
 
-def score_rows(docs: DataFrame, model: Model, *, text_col: str = "text", columns: list[str] | None = None, name: str = "__score") -> DataFrame:
-    """The given columns of each row (all, by default), with the score as a further column ``name``."""
+def _scores(texts: pa.Array, m: Model) -> np.ndarray:
+    out = np.zeros(len(texts))
+    x = [None if not (t := v.as_py()) else t for v in texts]
+    at = [i for i, t in enumerate(x) if t is not None]
+    if not m.weights:
+        out[at] = m.prior
+    elif at:
+        c = _compressors(m)
+        f = (np.array([c.features(x[i]) for i in at]) - m.mean) / m.scale
+        out[at] = 1 / (1 + np.exp(-np.clip(np.c_[f, np.ones(len(at))] @ np.array(m.weights), -30, 30)))
+    return out
+
+
+def score_rows(docs: DataFrame, model: Model, kept: Column, *, text_col: str = "text") -> DataFrame:
+    """kept, any column of a row, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns if columns is None else columns
-
-    def scores(texts: pa.Array) -> np.ndarray:
-        m = shared.value
-        out = np.zeros(len(texts))
-        x = [None if not (t := v.as_py()) else t for v in texts]
-        at = [i for i, t in enumerate(x) if t is not None]
-        if not m.weights:
-            out[at] = m.prior
-        elif at:
-            c = _compressors(m)
-            f = (np.array([c.features(x[i]) for i in at]) - m.mean) / m.scale
-            out[at] = 1 / (1 + np.exp(-np.clip(np.c_[f, np.ones(len(at))] @ np.array(m.weights), -30, 30)))
-        return out
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores(b.column(0)))], [*b.schema.names[1:], name])
+            yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(_scores(b.column("text"), shared.value))], ["kept", "score"])
 
-    schema = docs.select(*columns).schema.add(name, "double")
-    return docs.select(F.col(text_col).alias("__text"), *columns).mapInArrow(add, schema)
+    rows = docs.select(kept.alias("kept"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(add, StructType([rows.schema["kept"]]).add("score", "double"))
 
 
 def classify(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    scored = score_rows(docs, model, columns=["doc_id"], name="score")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    scored = score_rows(docs, model, F.col("doc_id"))
+    return scored.select(F.col("kept").alias("doc_id"), held_out(F.col("kept")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: Sample = Sample()) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    return score_rows(docs, fit(docs, labels, sample)).where(F.col("__score") >= threshold).drop("__score")
+    return score_rows(docs, fit(docs, labels, sample), F.struct("*")).where(F.col("score") >= threshold).select("kept.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
