@@ -2,13 +2,15 @@
 
 Entities (e-mail addresses, telephone, card and social security numbers, IBANs, IP addresses, access keys, secrets and titled person names) are found
 by patterns. Each distinct entity gets a surrogate from SHA-256 of a secret key, its type and its canonical form: digits
-stay digits, letters keep their case and script, separators stay, card numbers stay Luhn-valid, IP octets stay in range,
-person names keep the gender that their title tells. The same entity has the same surrogate in every document. Surrogates that
+stay digits, letters keep their case and script, separators stay, card numbers stay Luhn-valid and IBANs keep valid check digits, IP octets stay in range,
+person names keep the gender that their title tells. The same entity has the same surrogate in every document, however it is written: an e-mail in
+any case, a number with any separators, a secret after any label, a person under any form of the title. Surrogates that
 collide with another surrogate, or with an entity of the corpus, are drawn again with the next attempt number until none
-does, over the whole corpus and without collecting any.
+does, over the whole corpus and without collecting any. Where a format has too few free forms, late attempts lengthen the surrogate.
 
-Texts without an entity pass through and are not shuffled; the others meet their surrogates by document id. A hot
-entity is one row in the table of distinct entities, combined before its shuffle, and skewed joins are split at run time.
+A text is searched only if it holds what every match of some pattern needs (``NEEDS``). Texts without an entity are not shuffled; the others
+meet their surrogates by row. A hot entity is one row in the table of distinct entities, combined before its shuffle, and skewed
+joins are split at run time. Untitled names and postal addresses are not detected.
 
 Defined results: a null text stays null; an empty one stays empty; repeated rows (same id, same text) give repeated rows;
 ties between patterns go to the leftmost match, then to the first pattern listed; an empty table gives an empty result; other
@@ -17,10 +19,12 @@ columns are ignored by ``pseudonymize``.
 
 from __future__ import annotations
 
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .shared import materialize, table
 
 #: The patterns, in order of precedence. None has a capturing group.
@@ -33,11 +37,24 @@ PATTERNS = {
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     "card": r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b|\b3[47][0-9]{13}\b",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])",
     "person": r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Only texts with one of these can hold an entity; the rest is not searched.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|key)|Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа|Κύριος|Κυρία"
+#: What each match of a pattern contains. Together they are a cheap test of which texts to search; it excludes no match.
+NEEDS = {
+    "email": "@",
+    "key": "AKIA|ASIA|ghp_|gho_|ghs_|sk-",
+    "secret": "(?i:password|passwd|pwd|token|secret|api_?key)",
+    "iban": "[0-9]",
+    "phone": "[0-9]",
+    "ssn": "[0-9]",
+    "ip": "[0-9]",
+    "card": "[0-9]",
+    "ipv6": "[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "person": "Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа|Κύριος|Κυρία",
+}
+HINT = "|".join(dict.fromkeys(NEEDS.values()))
 
 #: Given names by gender and script, and the syllables that surnames are made of.
 GIVEN = {
@@ -54,7 +71,8 @@ SYLLABLES = {
     "greek": "βαλ δορ φεν γαρ χολ ζαν κελ λιν μορ ναρ πολ ρεν σαλ τορ βιν ξεσ".split(),
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Madam|Frau|Madame|Señora|Госпожа|Κυρία)\b"
-ROUNDS = 64
+#: Attempts after which each further one makes a surrogate one character longer.
+LONGER_AFTER = 6
 
 
 def type_of(entity: Column) -> Column:
@@ -67,13 +85,28 @@ def type_of(entity: Column) -> Column:
 def canonical(entity: Column, kind: Column) -> Column:
     """What one and the same entity has in common however it is written."""
     digits = F.regexp_replace(entity, "[^0-9A-Za-z+]", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "iban", "ssn"), digits).otherwise(entity)
+    value = F.regexp_replace(entity, SECRET_LABEL, "")
+    person = F.concat(_gender(entity), F.lit("|"), F.regexp_replace(entity, r"^\S+ ", ""))
+    out = F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "iban", "ssn"), digits)
+    return out.when(kind == "ipv6", F.lower(entity)).when(kind == "secret", value).when(kind == "person", person).otherwise(entity)
+
+
+#: What comes before the value of a secret.
+SECRET_LABEL = r"^(?i:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*\"?"
+
+
+def _gender(entity: Column) -> Column:
+    return F.when(entity.rlike(FEMALE), "f").otherwise("m")
 
 
-def _draw(seed: Column, i: Column, n: int) -> Column:
-    """A number below n from the i-th two bytes of the keyed stream."""
-    block = F.sha2(F.concat(seed, F.lit("|"), F.floor(i / 16).cast("string")), 256)
-    return F.pmod(F.conv(F.substr(block, (F.pmod(i, F.lit(16)) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int"), F.lit(n))
+def _draw(stream: Column, i: Column, n: int) -> Column:
+    """A number below n from the i-th four hexadecimal digits of a keyed stream."""
+    return F.pmod(F.conv(F.substr(stream, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int"), F.lit(n))
+
+
+def _stream(seed: Column, count: Column) -> Column:
+    """Hexadecimal digits for ``count`` draws: one hash for each sixteen."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(count / 16).cast("int")), lambda i: F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256)), "")
 
 
 def _pick(letters: str, at: Column) -> Column:
@@ -83,14 +116,18 @@ def _pick(letters: str, at: Column) -> Column:
 def _like(text: Column, seed: Column, upper: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", lower: str = "abcdefghijklmnopqrstuvwxyz", start: int = 0) -> Column:
     """Each digit a digit, each letter a letter of its case; all else, and the first ``start`` letters and digits, as they are."""
 
-    def one(c: Column, at: Column) -> Column:
-        # Counted in letters and digits, so separators don't matter.
-        i = F.length(F.regexp_replace(F.substr(text, F.lit(1), at + 1), "[^0-9A-Za-z]", "")) - 1
-        d = F.when(c.rlike("[0-9]"), _pick("0123456789", _draw(seed, i, 10)))
-        d = d.when(c.rlike("[A-Z]"), _pick(upper, _draw(seed, i, len(upper)))).when(c.rlike("[a-z]"), _pick(lower, _draw(seed, i, len(lower))))
-        return F.when(i < start, c).otherwise(F.coalesce(d, c))
+    def drawn(stream: Column) -> Column:
+        def step(done: Column, c: Column) -> Column:
+            # Counted in letters and digits, so separators don't matter.
+            i = done["i"]
+            new = F.when(c.rlike("[0-9]"), _pick("0123456789", _draw(stream, i, 10)))
+            new = new.when(c.rlike("[A-Z]"), _pick(upper, _draw(stream, i, len(upper)))).when(c.rlike("[a-z]"), _pick(lower, _draw(stream, i, len(lower))))
+            new = F.when(i < start, c).otherwise(F.coalesce(new, c))
+            return F.struct((i + c.rlike("[0-9A-Za-z]").cast("int")).alias("i"), F.concat(done["text"], new).alias("text"))
+
+        return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("text")), step, lambda done: done["text"])
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return let(_stream(seed, F.length(text)), drawn)
 
 
 def _luhn(number: Column) -> Column:
@@ -105,60 +142,78 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.regexp_extract(number, "(?s)^(.*).$", 1), F.pmod(-total, F.lit(10)).cast("string"))
 
 
+def _iban(number: Column) -> Column:
+    """The number with its check digits set so that its remainder by 97 is 1."""
+    plain = F.regexp_replace(number, "[^0-9A-Z]", "")
+    turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 2), F.lit("00"))
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    check = F.lpad((F.lit(98) - F.aggregate(F.split(turned, ""), F.lit(0), step)).cast("string"), 2, "0")
+    return F.concat(F.substring(number, 1, 2), check, F.substr(number, F.lit(5)))
+
+
 def _person(entity: Column, seed: Column, attempt: Column) -> Column:
     title = F.regexp_extract(entity, r"^(\S+ )", 1)
     name = F.regexp_extract(entity, r"^\S+ (.*)$", 1)
     script = F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(entity.rlike(FEMALE), "f").otherwise("m")
-    out = F.lit(None).cast("string")
-    for (g, s), given in GIVEN.items():
-        first = F.get(F.array(*map(F.lit, given)), _draw(seed, F.lit(0), len(given)))
-        # Four syllables, and one more for each attempt, so the names never run out.
-        part = F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda i: _syllable(seed, i))
-        part = F.transform(part, _syllables_of(s))
-        last = F.initcap(F.array_join(part, ""))
-        both = F.when(name.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
-        out = F.when((gender == g) & (script == s), F.concat(title, both)).otherwise(out)
-    return out
-
 
-def _syllable(seed: Column, i: Column) -> Column:
-    return _draw(seed, i, 16)
+    def drawn(stream: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for (g, s), given in GIVEN.items():
+            first = F.get(F.array(*map(F.lit, given)), _draw(stream, F.lit(0), len(given)))
+            # Four syllables, and one more for each attempt, so the names never run out.
+            part = F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[s])), _draw(stream, i, 16)))  # noqa: B023
+            last = F.initcap(F.array_join(part, ""))
+            both = F.when(name.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
+            out = F.when((_gender(entity) == g) & (script == s), F.concat(title, both)).otherwise(out)
+        return out
 
-
-def _syllables_of(script: str):
-    return lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), i)
+    return let(_stream(seed, F.lit(5) + attempt), drawn)
 
 
 def surrogate(entity: Column, kind: Column, base: Column, attempt: Column, key: str) -> Column:
     seed = F.sha2(F.concat(F.lit(key + "|"), kind, F.lit("|"), base, F.lit("|"), attempt.cast("string")), 256)
-    octets = F.transform(F.split(entity, r"\."), lambda _, i: (_draw(seed, i, 254) + 1).cast("string"))
-    email = F.concat(_like(F.regexp_extract(entity, "^([^@]*)", 1), seed), F.lit("@"), _like(F.regexp_extract(entity, r"@(.*)\.[^.]*$", 1), F.concat(seed, F.lit("d"))), F.regexp_extract(entity, r"(\.[^.]*)$", 1))
-    start = F.regexp_extract(entity, r"(?i)^((?:AKIA|ASIA|gh[pos]_|sk-)|[a-z_]+\s*[=:]\s*\"?)", 1)
-    rest = F.substr(entity, F.length(start) + 1)
-    hexed = _like(rest, seed, upper="ABCDEF", lower="abcdef")
-    secret = F.concat(start, F.when(rest.rlike("^[0-9a-f]+$"), hexed).otherwise(_like(rest, seed)))
-    return (
-        F.when(kind == "email", email)
-        .when(kind.isin("key", "secret"), secret)
-        .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "card", _luhn(_like(entity, seed, start=1)))
-        .when(kind == "iban", _like(entity, seed, start=2))
-        .when(kind == "phone", _like(entity, seed, start=1))
-        .when(kind == "person", _person(entity, seed, attempt))
-        .otherwise(_like(entity, seed))
-    )
+
+    def of(seed: Column) -> Column:
+        more = F.substr(F.translate(F.sha2(seed, 256), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(attempt - LONGER_AFTER, F.lit(0)))
+        digits = F.translate(more, "abcdefghijklmnop", "0123456789012345")
+        octets = F.transform(F.split(entity, r"\."), lambda _, i: (_draw(_stream(seed, F.lit(4)), i, 254) + 1).cast("string"))
+        local, domain, top = (F.regexp_extract(entity, x, 1) for x in ("^([^@]*)", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
+        email = F.concat(_like(local, seed), more, F.lit("@"), _like(domain, F.concat(seed, F.lit("d"))), top)
+        start = F.when(kind == "secret", F.regexp_extract(entity, f"({SECRET_LABEL})", 1)).otherwise(F.regexp_extract(entity, "^(AKIA|ASIA|gh[pos]_|sk-)", 1))
+        rest = F.substr(entity, F.length(start) + 1)
+        hexed = _like(rest, seed, upper="ABCDEF", lower="abcdef")
+        secret = F.concat(start, F.when(rest.rlike("^[0-9a-f]+$"), hexed).otherwise(_like(rest, seed)), more)
+        return (
+            F.when(kind == "email", email)
+            .when(kind.isin("key", "secret"), secret)
+            .when(kind == "ip", F.concat(F.array_join(octets, "."), digits))
+            .when(kind == "ipv6", F.concat(_like(entity, seed, upper="ABCDEF", lower="abcdef"), digits))
+            .when(kind == "card", F.concat(_luhn(_like(entity, seed, start=1)), digits))
+            .when(kind == "iban", F.concat(_iban(_like(entity, seed, start=2)), digits))
+            .when(kind == "phone", F.concat(_like(entity, seed, start=1), digits))
+            .when(kind == "person", _person(entity, seed, attempt))
+            .otherwise(F.concat(_like(entity, seed), digits))
+        )
+
+    return let(seed, of)
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entity, kind, surrogate for distinct (entity, kind, base). Writings of one base have the same letters and digits.
+    """entity, kind, surrogate for distinct (entity, kind, base).
 
     Settled rows keep their surrogate; of bases that drew the same one, the lowest keeps it and the rest draw again.
     """
     originals = entities.select(F.col("base").alias("taken")).distinct()
     # A collision is judged on canonical forms, one row for each base.
-    bases = materialize(entities.groupBy("kind", "base").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)), "bases")
-    for _ in range(ROUNDS):
+    bases = entities.groupBy("kind", "base").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0))
+    # Few bytes, but much to compute: dealt over all tasks whatever their size.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bases = materialize(bases.repartition(parts, "kind", "base"), "bases")
+    while True:
         drawn = bases.withColumn("drawn", canonical(surrogate(F.col("entity"), F.col("kind"), F.col("base"), F.col("attempt"), key), F.col("kind")))
         drawn = materialize(drawn, "drawn")
         # Settled rows win over those drawn anew, then the lowest base.
@@ -169,9 +224,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if not clash.head(1):
             break
         bases = bases.join(clash, ["kind", "base"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
-        bases = materialize(bases, "bases")
-    else:
-        raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
+        bases = materialize(bases.repartition(parts, "kind", "base"), "bases")
     own = entities.join(bases.select("kind", "base", "attempt"), ["kind", "base"])
     return own.select("entity", surrogate(F.col("entity"), F.col("kind"), F.col("base"), F.col("attempt"), key).alias("surrogate"))
 
@@ -183,25 +236,30 @@ def found_entities(text: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds (the sorted types found), for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    # Only texts with entities are written with what was found; a text names its row, whatever its id.
-    found = rows.where(hit).select("doc_id", "text", found_entities(F.col("text")).alias("found"), F.split("text", ANY, -1).alias("between")).withColumn("row", F.expr("uuid()"))
-    found = materialize(found, "found")
-    each = found.select("row", F.posexplode("found").alias("at", "entity"))
+    # Each text is searched once, and written with what was found; a number names its row, whatever its id.
+    found = F.when(F.col("text").rlike(HINT), found_entities(F.col("text")))
+    rows = rows.withColumn("found", F.when(F.size(found) > 0, found))
+    rows = materialize(rows.withColumn("row", F.when(F.col("found").isNotNull(), F.expr("uuid()"))), "found")
+    hits = rows.where("found is not null")
+    each = hits.select("row", F.posexplode("found").alias("at", "entity"))
     entities = each.select("entity").distinct().withColumn("kind", type_of(F.col("entity")))
     entities = materialize(entities.withColumn("base", canonical(F.col("entity"), F.col("kind"))), "entities")
     named = materialize(distinct_surrogates(entities, key), "surrogates")
     kinds = entities.select("entity", "kind").join(named, "entity")
     new = each.join(kinds, "entity").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    done = found.join(new, "row")
+    done = hits.select("doc_id", "text", "row").join(new, "row").withColumn("between", F.split("text", ANY, -1))
     pieces = F.zip_with("between", F.transform("new", lambda x: x["surrogate"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     done = done.select("doc_id", F.array_join(pieces, "").alias("text"), F.size("new").alias("n_entities"), "kinds")
-    rest = rows.where(~hit).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    rest = rows.where("found is null").select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return done.unionByName(rest)
 
 
+#: The session's setting that holds the key. Without it each run draws a key of its own.
+KEY_SETTING = "spark.stratalist.pii.key"
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"), "key of this run")
+    return pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
 
 
 QUERIES = {"op10_pii": op10_pii}

@@ -25,15 +25,30 @@ from .shared import materialize, table
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
 
-def errors_of(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """What is wrong with the arguments (a VARIANT), sorted. schemas: tool, argument, (type, required)."""
+#: What a schema may say of a value besides its type: what to measure, and the message if the limit is broken.
+LIMITS = {
+    "minimum": (lambda v, x: F.try_variant_get(v, x, "double"), lambda n, limit: n < limit, "below {}"),
+    "maximum": (lambda v, x: F.try_variant_get(v, x, "double"), lambda n, limit: n > limit, "above {}"),
+    "minLength": (lambda v, x: F.length(F.try_variant_get(v, x, "string")), lambda n, limit: n < limit, "shorter than {}"),
+    "maxLength": (lambda v, x: F.length(F.try_variant_get(v, x, "string")), lambda n, limit: n > limit, "longer than {}"),
+}
+
+Schemas = dict[str, dict[str, tuple]]
+
+
+def errors_of(name: Column, arguments: Column, schemas: Schemas) -> Column:
+    """What is wrong with the arguments (a VARIANT), sorted. schemas: tool, argument, (type, required, limits by name or nothing)."""
     out = F.array(F.lit("unknown tool"))
     for tool, schema in schemas.items():
         wrong = []
-        for argument, (kind, required) in sorted(schema.items()):
+        for argument, (kind, required, *limits) in sorted(schema.items()):
             found = F.regexp_extract(F.schema_of_variant(F.variant_get(arguments, f"$.{argument}", "variant")), "^[A-Z]+", 0)
             missing = found.isNull() | (found == "VOID")
-            wrong.append(F.when(missing, f"{argument}: missing" if required else None).when(~found.isin(TYPES[kind]), f"{argument}: not {kind}"))
+            error = F.when(missing, f"{argument}: missing" if required else None).when(~found.isin(TYPES[kind]), f"{argument}: not {kind}")
+            for limit, value in (limits[0] if limits else {}).items():
+                measure, breaks, says = LIMITS[limit]
+                error = error.when(breaks(measure(arguments, f"$.{argument}"), value), f"{argument}: {says.format(value)}")
+            wrong.append(error)
         out = F.when(name == tool, F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")).otherwise(out)
     readable = F.regexp_extract(F.schema_of_variant(arguments), "^[A-Z]+", 0) == "OBJECT"
     return F.when(~F.coalesce(readable, F.lit(False)), F.array(F.lit("arguments: not an object"))).otherwise(F.coalesce(out, F.array(F.lit("unknown tool"))))
@@ -67,7 +82,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("up").isNotNull(), -1).otherwise(F.col("level")).cast("long").alias("level"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """conv_id, turn, level, kind, call_id, status, errors, json, one row for each call and each unlinked result.
 
     calls: conv_id, call_id, parent_id, turn, name, arguments (JSON). results: conv_id, call_id, turn, content.
@@ -88,7 +103,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
 
 
 #: The tool that plain chats are read as calls of: a request of the user, answered by the next turn of the assistant.
-REPLY = {"reply": {"chars": ("integer", True), "text": ("string", True), "turn": ("integer", True)}}
+REPLY = {"reply": {"chars": ("integer", True, {"maximum": 256}), "text": ("string", True, {"minLength": 40}), "turn": ("integer", True, {"minimum": 0, "maximum": 8})}}
 
 
 def chat_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,7 +143,9 @@ lv AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c
   UNION ALL SELECT c.conv_id, c.turn, lv.level + 1 FROM lv JOIN c ON c.conv_id = lv.conv_id AND c.turn = lv.turn + 2)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(lv.level, 0) AS level,
   CASE WHEN c.turn IS NULL THEN 'result' ELSE 'call' END AS kind, coalesce(CAST(c.turn AS VARCHAR), CAST(r.turn - 1 AS VARCHAR)) AS call_id,
-  CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END AS status, '' AS errors,
+  CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END AS status,
+  CASE WHEN c.turn IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN length(c.text) > 256 THEN 'chars: above 256' END, CASE WHEN length(c.text) < 40 THEN 'text: shorter than 40' END,
+    CASE WHEN c.turn > 8 THEN 'turn: above 8' END) END AS errors,
   CAST(CASE WHEN c.turn IS NULL THEN json_object('result', {_RESULT}, 'status', 'orphan')
     WHEN r.turn IS NULL THEN json_object('call', {_CALL}, 'status', 'pending', 'turn', c.turn)
     ELSE json_object('call', {_CALL}, 'result', {_RESULT}, 'status', 'linked', 'turn', c.turn) END AS VARCHAR) AS json

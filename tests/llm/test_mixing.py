@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +57,56 @@ def test_edge_cases(spark):
     assert mixed.columns == docs.columns and mixed.count() == 4
     assert mx.document_rates(docs.limit(0), none, {"x": 1.0}).count() == 0
     assert mx.mix(docs.where(F.lit(False)), one, {"x": 1.0}).count() == 0
+
+
+def test_classifier_against_brute_force(spark):
+    small = "/root/testdata/sf0.01"
+    docs, domains = table(spark, small, "documents"), ["plain", "toxic", "junk"]
+    labels = mx.labelled_domains(table(spark, small, "labels"))
+    model = mx.fit_classifier(docs, labels, domains)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    lowest: dict[int, int] = {}
+    for r in labels.where("domain is not null").collect():
+        lowest[r.doc_id] = min(domains.index(r.domain), lowest.get(r.doc_id, 9))
+    own = {i: d for i, d in lowest.items() if i in text}
+
+    def words(t: str) -> list[str]:
+        return re.findall(r"[^ \t\n\x0b\f\r]+", t.lower())
+
+    def bins(t: str) -> list[int]:
+        w, n = words(t), max(len(t), 1)
+        tokens = max(len(w), 1)
+        share = lambda letters: sum(c in letters for c in t) / n
+        found = [min(math.floor(share(mx.UPPER) * 20), 10), min(math.ceil(share(mx.SYMBOLS) * 50), 10), math.floor(len(set(w)) / tokens**0.75 * 4), min(n // tokens, 20)]
+        return [max(0, min(b, 40)) for b in found]
+
+    n = [sum(d == k for d in own.values()) for k in range(3)]
+    seen: dict = {}
+    for i, d in own.items():
+        for f, b in enumerate(bins(text[i])):
+            seen.setdefault((f, b), [0, 0, 0])[d] += 1
+    assert {k: tuple(math.log((c + 0.5) / (x + 20)) for c, x in zip(v, n, strict=True)) for k, v in seen.items()} == pytest.approx(model.bins)
+    here: dict = {}
+    for i, d in own.items():
+        for w in set(words(text[i])):
+            here.setdefault(w, [0, 0, 0])[d] += 1
+    base = [math.log(x / sum(n)) for x in n]
+    assert 0 < len(model.words) <= mx.WORDS
+    for w, weight in model.words.items():
+        q = [(c + 0.25) / (x + 1) for c, x in zip(here[w], n, strict=True)]
+        assert weight == pytest.approx([math.log(x / (1 - min(x, 0.999))) for x in q])
+        base = [b + math.log(1 - min(x, 0.999)) for b, x in zip(base, q, strict=True)]
+    assert base == pytest.approx(model.base)
+    got = {r.doc_id: r for r in mx.document_rates(docs, labels, dict.fromkeys(domains, 1.0)).collect()}
+    for i, t in text.items():
+        logs = [model.base[d] + sum(model.bins[f, b][d] if (f, b) in model.bins else model.unseen[d] for f, b in enumerate(bins(t))) + sum(model.words[w][d] for w in set(words(t)) if w in model.words) for d in range(3)]
+        p = np.exp(np.array(logs) - max(logs))
+        assert np.allclose([got[i][f"p_{x}"] for x in domains], p / p.sum(), atol=1e-8)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "own", 5), (2, "c", None, 6)], "doc_id long, text string, __tokens string, __i int")
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, domain string")
+    assert mx.document_rates(docs, labels, {"x": 1.0, "y": 1.0}).where("source is null").count() == 2
+    got = mx.mix(docs, labels, {"x": 1.0, "y": 1.0})
+    assert got.columns == docs.columns and {(r["__tokens"], r["__i"]) for r in got.collect()} <= {("own", 5), (None, 6)}

@@ -38,4 +38,13 @@ def test_empty_and_null_messages(spark):
     assert tc.format_chats(spark.createDataFrame([], ddl)).count() == 0
     rows = [(1, 0, None, None, "x"), (1, 1, "user", None, "x"), (1, 2, "assistant", "", "x"), (None, 1, "user", "a", None), (2, 0, "user", "w " * 100_000, None), (2, 1, "system", "s", None)]
     got = {(r.conv_id, r.turn): (r.kind, r.status, r.errors) for r in tc.format_chats(spark.createDataFrame(rows, ddl)).collect()}
-    assert got == {(1, 0): ("message", "plain", ""), (1, 1): ("call", "linked", "chars: missing; text: missing"), (None, 1): ("call", "pending", ""), (2, 0): ("call", "pending", ""), (2, 1): ("message", "plain", "")}
+    assert got == {(1, 0): ("message", "plain", ""), (1, 1): ("call", "linked", "chars: missing; text: missing"), (None, 1): ("call", "pending", "text: shorter than 40"), (2, 0): ("call", "pending", "chars: above 256"), (2, 1): ("message", "plain", "")}
+
+
+def test_limits_of_a_schema(spark):
+    schemas = {"t": {"n": ("number", True, {"minimum": 1, "maximum": 2.5}), "s": ("string", False, {"minLength": 2, "maxLength": 3})}}
+    texts = ['{"n": 1, "s": "ab"}', '{"n": 0.5}', '{"n": 3, "s": "a"}', '{"n": 2.5, "s": "abcd"}', '{"n": "1"}', '{"s": "éé"}']
+    calls = spark.createDataFrame([(1, str(i), None, i, "t", x) for i, x in enumerate(texts)], "conv_id long, call_id string, parent_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.turn: r.errors for r in tc.link_calls(calls, results, schemas).collect()}
+    assert got == {0: "", 1: "n: below 1", 2: "n: above 2.5; s: shorter than 2", 3: "s: longer than 3", 4: "n: not number", 5: "n: missing"}
