@@ -36,6 +36,13 @@ def seed_boards(companies: DataFrame, boards: DataFrame) -> DataFrame:
     return tried.join(boards.select("provider", "board"), ["provider", "board"], "left_anti")
 
 
+def discovery_summary(companies: DataFrame, boards: DataFrame) -> DataFrame:
+    """One row: companies, boards, those enabled and those that were ever crawled. boards: enabled, last_success."""
+    n = companies.agg(F.count("*").alias("companies"))
+    rows = boards.agg(F.count("*").alias("boards"), F.count_if("enabled").alias("active_boards"), F.count("last_success").alias("boards_crawled"))
+    return n.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def rank_resumes(jobs: DataFrame, resumes: list[tuple[str, list[str]]]) -> DataFrame:
     """For each job (job_id, title, skills) its resumes (kind, skills) by the share of the job's skills they cover, best first; the best and three more."""
     scored = []

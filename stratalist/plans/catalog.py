@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import listing_queries, text_queries
+from . import listing_queries, record_queries, text_queries
 
-QUERIES = {**listing_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**listing_queries.ORACLES, **text_queries.ORACLES}
+_MODULES = (listing_queries, text_queries, record_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
