@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lookup, words_array
+from .text import let, words_array
 
 # Patterns and tables of stated facts.
 SALARY = (
@@ -55,6 +55,41 @@ STATES = {
     "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA",
     "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC",
 }
+COUNTRIES = {
+    "us": "US", "usa": "US", "u.s.": "US", "u.s.a.": "US", "america": "US", "united states": "US", "united states of america": "US",
+    "ca": "CA", "canada": "CA",
+    "uk": "GB", "gb": "GB", "united kingdom": "GB", "england": "GB", "great britain": "GB", "scotland": "GB", "wales": "GB",
+    "ie": "IE", "ireland": "IE",
+    "de": "DE", "germany": "DE", "deutschland": "DE",
+    "nl": "NL", "netherlands": "NL", "the netherlands": "NL",
+    "fr": "FR", "france": "FR",
+    "es": "ES", "spain": "ES",
+    "it": "IT", "italy": "IT",
+    "se": "SE", "sweden": "SE",
+    "ch": "CH", "switzerland": "CH",
+    "pl": "PL", "poland": "PL",
+    "in": "IN", "india": "IN",
+    "sg": "SG", "singapore": "SG",
+    "au": "AU", "australia": "AU",
+    "nz": "NZ", "new zealand": "NZ",
+    "jp": "JP", "japan": "JP",
+    "kr": "KR", "south korea": "KR", "korea": "KR",
+    "cn": "CN", "china": "CN",
+    "tw": "TW", "taiwan": "TW",
+    "hk": "HK", "hong kong": "HK",
+    "il": "IL", "israel": "IL",
+    "mx": "MX", "mexico": "MX",
+    "br": "BR", "brazil": "BR",
+    "ae": "AE", "uae": "AE", "united arab emirates": "AE",
+}
+# Lines that open a section of a description.
+SECTIONS = {
+    "requirements": (
+        r"(?:minimum\s+)?(?:qualifications?|requirements?|what\s+you'?ll?\s+need|what\s+we'?re\s+looking\s+for|basic\s+qualifications?|who\s+you\s+are|skills?\s+(?:and|&)\s+experience)"
+    ),
+    "preferred": r"(?:preferred\s+qualifications?|nice\s+to\s+have|bonus\s+points?|preferred\s+skills?|desired\s+qualifications?|pluses?)",
+    "responsibilities": r"(?:responsibilities|what\s+you'?ll?\s+do|the\s+role|your\s+impact|job\s+description|duties|about\s+the\s+role)",
+}
 METROS = {
     "bay_area": [
         "san jose", "santa clara", "sunnyvale", "palo alto", "mountain view", "san francisco", "cupertino", "fremont", "milpitas", "menlo park", "redwood city", "bay area",
@@ -158,18 +193,64 @@ def metro(text: Column) -> Column:
     return out
 
 
+def country_code(name: Column) -> Column:
+    """Two letters for a country as it is spelled; the unknown stays as it is, in capitals; nothing stated is empty."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", " "))
+    table = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, F.replace(plain, F.lit("."), F.lit(""))), F.upper(F.trim(F.coalesce(name, F.lit("")))))
+
+
 def parse_location(raw: Column) -> Column:
-    """Struct (city, state, metro, remote, key); key is the metro, else city and state, else ``remote``, else empty."""
+    """Struct (city, state, country, metro, remote, key) of "City, State, Country" with commas, bars or slashes between.
+
+    A state wins over a country of the same letters; a city that names a state is that state; the key is the metro, else city and
+    state, else ``remote``, else empty.
+    """
     text = F.trim(F.coalesce(raw, F.lit("")))
-    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
-    codes = words_array(sorted(set(STATES.values())))
-    named = F.transform(parts, lambda p: lookup(STATES, F.lower(p)))
-    state = F.get(F.filter(F.slice(named, 2, 8), lambda p: F.array_contains(codes, F.upper(p)) & (F.length(p) == 2)), F.lit(0))
-    remote = text.rlike(REMOTE)
-    city = F.when(~remote & (parts[0] != ""), parts[0])
-    area = metro(text)
-    key = F.coalesce(area, F.when(city.isNotNull(), F.concat_ws("|", F.lower(city), F.coalesce(F.lower(state), F.lit("")))), F.when(remote, "remote"), F.lit(""))
-    return F.struct(city.alias("city"), F.upper(state).alias("state"), area.alias("metro"), remote.alias("remote"), key.alias("key"))
+    split = F.filter(F.transform(F.split(text, r"[,|/]"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def read(parts: Column) -> Column:
+        states = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+        countries = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
+        codes = words_array(sorted(set(STATES.values())))
+        low = lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " "))
+        start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("country"))
+
+        def step(found: Column, part: Column) -> Column:
+            named = F.coalesce(F.when(F.array_contains(codes, F.upper(part)), F.upper(part)), F.try_element_at(states, low(part)))
+            known = F.when(named.isNull(), F.try_element_at(countries, low(part)))
+            verbatim = F.when(named.isNull() & known.isNull() & (F.length(low(part)) > 3) & found["state"].isNull(), part)
+            return F.struct(F.coalesce(named, found["state"]).alias("state"), F.coalesce(known, verbatim, found["country"]).alias("country"))
+
+        rest = F.aggregate(F.slice(parts, 2, 64), start, step)
+        first = F.get(parts, F.lit(0))
+        city = F.when(~F.coalesce(first.rlike(rf"(?i)^{REMOTE.removeprefix('(?i)')}$"), F.lit(False)), first)
+        city_state = F.try_element_at(states, low(city))
+        remote, area = text.rlike(REMOTE), metro(text)
+        state = F.coalesce(city_state, rest["state"])
+        place = F.when(city_state.isNull(), city)
+        country = F.coalesce(rest["country"], F.when(rest["state"].isNotNull(), "US"))
+        key = F.coalesce(area, F.when(place.isNotNull(), F.concat_ws("|", low(place), F.coalesce(F.lower(state), F.lit("")))), F.when(state.isNotNull() & ~remote, F.concat(F.lit("|"), F.lower(state))), F.when(remote, "remote"), F.lit(""))
+        return F.struct(place.alias("city"), state.alias("state"), country.alias("country"), area.alias("metro"), remote.alias("remote"), key.alias("key"))
+
+    return let(split, read)
+
+
+def split_sections(text: Column) -> Column:
+    """Struct (requirements, preferred, responsibilities): what follows the line that opens each, up to the next such line; the first that isn't empty."""
+    marked = F.coalesce(text, F.lit(""))
+    for name, pattern in SECTIONS.items():
+        marked = F.regexp_replace(marked, rf"(?im)^(\s*(?:#+\s*)?{pattern}\s*:?\s*)$", f"\x02{name}\x03$1")
+
+    def read(pieces: Column) -> Column:
+        def body(name: str) -> Column:
+            own = F.filter(pieces, lambda p: F.startswith(p, F.lit(f"{name}\x03")))
+            found = F.transform(own, lambda p: F.regexp_replace(F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)$", 1), r"^\s+|\s+$", ""))
+            return F.coalesce(F.get(F.filter(found, lambda b: b != ""), F.lit(0)), F.lit(""))
+
+        return F.struct(*[body(n).alias(n) for n in SECTIONS])
+
+    return let(F.slice(F.split(marked, "\x02"), 2, 1 << 30), read)
 
 
 def locations_compatible(a: Column, b: Column) -> Column:

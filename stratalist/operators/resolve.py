@@ -7,12 +7,14 @@ these are found. Guards look at pairs, not at clusters.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.facts import locations_compatible
 from ..functions.text import jaccard, token_set_ratio, words_array
 from ..storage import materialize
 from .components import connected_components
@@ -42,7 +44,7 @@ def side(row: str) -> Callable[[str], Column]:
 
 
 def merge_veto(a: Callable[[str], Column], b: Callable[[str], Column], axes: list[list[str]] = EXCLUSIVE_AXES) -> Column:
-    """Why two listings must not merge, or null; the first reason in order."""
+    """Why two listings must not merge, or null; the first reason in order. ``location`` is a struct of ``facts.parse_location``."""
     known = lambda c: (F.coalesce(a(c), F.lit("")) != "") & (F.coalesce(b(c), F.lit("")) != "")
     plain = lambda c: F.lower(F.trim(c))
     out = F.when(a("company_slug") != b("company_slug"), "company")
@@ -53,7 +55,53 @@ def merge_veto(a: Callable[[str], Column], b: Callable[[str], Column], axes: lis
         left, right = (F.array_sort(F.array_intersect(x("discriminators"), words_array(axis))) for x in (a, b))
         out = out.when((F.size(left) > 0) & (F.size(right) > 0) & (left != right), F.concat(F.lit("axis: "), F.lit(axis[0])))
     out = out.when((a("employment_type") != "unknown") & (b("employment_type") != "unknown") & (a("employment_type") != b("employment_type")), "employment")
-    return out.when((a("location_key") != "") & (b("location_key") != "") & (a("location_key") != b("location_key")), "location")
+    return out.when(~locations_compatible(a("location"), b("location")), "location")
+
+
+#: The stages of exact evidence in order, with their key, whether the guard looks at their edges, and confidence.
+STAGES = [("exact_id", "source_key", False, 1.0), ("url", "canonical_url", False, 1.0), ("ats_identity", "ats_identity", False, 1.0), ("fingerprint", "fingerprint", True, 0.95), ("content_hash", "content_hash", True, 0.97)]
+GUARDED = ["company_slug", "requisition_id", "ats_identity", "source", "canonical_url", "discriminators", "employment_type", "location"]
+
+
+def guarded_edges(rows: DataFrame, key: str, node: str, stage: str, confidence: float) -> DataFrame:
+    """Star edges with the reason for which the guard refuses them, or null: a refused edge is the record that two rows differ."""
+    edges = star_edges(rows, key, node, stage, confidence)
+    for end in ("left", "right"):
+        edges = edges.join(rows.select(F.col(node).alias(end), F.struct(*GUARDED).alias(end[0])), end)
+    return edges.select("left", "right", "stage", "confidence", merge_veto(side("l"), side("r")).alias("veto"))
+
+
+def resolve(rows: DataFrame, node: str, *, similar: bool = True, adjudicator: Callable[[DataFrame], DataFrame] | None = None, budget: int = 0) -> DataFrame:
+    """(node, cluster_id) over all stages: equal keys, guarded fingerprints and contents, and (``similar``) guarded pairs of a company.
+
+    rows: source_key and the columns of ``GUARDED``, fingerprint and content_hash; for similar also title_tokens, shingles, date_posted and salary_min.
+    """
+    edges = []
+    for stage, key, guarded, confidence in STAGES:
+        if guarded:
+            edges.append(guarded_edges(rows, key, node, stage, confidence).where("veto is null").select("left", "right"))
+        else:
+            edges.append(star_edges(rows, key, node, stage, confidence).select("left", "right"))
+    if similar:
+        pairs = similar_pairs(rows, "company_slug", node, pair_score, merge_veto)
+        edges.append(adjudicated(pairs, adjudicator, budget))
+    return clusters(rows, node, reduce(DataFrame.unionByName, edges))
+
+
+def fold(members: DataFrame, cluster: str, rank: str) -> DataFrame:
+    """One record for each cluster by the rules of each field: the first that says something, explicit dates before others, pay as a pair."""
+    order, of = F.col(rank), F.col
+    said = lambda c, none: F.min_by(c, F.when(of(c).isNotNull() & (of(c) != none), order)).alias(c)
+    pay = F.min_by(F.struct("salary_min", "salary_max"), F.when(of("salary_min").isNotNull(), order))
+    union = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("r"), of(c).alias("x")))), lambda s: s["x"]))).alias(c)
+    explicit = F.min_by("deadline", F.when(of("deadline_is_explicit"), order))
+    return members.groupBy(cluster).agg(
+        F.count("*").alias("members"), *[said(c, "") for c in ("description", "requirements", "location_raw", "city", "state", "country", "requisition_id", "ats_identity", "company_url")],
+        pay.getField("salary_min").alias("salary_min"), pay.getField("salary_max").alias("salary_max"), F.min("date_posted").alias("date_posted"),
+        F.coalesce(explicit, F.min_by("deadline", order)).alias("deadline"), *[said(c, "unknown") for c in ("sponsorship", "employment_type", "remote_status")],
+        F.min_by("years", F.when(of("years").isNotNull(), order)).alias("years"), *[union(c) for c in ("skills", "terms", "locations", "degrees")],
+        *[F.min_by(c, order).alias(c) for c in ("source", "title", "company", "company_slug", "fingerprint", "content_hash")],
+    )
 
 
 def pair_score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -106,8 +154,8 @@ def adjudicated(pairs: DataFrame, adjudicator: Callable[[DataFrame], DataFrame]
 
 def clusters(rows: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """(node, cluster_id) of every row; the cluster is named by its lowest node."""
-    found = connected_components(edges, "left", "right")
-    return rows.select(node).join(found, rows[node] == found["node"], "left").select(node, F.coalesce("component", node).alias("cluster_id"))
+    found = connected_components(edges, "left", "right").select(F.col("node").alias("found_node"), F.col("component").alias("found_component"))
+    return rows.select(node).join(found, F.col(node) == F.col("found_node"), "left").select(node, F.coalesce("found_component", node).alias("cluster_id"))
 
 
 def authority_rank(cluster: str, kind: Column, body: Column, source: Column, node: str) -> Column:

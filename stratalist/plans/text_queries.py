@@ -127,15 +127,21 @@ def url_host_class(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.classify_host(F.col("url")).alias("host_class"))
 
 
-_ATS_URL = "'https://boards.greenhouse.io/acme' || CAST(page_id % 7 AS VARCHAR) || '/jobs/' || CAST(page_id AS VARCHAR) || '?gh_src=x'"
+_WORD = "regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([a-z-]+)', 1)"
+_NUMBER = "regexp_extract(url, '/([0-9]+)', 1)"
 
 
-@query(f"SELECT page_id, 'greenhouse:acme' || CAST(page_id % 7 AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) AS ats_key, md5({_ATS_URL}) AS url_md5 FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, md5(url) FROM pages WHERE page_id % 2 = 1")
+@query(f"""WITH p AS (SELECT page_id, url, {_WORD} AS w, {_NUMBER} AS n FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'greenhouse:' || w || ':' || n WHEN 1 THEN 'lever:' || w || ':' || n WHEN 2 THEN 'greenhouse:' || w || ':' || n END AS ats_key, CASE WHEN page_id % 4 < 2 THEN 'ats' ELSE 'company_careers' END AS host_class FROM p WHERE w <> '' AND n <> ''""")
 def ats_identity_extract(spark, sf):
+    """Postings at three shapes of board url, with the word and the number of each page's own url; every fourth url stays as it is."""
     p = table(spark, sf, "pages")
-    ats = F.concat(F.lit("https://boards.greenhouse.io/acme"), (F.col("page_id") % 7).cast("string"), F.lit("/jobs/"), F.col("page_id").cast("string"), F.lit("?gh_src=x"))
-    p = p.withColumn("u", F.when(F.col("page_id") % 2 == 0, ats).otherwise(F.col("url")))
-    return p.select("page_id", urls.ats_key(urls.ats_identity(F.col("u"))).alias("ats_key"), F.md5("u").alias("url_md5"))
+    w, n = F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([a-z-]+)", 1), F.regexp_extract("url", "/([0-9]+)", 1)
+    p = p.withColumns({"w": w, "n": n}).where("w <> '' and n <> ''")
+    made = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://boards.greenhouse.io/"), "w", F.lit("/jobs/"), "n", F.lit("?gh_src=x")))
+    made = made.when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://jobs.lever.co/"), "w", F.lit("/"), "n"))
+    made = made.when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://"), "w", F.lit(".com/careers?gh_jid="), "n")).otherwise(F.col("url"))
+    return p.withColumn("u", made).select("page_id", urls.ats_key(urls.ats_identity(F.col("u"))).alias("ats_key"), urls.classify_host(F.col("u")).alias("host_class"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
@@ -146,73 +152,74 @@ def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
 
 
-#: Sentences that order rows are given, so that facts are read from text that grows with the table.
-_SAID = [
-    ("Pay is $45 - $60 per hour. Summer 2026 internship. BS or MS required.", 45.0, "hourly", "Summer 2026", "Bachelors,Masters", None, "unknown"),
-    ("Salary $120,000-$150,000 annually. 3+ years of experience. We sponsor visas.", 120000.0, "yearly", "", "", 3.0, "offered"),
-    ("US citizenship required. Visa sponsorship available. Fall or Autumn term, PhD.", None, None, "Fall", "PhD", None, "citizenship_required"),
-    ("No sponsorship. Between 2 to 4 years relevant experience, MBA.", None, None, "", "MBA", 2.0, "not_offered"),
-    ("Active clearance needed; spring 2025 and Spring 2025 again.", None, None, "Spring 2025", "", None, "security_clearance_required"),
-]
+def _postings(spark, sf):
+    """A posting for each order, all of whose facts are values of its row."""
+    o = table(spark, sf, "orders")
+    text_of = lambda c: F.col(c).cast("string")
+    pay = F.floor("o_totalprice").cast("long")
+    money = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("Pay is $"), (10 + F.col("o_custkey") % 300).cast("string"), F.lit(" - $"), (400 + F.col("o_custkey") % 90).cast("string"), F.lit(" per hour.")))
+    money = money.when(F.col("o_custkey") % 3 == 1, F.concat(F.lit("Salary: $"), (10000 + pay).cast("string"), F.lit(" to $"), (20000 + pay).cast("string"), F.lit(" annually."))).otherwise("Pay is good.")
+    season = F.element_at(F.array(*map(F.lit, ["Winter", "spring", "SUMMER", "autumn"])), F.quarter("o_orderdate"))
+    years = F.concat((1 + F.col("o_custkey") % 40).cast("string"), F.lit("+ years of "), F.lower("o_orderpriority"), F.lit(" experience"))
+    close = F.concat(F.lit("Apply by "), F.date_format("o_orderdate", "MMMM d, yyyy"))
+    degree = F.element_at(F.array(*map(F.lit, ["Bachelor's", "M.S. or PhD", "an MBA", "BS, MS"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    visa = F.element_at(F.array(*map(F.lit, ["We will sponsor visas for clerk ", "No visa sponsorship; clerk ", "Secret clearance, says clerk ", "Ask clerk "])), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", "o_orderdate", F.concat_ws("\n", money, F.concat(season, F.lit(" "), F.year("o_orderdate").cast("string"), F.lit(" term")), years, close, F.concat(F.lit("Wanted: "), degree), F.concat(visa, text_of("o_custkey"))).alias("said"))
 
 
-def _said(spark, sf):
-    i = (F.col("o_orderkey") % len(_SAID)).cast("int")
-    return table(spark, sf, "orders").select("o_orderkey", F.get(F.array(*[F.lit(x[0]) for x in _SAID]), i).alias("said"))
-
-
-def _said_sql(column: int, name: str) -> str:
-    def lit(x):
-        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-    return "SELECT o_orderkey, CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {lit(x[column])}" for k, x in enumerate(_SAID)) + f" END AS {name} FROM orders"
-
-
-@query("SELECT a.o_orderkey, salary_min, period FROM (" + _said_sql(1, "salary_min") + ") a JOIN (" + _said_sql(2, "period") + ") b ON a.o_orderkey = b.o_orderkey")
+@query("SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 10.0 + o_custkey % 300 WHEN 1 THEN 10000.0 + floor(o_totalprice) END AS salary_min, CASE o_custkey % 3 WHEN 0 THEN 400.0 + o_custkey % 90 WHEN 1 THEN 20000.0 + floor(o_totalprice) END AS salary_max, CASE o_custkey % 3 WHEN 0 THEN 'hourly' WHEN 1 THEN 'yearly' END AS period FROM orders")
 def fact_salary(spark, sf):
-    s = facts.salary(F.col("said"))
-    # Years and counts within 10 to 400 read as hourly pay; the rule says so, and the query keeps dollars only.
-    return _said(spark, sf).withColumn("s", s).select("o_orderkey", F.when(F.col("s.currency") == "USD", F.col("s.min")).alias("salary_min"), F.when(F.col("s.currency") == "USD", F.col("s.period")).alias("period"))
+    rows = _postings(spark, sf).withColumn("s", facts.salary(F.col("said")))
+    # A bare number may read as pay (a year does); only what is stated in dollars counts here.
+    stated = lambda c: F.when(F.col("s.currency") == "USD", F.col(f"s.{c}"))
+    return rows.select("o_orderkey", stated("min").alias("salary_min"), stated("max").alias("salary_max"), stated("period").alias("period"))
 
 
-@query(_said_sql(3, "terms"))
+@query("SELECT o_orderkey, (['Winter', 'Spring', 'Summer', 'Fall'])[quarter(o_orderdate)] || CASE WHEN year(o_orderdate) >= 2000 THEN ' ' || year(o_orderdate) ELSE '' END AS terms FROM orders")
 def fact_terms(spark, sf):
-    return _said(spark, sf).select("o_orderkey", F.array_join(facts.terms(F.col("said")), ",").alias("terms"))
+    return _postings(spark, sf).select("o_orderkey", F.array_join(facts.terms(F.col("said")), ",").alias("terms"))
 
 
-@query(_said_sql(4, "degrees"))
+@query("SELECT o_orderkey, (['Bachelors', 'Masters,PhD', 'MBA', 'Bachelors,Masters'])[o_orderkey % 4 + 1] AS degrees FROM orders")
 def fact_degrees(spark, sf):
-    return _said(spark, sf).select("o_orderkey", F.array_join(facts.degrees(F.col("said")), ",").alias("degrees"))
+    return _postings(spark, sf).select("o_orderkey", F.array_join(facts.degrees(F.col("said")), ",").alias("degrees"))
 
 
-@query(_said_sql(5, "years"))
+@query("SELECT o_orderkey, CASE WHEN 1 + o_custkey % 40 <= 30 THEN 1.0 + o_custkey % 40 END AS years FROM orders")
 def fact_years(spark, sf):
-    return _said(spark, sf).select("o_orderkey", facts.experience_years(F.col("said")).alias("years"))
+    return _postings(spark, sf).select("o_orderkey", facts.experience_years(F.col("said")).alias("years"))
 
 
-@query(_said_sql(6, "sponsorship"))
+@query("SELECT o_orderkey, (['offered', 'not_offered', 'security_clearance_required', 'unknown'])[o_custkey % 4 + 1] AS sponsorship FROM orders")
 def fact_sponsorship(spark, sf):
-    return _said(spark, sf).select("o_orderkey", facts.sponsorship(F.col("said")).alias("sponsorship"))
+    return _postings(spark, sf).select("o_orderkey", facts.sponsorship(F.col("said")).alias("sponsorship"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'internship' WHEN p_partkey % 3 = 1 THEN 'co_op' ELSE 'unknown' END AS employment_type FROM part")
-def fact_employment(spark, sf):
-    p = table(spark, sf, "part")
-    title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " intern").when(F.col("p_partkey") % 3 == 1, " co-op intern").otherwise(" maker"))
-    return p.select("p_partkey", facts.employment_type(title, F.lit(""), F.lit(None).cast("string")).alias("employment_type"))
+@query("SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1999-12-03' AND DATE '2002-01-01' THEN date_trunc('day', o_orderdate) + INTERVAL 86399 SECOND WHEN CAST(o_orderdate AS DATE) + INTERVAL 1 YEAR BETWEEN DATE '1999-12-03' AND DATE '2002-01-01' AND CAST(o_orderdate AS DATE) < DATE '1999-07-06' THEN date_trunc('day', o_orderdate) + INTERVAL 1 YEAR + INTERVAL 86399 SECOND END AS deadline FROM orders")
+def fact_deadline(spark, sf):
+    return _postings(spark, sf).select("o_orderkey", facts.deadline(F.col("said"), F.lit("2000-01-02").cast("date")).alias("deadline"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'bay_area' WHEN 1 THEN 'austin' WHEN 2 THEN 'remote' ELSE 'springfield|il' END AS location_key FROM supplier")
-def fact_location(spark, sf):
-    s = table(spark, sf, "supplier")
-    raw = F.get(F.array(*map(F.lit, ["Santa Clara, CA", "Austin, Texas", "Remote", "Springfield, Illinois, USA"])), (F.col("s_suppkey") % 4).cast("int"))
-    return s.select("s_suppkey", facts.parse_location(raw)["key"].alias("location_key"))
+_INTERN, _GRAD = r"\b(intern|internship|summer analyst|industrial placement)\b", r"\b(new grad|university grad|early career|campus hire|graduate program)\b"
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2026-12-15 23:59:59' WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '2026-09-01 23:59:59' END AS deadline FROM orders")
-def fact_deadline(spark, sf):
-    said = F.get(F.array(F.lit("Applications close: apply by December 15, 2026."), F.lit("Deadline is 2026-09-01"), F.lit("We closed March 1")), (F.col("o_orderkey") % 3).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", facts.deadline(said, F.lit("2026-08-18").cast("date")).alias("deadline"))
+@query(rf"SELECT doc_id, CASE WHEN regexp_matches(text, '{_INTERN}', 'i') THEN 'internship' WHEN regexp_matches(text, '{_GRAD}', 'i') THEN 'new_grad' WHEN contains(lower(source), 'part-time') THEN 'part_time' ELSE 'unknown' END AS employment_type, CASE WHEN regexp_matches(text, '\bhybrid\b', 'i') THEN 'hybrid' WHEN regexp_matches(text, '\b(remote|work from home|wfh|virtual|telecommute)\b', 'i') THEN 'remote' WHEN regexp_matches(text, '\b(on[\s-]?site|in[\s-]?office|in person)\b', 'i') THEN 'onsite' ELSE 'unknown' END AS remote_status FROM documents")
+def fact_employment(spark, sf):
+    """Over whole documents."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", facts.employment_type(F.col("source"), F.col("text"), F.lit(None).cast("string")).alias("employment_type"), facts.remote_status(F.col("text")).alias("remote_status"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'GB' WHEN s_suppkey % 3 = 0 THEN 'US' ELSE n_name END AS country,
+CASE WHEN s_suppkey % 3 = 0 THEN 'TX' END AS state, CASE WHEN s_suppkey % 5 = 0 THEN 'austin' ELSE 'supplier#' || CAST(s_suppkey AS VARCHAR) || '|' || CASE WHEN s_suppkey % 3 = 0 THEN 'tx' ELSE '' END END AS location_key FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def fact_location(spark, sf):
+    """Places made of suppliers and nations, with commas, slashes and bars between. With a known country after it, a state stays what it is."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    mark = F.element_at(F.array(*map(F.lit, [", ", " / ", "|"])), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    city = F.when(F.col("s_suppkey") % 5 == 0, "Austin").otherwise(F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")))
+    raw = F.concat(city, F.when(F.col("s_suppkey") % 3 == 0, F.concat(mark, F.lit("Texas"))).otherwise(""), mark, F.when(F.col("s_suppkey") % 7 == 0, "United Kingdom").otherwise(F.col("n_name")))
+    at = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", facts.parse_location(raw).alias("at"))
+    return at.select("s_suppkey", "at.country", "at.state", F.col("at.key").alias("location_key"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS cluster_id FROM documents")
@@ -226,7 +233,7 @@ def dedup_exact(spark, sf):
 SELECT h.head AS "left", d.doc_id AS "right", CASE WHEN a.lang <> d.lang THEN 'employment' END AS veto FROM documents d JOIN h ON md5(d.text) = h.c JOIN documents a ON a.doc_id = h.head WHERE d.doc_id <> h.head""")
 def dedup_content_guarded(spark, sf):
     """Content edges with the reason for which the guard would refuse them; the language stands for the kind of employment."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.lit("one").alias("company_slug"), F.lit("").alias("requisition_id"), F.lit("").alias("ats_identity"), F.lit("").alias("canonical_url"), F.col("lang").alias("employment_type"), F.lit("").alias("location_key"), F.array().cast("array<string>").alias("discriminators"), "source")
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.lit("one").alias("company_slug"), F.lit("").alias("requisition_id"), F.lit("").alias("ats_identity"), F.lit("").alias("canonical_url"), F.col("lang").alias("employment_type"), facts.parse_location(F.lit("")).alias("location"), F.array().cast("array<string>").alias("discriminators"), "source")
     edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97).alias("e")
     rows = edges.join(d.alias("a"), F.col("a.doc_id") == F.col("left")).join(d.alias("b"), F.col("b.doc_id") == F.col("right"))
     return rows.select("left", "right", resolve.merge_veto(resolve.side("a"), resolve.side("b")).alias("veto"))
@@ -372,14 +379,15 @@ def json_source_scan(spark, sf):
     return payloads.read_board(e.select(F.to_json(F.array(one)).alias("payload")), "lever").select("source_job_id", "title", "url", "date_posted")
 
 
-@query(r"""WITH t AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' written in C, SQL and git' WHEN 1 THEN ' heat to 300 C with golang' ELSE ' FPGA and SystemVerilog' END) AS t FROM part)
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'c,git,sql' WHEN 1 THEN 'go' ELSE 'fpga,systemverilog,verilog' END AS skills FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents)
+SELECT doc_id, contains(t, 'software') AS software_word, regexp_matches(t, '(^|[^a-z0-9+#])git([^a-z0-9+#]|$)') AS git, contains(t, 'linux') AS linux, contains(t, 'networking') AS networking FROM t""")
 def skill_tags(spark, sf):
+    """Some of the skills tagged in whole documents, against plain searches."""
     from ..functions.skills import extract_skills
 
-    said = F.get(F.array(F.lit(" written in C, SQL and git"), F.lit(" heat to 300 C with golang"), F.lit(" FPGA and SystemVerilog")), (F.col("p_partkey") % 3).cast("int"))
-    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", said).alias("t"))
-    return rows.select("p_partkey", F.array_join(F.array_sort(extract_skills(F.col("t"))), ",").alias("skills"))
+    rows = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"), extract_skills(F.col("text")).alias("s"))
+    has = lambda name: F.exists("s", lambda x: F.lower(x) == name)
+    return rows.select("doc_id", F.contains("t", F.lit("software")).alias("software_word"), has("git").alias("git"), has("linux").alias("linux"), has("networking").alias("networking"))
 
 
 RESUMES = [("machinery", ["ECONOMY", "SMALL"]), ("building", ["LARGE", "PROMO", "STANDARD"]), ("general", ["ECONOMY", "MEDIUM", "LARGE"])]

@@ -76,3 +76,20 @@ def test_facts(spark):
     assert [(p.city, p.state, p.key) for p in places] == [("Santa Clara", "CA", "bay_area"), (None, None, "remote"), ("Springfield", "IL", "springfield|il"), (None, None, "")]
     fit = facts.locations_compatible(facts.parse_location(F.col("a")), facts.parse_location(F.col("b")))
     assert values(spark, fit, [("Austin, TX", "Santa Clara, CA"), ("Austin, TX", None), ("Sunnyvale, CA", "San Jose, CA")]) == [False, True, True]
+
+
+def test_locations_of_every_shape(spark):
+    rows = [("Austin / TX",), ("Berlin, DE",), ("London|UK",), ("New York",), ("California",), ("Remote - US",), ("Remote",), ("Paris, Atlantis",), ("Dover, DE",), ("Portland, OR, USA",)]
+    got = values(spark, facts.parse_location(F.col("a")), rows)
+    assert [(p.city, p.state, p.country) for p in got] == [
+        ("Austin", "TX", "US"), ("Berlin", "DE", "US"), ("London", None, "GB"), (None, "NY", None), (None, "CA", None), ("Remote - US", None, None), (None, None, None), ("Paris", None, "Atlantis"),
+        ("Dover", "DE", "US"), ("Portland", "OR", "US"),
+    ]
+    assert values(spark, facts.country_code(F.col("a")), [("U.S.A",), (" united  kingdom ",), ("Narnia",), (None,)]) == ["US", "GB", "NARNIA", ""]
+
+
+def test_sections(spark):
+    text_ = "About us\nRequirements:\nC++\n\nNice to have\nRust\nWhat you'll do\nBuild things\n# Requirements\nlater"
+    got = values(spark, facts.split_sections(F.col("a")), [(text_,), ("plain",), (None,)])
+    assert (got[0].requirements, got[0].preferred, got[0].responsibilities) == ("C++", "Nice to have\nRust", "Build things")  # a blank line before a heading is the line that goes
+    assert tuple(got[1]) == ("", "", "") == tuple(got[2])
