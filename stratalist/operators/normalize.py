@@ -50,7 +50,7 @@ def normalize_listings(raw: DataFrame, reference: Column) -> DataFrame:
     stated = facts.deadline(F.col("full_text"), reference)
     text_or_null = {c: F.nullif(c, F.lit("")).alias(c) for c in ("description", "requirements", "responsibilities", "preferred")}
     return rows.select(
-        "source", F.coalesce("source_kind", F.lit("unknown")).alias("source_kind"), "source_job_id", "canonical_url", F.sha2("canonical_url", 256).alias("canonical_url_hash"), F.col("identity").alias("ats_identity"),
+        "source", F.coalesce("source_kind", F.lit("unknown")).alias("source_kind"), "source_job_id", "canonical_url", F.sha1("canonical_url").alias("canonical_url_hash"), F.col("identity").alias("ats_identity"),
         fingerprint(F.col("company_slug"), F.col("core"), F.col("place.key"), F.col("employment")).alias("fingerprint"),
         F.substring(sha256_of(F.col("core"), F.col("company_slug"), F.col("place.key"), F.substring("full_text", 1, HASH_CHARS)), 1, 32).alias("content_hash"),
         "company", "company_slug", "title", F.col("core").alias("title_core"),
