@@ -90,11 +90,11 @@ def score_final(spark, sf):
     return rows.withColumn("priority", score.priority_band(F.col("score")))
 
 
-@query(_PARTS_SQL + ", s AS (SELECT job_id, round_even(greatest(0.0, least(100.0, blended - penalty)), 1) AS score FROM f), a AS (SELECT job_id, (job_id % 101) / 100.0 AS relevance FROM s WHERE score >= 60 ORDER BY score DESC, job_id LIMIT 50) SELECT s.job_id, CASE WHEN relevance IS NOT NULL THEN round_even(0.75 * score + 25.0 * relevance, 1) ELSE score END AS score FROM s LEFT JOIN a ON a.job_id = s.job_id")
+@query(_PARTS_SQL + ", s AS (SELECT job_id, round_even(greatest(0.0, least(100.0, blended - penalty)), 1) AS score FROM f), a AS (SELECT job_id, (job_id % 101) / 113.0 + 0.00123 AS relevance FROM s WHERE score >= 60 ORDER BY score DESC, job_id LIMIT 50) SELECT s.job_id, CASE WHEN relevance IS NOT NULL THEN round_even(0.75 * score + 25.0 * relevance, 1) ELSE score END AS score FROM s LEFT JOIN a ON a.job_id = s.job_id")
 def score_with_model(spark, sf):
     """The best rows moved by a model, for which a fixed function of the id stands."""
     rows = _scored(spark, sf).select("job_id", score.final_score(F.col("blended"), F.col("penalty")).alias("score"))
-    return score.model_blend(rows, lambda asked: asked.select("job_id", ((F.col("job_id") % 101) / 100.0).alias("relevance")), 50)
+    return score.model_blend(rows, lambda asked: asked.select("job_id", ((F.col("job_id") % 101) / 113.0 + 0.00123).alias("relevance")), 50)
 
 
 @query(_PARTS_SQL + """ SELECT job_id, array_to_string(list_filter(skills, lambda x: x IN ('ECONOMY', 'SMALL')), ',') AS matched, array_to_string(list_filter(skills, lambda x: x NOT IN ('ECONOMY', 'SMALL'))[1:10], ',') AS missing,
