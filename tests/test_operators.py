@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stratalist.functions import text
+from stratalist.functions import facts, text
 from stratalist.operators import resolve, score, state
 from stratalist.operators.components import connected_components
 from stratalist.operators.filters import ListFilter, pages
@@ -24,7 +24,7 @@ def test_filter_round_trip():
 
 
 def _row(**more):
-    base = {"company_slug": "a", "requisition_id": "", "ats_identity": "", "source": "s1", "canonical_url": "", "discriminators": ["design"], "employment_type": "unknown", "location_key": ""}
+    base = {"company_slug": "a", "requisition_id": "", "ats_identity": "", "source": "s1", "canonical_url": "", "discriminators": ["design"], "employment_type": "unknown", "place": ""}
     return base | more
 
 
@@ -32,11 +32,14 @@ def test_merge_vetoes_are_symmetric(spark):
     cases = [
         (_row(), _row(source="s2"), None), (_row(), _row(company_slug="b"), "company"), (_row(requisition_id="R1"), _row(requisition_id="r2"), "requisition"), (_row(requisition_id="R1"), _row(requisition_id=" r1"), None),
         (_row(ats_identity="x:1"), _row(ats_identity="x:2"), "ats identity"), (_row(canonical_url="u"), _row(canonical_url="v"), "same source"), (_row(discriminators=["design", "verification"]), _row(source="s2"), "axis: verification"),
-        (_row(employment_type="internship"), _row(employment_type="full_time"), "employment"), (_row(location_key="austin"), _row(location_key="bay_area"), "location"),
+        (_row(employment_type="internship"), _row(employment_type="full_time"), "employment"), (_row(place="Austin, TX"), _row(place="San Jose, CA"), "location"),
+        (_row(place="Springfield"), _row(source="s2", place="Springfield, IL"), None),
     ]
-    ddl = "company_slug string, requisition_id string, ats_identity string, source string, canonical_url string, discriminators array<string>, employment_type string, location_key string"
+    ddl = "company_slug string, requisition_id string, ats_identity string, source string, canonical_url string, discriminators array<string>, employment_type string, place string"
     rows = [(i, *(dict(zip(_row(), x.values(), strict=True)) for x in pair)) for i, (*pair, _) in enumerate(cases)]
     df = spark.createDataFrame(rows, f"i int, a struct<{ddl.replace(' ', ':').replace(',:', ',')}>, b struct<{ddl.replace(' ', ':').replace(',:', ',')}>")
+    for c in "ab":
+        df = df.withColumn(c, F.col(c).withField("location", facts.parse_location(F.col(c)["place"])))
     a, b = resolve.side("a"), resolve.side("b")
     got = {r.i: (r.x, r.y) for r in df.select("i", resolve.merge_veto(a, b).alias("x"), resolve.merge_veto(b, a).alias("y")).collect()}
     assert got == {i: (why, why) for i, (_, _, why) in enumerate(cases)}
