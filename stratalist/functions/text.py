@@ -212,7 +212,7 @@ def strip_html(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n* ")
     t = F.regexp_replace(t, r"(?i)</?(br|p|div|h[1-4]|li|ul|ol|tr|table)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, plain in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}.items():
+    for entity, plain in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#x2F;": "/", "&amp;": "&"}.items():
         t = F.replace(t, F.lit(entity), F.lit(plain))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n\s*\n+", "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")

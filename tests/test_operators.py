@@ -112,7 +112,7 @@ def test_material_changes(spark):
 def test_board_payloads(spark):
     lever = '[{"id":"1","text":"FPGA Intern","hostedUrl":"https://jobs.lever.co/a/1","categories":{"location":"Austin"},"createdAt":1767225600000}]'
     ashby = '{"jobs":[{"id":"2","title":"SWE","jobUrl":"u","publishedAt":"2026-01-01T00:00:00Z"}]}'
-    curated = '[{"id":"3","title":"T","url":"v","active":true,"locations":["X"]},{"id":"4","title":"T","active":false}]'
+    curated = '[{"id":"3","company_name":"C","title":"T","url":"v","active":true,"locations":["X"]},{"id":"4","title":"T","active":false}]'
     frames = [payloads.read_board(spark.createDataFrame([(x,), ("broken",)], "payload string"), p) for p, x in (("lever", lever), ("ashby", ashby), ("curated", curated))]
     got = sorted((r.source, r.source_job_id, r.title, r.date_posted) for r in payloads.union_sources(frames).collect())
     assert got == [("ashby", "2", "SWE", datetime(2026, 1, 1)), ("curated", "3", "T", None), ("lever", "1", "FPGA Intern", datetime(2026, 1, 1))]
