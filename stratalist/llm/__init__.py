@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries. Each has QUERIES and ORACLES.
-MODULES = ("url_filter", "bpe", "mixing", "quality", "near_dedup", "media", "tool_calls", "exact_dedup", "pii", "hard_negatives", "toxicity")
+MODULES = ("url_filter", "bpe", "mixing", "quality", "near_dedup", "media", "tool_calls", "exact_dedup", "pii", "hard_negatives", "toxicity", "alignment")
 
 
 def queries() -> dict:

@@ -25,9 +25,9 @@ def made(n, seed=0):
     out = []
     for i in range(n):
         words = rng.choice(rest, 12).tolist()
-        kind = rng.integers(4)
-        words += [[rng.choice(insults), rng.choice(groups)], rng.choice(insults, 2, replace=False), rng.choice(groups, 2, replace=False), []][kind]
-        rng.shuffle(words)
+        kind = int(rng.integers(4))
+        a, b = rng.permutation(3)[:2]
+        words += [[insults[a], groups[b]], [insults[a], insults[b]], [groups[a], groups[b]], []][kind]
         out.append((i, " ".join(words), int(kind == 0)))
     return out
 
