@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..storage import materialize, new_path, shared_dir, table
+from ..storage import Scratch, materialize, new_path, shared_dir, table
 
-__all__ = ["materialize", "new_path", "shared_dir", "table", "unused"]
+__all__ = ["Scratch", "materialize", "new_path", "shared_dir", "table", "unused"]
 
 
 def unused(df: DataFrame, n: int) -> list[str]:
