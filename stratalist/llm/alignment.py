@@ -20,13 +20,14 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +53,20 @@ SHIFT = 31
 
 def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """(i, j) with a[i] = b[j], both ascending. The shorter list drives."""
-    if len(a) > len(b):
-        return [(i, j) for j, i in common_ends(b, a)]
+    swapped = len(a) > len(b)
+    if swapped:
+        a, b = b, a
     out, at, n = [], 0, len(b)
     for i, end in enumerate(a):
-        step = 1
-        while at + step < n and b[at + step] < end:
-            step *= 2
-        at = bisect_left(b, end, at + step // 2 if step > 1 else at, min(at + step + 1, n))
+        if at < n and b[at] < end:
+            step = 1
+            while at + step < n and b[at + step] < end:
+                step *= 2
+            at = bisect_left(b, end, at + step // 2, min(at + step + 1, n))
         if at == n:
             break
         if b[at] == end:
-            out.append((i, at))
+            out.append((at, i) if swapped else (i, at))
     return out
 
 
@@ -102,6 +105,7 @@ class Tokens:
         # The ranked encoder merges by id, so ids must follow the merges.
         self.ranked = tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
+        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
         self.bytes_b, spaced = {}, re.compile(r"\S[ \n\t]")
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -113,31 +117,38 @@ class Tokens:
             if not (self.b.is_control(i) or self.b.is_unknown(i)) and (spaced.search(plain) or "\n" in plain):
                 raise ValueError(f"piece {piece!r} goes on after white space, so texts cannot be cut there")
 
+        self.size_b = {i: len(x) for i, x in self.bytes_b.items()}
+        self.name = [str(i) for i in range(max(*self.bytes_a, *self.bytes_b) + 1)]
+
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a: list = [self.ranked.encode_ordinary(w) if PLAIN(w) else None for w in words]
         rest = [i for i, ids in enumerate(a) if ids is None]
         for i, found in zip(rest, self.a.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
             a[i] = found.ids
-        # The library puts a space before a text; the newline, which no piece holds, keeps it and itself off the word.
-        return a, [ids[2:] for ids in self.b.encode(["\n" + w for w in words], num_threads=1)]
+        # The library puts a space before a text: the word's own, or one kept off it by a newline, which no piece holds.
+        led = [w[0] == " " and len(w) > 1 for w in words]
+        b = self.b.encode([w[1:] if x else "\n" + w for w, x in zip(words, led, strict=True)], num_threads=1)
+        return a, [ids if x else ids[2:] for ids, x in zip(b, led, strict=True)]
 
 
 def align_word(word: str, a: list[int], b: list[int], tokens: Tokens) -> tuple[tuple[int, int, int, int], str, list[int]] | None:
     """(tokens of a, of b, groups, links), the groups as text, and the linked pairs; None if the tokens don't give back the word."""
-    parts_a, parts_b, raw = [tokens.bytes_a[i] for i in a], [tokens.bytes_b[i] for i in b], word.encode()
-    if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+    raw, bytes_a, bytes_b, name = word.encode(), tokens.bytes_a, tokens.bytes_b, tokens.name
+    if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
         return None
-    ends_a, ends_b = [], []
-    for parts, ends in ((parts_a, ends_a), (parts_b, ends_b)):
-        n = 0
-        for p in parts:
-            n += len(p)
-            ends.append(n)
-    groups, pairs, first = [], [], (0, 0)
+    if len(a) == 1 or len(b) == 1:  # one group, in which all meet
+        pairs = [x << SHIFT | y for x in a for y in b]
+        return (len(a), len(b), 1, len(pairs)), f"{','.join([name[i] for i in a])}|{','.join([name[i] for i in b])}", pairs
+    ends_a, ends_b = list(accumulate([tokens.size_a[i] for i in a])), list(accumulate([tokens.size_b[i] for i in b]))
+    groups, pairs, i0, j0 = [], [], 0, 0
     for i, j in common_ends(ends_a, ends_b):
-        groups.append(f"{','.join(map(str, a[first[0] : i + 1]))}|{','.join(map(str, b[first[1] : j + 1]))}")
-        pairs += [a[x] << SHIFT | b[y] for x, y in overlaps(ends_a, ends_b, first, (i, j))]
-        first = (i + 1, j + 1)
+        if i == i0 and j == j0:
+            groups.append(name[a[i]] + "|" + name[b[j]])
+            pairs.append(a[i] << SHIFT | b[j])
+        else:
+            groups.append(",".join([name[x] for x in a[i0 : i + 1]]) + "|" + ",".join([name[x] for x in b[j0 : j + 1]]))
+            pairs += [a[x] << SHIFT | b[y] for x, y in overlaps(ends_a, ends_b, (i0, j0), (i, j))]
+        i0, j0 = i + 1, j + 1
     return (len(a), len(b), len(groups), len(pairs)), ";".join(groups), pairs
 
 
@@ -155,6 +166,25 @@ class Aligner:
         self.sizes = np.zeros((0, 4), dtype=np.int64)
         self.pairs = np.zeros(0, dtype=np.int64)
         self.values, self.valued_by = np.zeros((0, 2), dtype=np.int64), ""
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the words that were used most, at most half of what is remembered otherwise."""
+        least = 2
+        while (kept := self.uses >= least).sum() > WORD_ENTRIES // 2 or self.chars_of(kept) > WORD_CHARS // 2:
+            least *= 2
+        at = np.flatnonzero(kept)
+        words = list(self.index)
+        sizes = self.sizes[:, 3]
+        self.index = {words[k]: i for i, k in enumerate(at.tolist())}
+        self.chars = sum(map(len, self.index))
+        self.groups = [self.groups[k] for k in at.tolist()]
+        self.pairs = self.pairs[np.repeat(kept, sizes)]
+        self.fine, self.sizes, self.uses = self.fine[at], self.sizes[at], self.uses[at] // 2
+        self.values = self.values[:0]
+
+    def chars_of(self, kept: np.ndarray) -> int:
+        return sum(len(w) for w, k in zip(self.index, kept.tolist(), strict=True) if k)
 
     @property
     def full(self) -> bool:
@@ -165,7 +195,11 @@ class Aligner:
         words = [[x] if RARE_SPACE(x) else WORDS(x) for x in (" " + t if t else "" for t in texts)]
         new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.index]
         if new:
-            found = [align_word(w, a, b, self.tokens) for w, a, b in zip(new, *self.tokens.encode(new), strict=True)]
+            gc.disable()  # many small lists and no cycles
+            try:
+                found = [align_word(w, a, b, self.tokens) for w, a, b in zip(new, *self.tokens.encode(new), strict=True)]
+            finally:
+                gc.enable()
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.chars += sum(map(len, new))
             self.groups += ["" if f is None else f[1] for f in found]
@@ -173,7 +207,11 @@ class Aligner:
             self.sizes = np.concatenate([self.sizes, np.array([(0, 0, 0, 0) if f is None else f[0] for f in found], dtype=np.int64)])
             self.pairs = np.concatenate([self.pairs, np.fromiter(chain.from_iterable(f[2] for f in found if f is not None), dtype=np.int64)])
         counts = np.array([len(w) for w in words])
-        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=counts.sum()), counts
+        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=counts.sum())
+        uses = np.bincount(numbers, minlength=len(self.groups))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return numbers, counts
 
     def valued(self, slice_: Slice) -> np.ndarray:
         """For each word: its links of the highest count of their B id, and the sum of its links' counts, as far as the slice has them."""
@@ -258,7 +296,7 @@ def pair_counts(docs: DataFrame, files: Broadcast) -> DataFrame:
             for _, texts in _some(b):
                 if aligner.full:
                     drain()
-                    aligner.reset()
+                    aligner.shrink()
                     if held > PAIRS_HELD:
                         yield from out()
                 words, sizes = aligner.read(texts)
@@ -307,7 +345,7 @@ def _valued(rows: DataFrame, files: Broadcast, slice_: Broadcast, *, last: bool,
         for b in batches:
             for part, texts in _some(b):
                 if aligner.full:
-                    aligner.reset()
+                    aligner.shrink()
                 words, sizes = aligner.read(texts)
                 fine = _sums(~aligner.fine[words][:, None], sizes)[:, 0] == 0
                 found = _sums(np.concatenate([aligner.sizes, aligner.valued(slice_.value)], axis=1)[words], sizes) * fine[:, None]
