@@ -92,10 +92,22 @@ def normalize_text(text: Column) -> Column:
     return _tidy(F.coalesce(_without_accents(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
+def _from_first(words: Column, fits: Callable[[Column], Column]) -> Column:
+    """The words from the first that fits on; none if none does."""
+
+    def cut(w: Column) -> Column:
+        at = F.array_position(F.transform(w, fits), True)
+        return F.when(at > 0, F.slice(w, at.cast("int"), F.size(w))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, cut)
+
+
 def slug_from_normalized(base: Column) -> Column:
     base = F.trim(F.regexp_replace(F.regexp_replace(F.replace(base, F.lit("&"), F.lit(" and ")), "[^a-z0-9+#. ]", " "), r"\s+", " "))
-    bare = F.regexp_replace(base, rf"(^| )({'|'.join(COMPANY_SUFFIXES)})( ({'|'.join(COMPANY_SUFFIXES)}))*$", "")
-    bare = F.trim(F.regexp_replace(bare, r"^(the( |$))+", ""))
+    # By words: a repeated group in a pattern recurses, and a long name would overflow the stack.
+    words = F.split(base, " ")
+    words = _from_first(F.reverse(words), lambda w: ~w.isin(COMPANY_SUFFIXES))
+    bare = F.array_join(_from_first(F.reverse(words), lambda w: w != "the"), " ")
     known = F.create_map(*[F.lit(x) for kv in COMPANY_ALIASES.items() for x in kv])
     return F.coalesce(F.try_element_at(known, base), F.nullif(lookup(COMPANY_ALIASES, bare), F.lit("")), base)
 
@@ -106,7 +118,10 @@ def slugify_company(name: Column) -> Column:
 
 def title_core(title: Column, normalized=normalize_text) -> Column:
     """A title without brackets, requisition ids, seasons, years and punctuation."""
-    text = F.regexp_replace(F.coalesce(title, F.lit("")), r"[\(\[\{][^\)\]\}]*[\)\]\}]", " ")
+    # Each part before a closing bracket loses what follows its first opening one; what follows the last closing one stays.
+    parts = F.split(F.coalesce(title, F.lit("")), r"[\)\]\}]", -1)
+    cut = lambda x, i: F.when(i < F.size(parts) - 1, F.regexp_replace(x, r"(?s)[\(\[\{].*", " ")).otherwise(x)
+    text = F.array_join(F.transform(parts, cut), " ")
     text = normalized(F.regexp_replace(text, r"\b[A-Z]{1,4}[-_]?\d{4,}\b", " "))
     text = F.regexp_replace(F.translate(text, "/-,", "   "), TITLE_NOISE, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9+#. ]", " "), r"\s+", " "))

@@ -65,21 +65,21 @@ def multi_source(listings: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Totals, mean score and the application funnel."""
+    """Totals, mean score and the application funnel: how many reached each step, whatever their status is now."""
     return rows.agg(
         F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.round(F.avg("score"), 4).alias("avg_score"), F.count("user_applied_at").alias("applied"),
-        F.count_if(F.col("eff_status") == "interview").alias("interviews"), F.count_if(F.col("eff_status") == "offer").alias("offers"),
+        F.count("user_interview_at").alias("interviews"), F.count("user_offer_at").alias("offers"),
     )
 
 
 def source_yield(listings: DataFrame, jobs: DataFrame, since: datetime) -> DataFrame:
-    """Listings, distinct jobs, strong listings and share of the total for each source in a window."""
+    """Distinct jobs, strong listings and the percentage of all strong listings for each source in a window, the strongest first."""
     recent = listings.where(F.col("first_seen") >= ntz(since)).join(jobs.select("job_id", "priority"), "job_id")
     strong = F.col("priority").isin("apply_now", "strong_match")
     by = recent.groupBy("source").agg(F.countDistinct("job_id").alias("jobs"), F.sum(F.when(strong, 1).otherwise(0)).alias("strong"))
     # One row for each source: the window over all of them is small.
-    total = F.sum("jobs").over(Window.partitionBy())
-    return by.select("source", "jobs", "strong", F.round(F.col("jobs") / F.when(total == 0, 1).otherwise(total), 6).alias("share"))
+    total = F.greatest(F.sum("strong").over(Window.partitionBy()), F.lit(1))
+    return by.select("source", "jobs", "strong", F.round(100.0 * F.col("strong") / total, 1).alias("share_of_strong")).orderBy(F.desc("strong"), "source")
 
 
 def preferred_coverage(jobs: DataFrame, preferred: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words_array
+from ..functions.text import normalize_ascii, words_array
 from .analytics import ntz
 
 # Where a company's board is looked for, and what a resume's kind in the title adds.
@@ -43,17 +43,28 @@ def discovery_summary(companies: DataFrame, boards: DataFrame) -> DataFrame:
     return n.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def rank_resumes(jobs: DataFrame, resumes: list[tuple[str, list[str]]]) -> DataFrame:
-    """For each job (job_id, title, skills) its resumes (kind, skills) by the share of the job's skills they cover, best first; the best and three more."""
+def _shown(skills: Column, keywords: Column, text: Column) -> tuple[Column, Column]:
+    shows = lambda x: F.array_contains(keywords, x) | ((F.length(x) > 3) & F.contains(text, x))
+    return F.filter(skills, shows), F.filter(skills, lambda x: ~shows(x))
+
+
+def rank_resumes(jobs: DataFrame, resumes: list[tuple[str, list[str], str]]) -> DataFrame:
+    """For each job (job_id, title, skills) its resumes, best first: the best and three more, with the job's skills they show and lack.
+
+    resumes: (kind, keywords, text). A skill is shown by a keyword, or by the text if it is longer than three letters. A kind that the title names
+    adds to the share, up to 100; ties keep the order of ``resumes``. A job without skills has a share of 0.
+    """
+    skills = F.transform(F.filter("skills", lambda x: x != ""), normalize_ascii)
     scored = []
-    for kind, own in resumes:
-        share = 100.0 * F.size(F.array_intersect("skills", words_array(own))) / F.greatest(F.size("skills"), F.lit(1))
-        bonus = F.when(F.contains(F.lower("title"), F.lit(kind.lower())), KIND_BONUS).otherwise(0.0)
-        scored.append(F.struct((share + bonus).alias("score"), F.lit(kind).alias("kind")))
-    rows = jobs.select("job_id", F.explode(F.array(*scored)).alias("r")).select("job_id", "r.*")
-    # A window over the few resumes of one job.
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("score"), "kind"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= 1 + ALTERNATIVES)
+    for i, (kind, keywords, said) in enumerate(resumes):
+        matched, missing = _shown(skills, words_array([k.strip().lower() for k in keywords]), F.lit(" ".join(said.lower().split())))
+        share = F.when(F.size(skills) > 0, 100.0 * F.size(matched) / F.greatest(F.size(skills), F.lit(1))).otherwise(0.0)
+        bonus = F.when(F.lit(kind != "") & F.contains(F.lower("title"), F.lit(kind.lower())), KIND_BONUS).otherwise(0.0)
+        score = F.when(bonus > 0, F.least(F.lit(100.0), share + bonus)).otherwise(share)
+        scored.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind"), F.slice(matched, 1, 20).alias("matched"), F.slice(missing, 1, 12).alias("missing")))
+    # The few resumes of a job are sorted in its own row.
+    best = F.slice(F.sort_array(F.array(*scored), asc=False), 1, 1 + ALTERNATIVES)
+    return jobs.select("job_id", F.posexplode(best).alias("at", "r")).select("job_id", "r.kind", "r.score", (F.col("at") + 1).alias("rank"), "r.matched", "r.missing")
 
 
 def source_health(health: DataFrame, run: DataFrame) -> DataFrame:

@@ -162,10 +162,10 @@ def blend(components: dict[str, Column], weights: dict[str, float]) -> Column:
 
 
 def negative_penalty(title: Column, text: Column, prefs: Preferences) -> Column:
-    """title and text in lower case; a hit in the title counts four times as much as one elsewhere."""
-    total = F.lit(0.0)
+    """title, and text (title and description), in lower case; only the text's first 4000 characters count, and a hit that the title has too counts four times as much."""
+    total, head = F.lit(0.0), F.substring(text, 1, 4000)
     for word in prefs.negative:
-        total = total + F.when(F.contains(title, F.lit(word)), 2.0).when(F.contains(text, F.lit(word)), 0.5).otherwise(0.0)
+        total = total + F.when(F.contains(head, F.lit(word)), F.when(F.contains(title, F.lit(word)), 2.0).otherwise(0.5)).otherwise(0.0)
     return F.least(F.lit(PENALTY_CAP), PENALTY_STEP * total)
 
 
@@ -192,9 +192,14 @@ def hard_exclusion(slug: Column, location: Column, text: Column, prefs: Preferen
     return out
 
 
+def exact_score(blended: Column, penalty: Column) -> Column:
+    """Clamped but not rounded, as the bands look at it."""
+    return _clamp(blended - penalty)
+
+
 def final_score(blended: Column, penalty: Column) -> Column:
     """Clamped, to one decimal, halves to even."""
-    return F.bround(_clamp(blended - penalty), 1)
+    return F.bround(exact_score(blended, penalty), 1)
 
 
 def skill_gap(skills: Column, prefs: Preferences, most: int = 10) -> tuple[Column, Column]:
@@ -232,6 +237,22 @@ def model_blend(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], budget
 
 
 def contributions(components: dict[str, Column], weights: dict[str, float], score: Column) -> dict[str, Column]:
-    """The score split over its measured components by weighted value; the parts sum to the score."""
-    total = sum((F.coalesce(c * weights[n], F.lit(0.0)) for n, c in components.items()), F.lit(0.0))
-    return {n: F.when(total > 0, F.coalesce(c * weights[n], F.lit(0.0)) / F.nullif(total, F.lit(0.0)) * score).otherwise(0.0) for n, c in components.items()}
+    """The score split over its measured components, summing to it; null for those not measured, and for all where the score is 0.
+
+    The score is first split between relevance and context, by how much context lifts it, then within each group by weighted value.
+    """
+
+    def group(inside: bool) -> tuple[Column, Column]:
+        own = [n for n in components if (n in RELEVANCE) == inside]
+        over = sum((F.when(components[n].isNotNull(), weights[n]).otherwise(0.0) for n in own), F.lit(0.0))
+        return over, sum((F.coalesce(components[n] * weights[n], F.lit(0.0)) for n in own), F.lit(0.0))
+
+    (rel_over, rel_total), (ctx_over, ctx_total) = group(True), group(False)
+    lift = (1 - CONTEXT_FLOOR) * ctx_total / F.nullif(ctx_over, F.lit(0.0)) / 100
+    ctx_share = F.when(rel_over <= 0, score).when(ctx_over <= 0, 0.0).otherwise(score * lift / (CONTEXT_FLOOR + lift))
+    out = {}
+    for n, c in components.items():
+        share, total = (score - ctx_share, rel_total) if n in RELEVANCE else (ctx_share, ctx_total)
+        part = F.when(total > 0, share * c * weights[n] / F.nullif(total, F.lit(0.0))).otherwise(0.0)
+        out[n] = F.when(c.isNotNull() & (score > 0), part)
+    return out

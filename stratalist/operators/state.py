@@ -17,19 +17,19 @@ BOARD_FAILURES_SELECT, BOARD_FAILURES_PRUNE, BOARD_RECENT_DAYS = 8, 12, 3
 
 
 def _words_hash(text: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 256)
+    return F.sha2(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 256)
 
 
 def material_changes(fields: tuple[str, ...] = MATERIAL_FIELDS, times: tuple[str, ...] = ("deadline",), texts: tuple[str, ...] = ("requirements",)) -> Column:
     """Sorted names of the fields whose new value (n_<field>) is news against the old one (o_<field>).
 
-    A missing new value is no news; times differ beyond an hour; texts differ by words; the rest only where the old value was known.
+    A missing new value is no news, nor is one where the old was not known; times differ beyond an hour; texts differ by words.
     """
     out = []
     for f in fields:
         old, new = F.col(f"o_{f}"), F.col(f"n_{f}")
         if f in times:
-            changed = old.isNull() | (F.abs(F.timestamp_diff("SECOND", old, new)) > 3600)
+            changed = F.abs(F.timestamp_diff("SECOND", old, new)) > 3600
         elif f in texts:
             changed = (old != "") & (_words_hash(old) != _words_hash(new))
         else:
@@ -38,17 +38,24 @@ def material_changes(fields: tuple[str, ...] = MATERIAL_FIELDS, times: tuple[str
     return F.array_sort(F.array_compact(F.array(*out)))
 
 
+def change_values(names: Column, fields: tuple[str, ...], texts: tuple[str, ...] = ("requirements",), most: int = 120) -> Column:
+    """field: (old, new) of the changed fields, cut to ``most`` characters; of long texts only that they changed."""
+    said = lambda f, side: F.lit("(changed)") if f in texts else F.substring(F.col(f"{side}_{f}").cast("string"), 1, most)
+    pairs = [F.struct(F.lit(f).alias("key"), F.struct(said(f, "o").alias("old"), said(f, "n").alias("new")).alias("value")) for f in fields]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.array_contains(names, p["key"])))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], replace: list[str], now: datetime) -> DataFrame:
     """The next snapshot: full outer join on the key. ``fill_only`` columns take a new value only if there is one.
 
-    Adds change (list of fields) and event: discovered, updated, reposted, seen or unseen. Jobs that come back count as reposted.
+    Adds change (names of the fields), changes (their old and new values) and event: discovered, updated, reposted, seen or unseen. Jobs that come back count as reposted.
     """
     columns = [*fill_only, *replace]
     o = old.select(F.col(key).alias("o_key"), *[F.col(c).alias(f"o_{c}") for c in columns], "is_active", "first_seen", "last_seen")
     n = new.select(F.col(key).alias("n_key"), *[F.col(c).alias(f"n_{c}") for c in columns])
     both = o.join(n, F.col("o_key") == F.col("n_key"), "full_outer")
     known, seen = F.col("o_key").isNotNull(), F.col("n_key").isNotNull()
-    change = F.when(known & seen, material_changes(tuple(columns), times=(), texts=())).otherwise(F.array().cast("array<string>"))
+    change = F.when(known & seen, material_changes(tuple(columns))).otherwise(F.array().cast("array<string>"))
     both = both.withColumn("change", change)
     event = F.when(~known, "discovered").when(~seen, "unseen").when(~F.col("is_active"), "reposted").when(F.size("change") > 0, "updated").otherwise("seen")
     fill = {c: F.coalesce(F.when(F.col(f"n_{c}").cast("string") != "", F.col(f"n_{c}")), F.col(f"o_{c}")) for c in fill_only}
@@ -61,13 +68,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], repla
         F.coalesce("first_seen", ntz(now)).alias("first_seen"),
         F.when(seen, ntz(now)).otherwise(F.col("last_seen")).alias("last_seen"),
         "change",
+        F.when(F.size("change") > 0, change_values(F.col("change"), tuple(columns))).alias("changes"),
         event.alias("event"),
     )
 
 
 def freshness_of(event: Column, old: Column, first_seen: Column, now: datetime) -> Column:
-    """new, updated or reposted; new and updated grow old after a full day."""
-    aged = F.floor(F.timestamp_diff("SECOND", first_seen, ntz(now)) / 86400) >= 1
+    """new, updated or reposted; new and updated grow old after a full day, but only when the run saw the job unchanged."""
+    aged = (event == "seen") & (F.floor(F.timestamp_diff("SECOND", first_seen, ntz(now)) / 86400) >= 1)
     return F.when(event == "reposted", "reposted").when(event == "updated", "updated").when(event == "discovered", "new").when(old.isin("new", "updated") & aged, "old").otherwise(old)
 
 

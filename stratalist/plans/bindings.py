@@ -30,7 +30,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lower("c_mktsegment"), F.when(F.col("o_orderpriority") == "5-LOW", " intern").otherwise(" engineer")).alias("title"),
         F.concat_ws(" ", "o_orderpriority", "c_mktsegment").alias("description"), score.alias("score"), priority_band(score).alias("priority"),
         F.lit("new").alias("status"), (F.col("o_orderstatus") != "F").alias("is_active"), F.col("o_orderdate").alias("date_posted"), F.col("o_orderdate").alias("date_discovered"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.timestamp_add("DAY", F.lit(30), "o_orderdate")).alias("deadline"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.timestamp_add("HOUR", F.lit(24 * 30) + F.col("o_orderkey") % 24, "o_orderdate")).alias("deadline"),
+        (F.col("o_custkey") % 5 > 0).alias("deadline_is_explicit"),
         F.when(F.col("o_orderpriority") == "5-LOW", "internship").when(F.col("o_orderpriority") == "2-HIGH", "full_time").otherwise("unknown").alias("employment_type"),
         F.when(F.col("o_orderstatus") == "P", "remote").otherwise("onsite").alias("remote_status"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("salary_min"),
         F.when(F.col("o_custkey") % 4 == 0, "updated").otherwise("new").alias("freshness"),
@@ -40,7 +41,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS_SQL = """jobs AS (SELECT *, CASE WHEN score >= 90 THEN 'apply_now' WHEN score >= 80 THEN 'strong_match' WHEN score >= 70 THEN 'worth_considering' WHEN score >= 60 THEN 'maybe' ELSE 'skip' END AS priority
   FROM (SELECT o_orderkey AS job_id, c_name AS company, n_name AS location, lower(c_mktsegment) || CASE WHEN o_orderpriority = '5-LOW' THEN ' intern' ELSE ' engineer' END AS title,
   o_orderpriority || ' ' || c_mktsegment AS description, floor(o_totalprice / 500) / 10 AS score, 'new' AS status, o_orderstatus <> 'F' AS is_active, o_orderdate AS date_posted, o_orderdate AS date_discovered,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 30 DAY END AS deadline,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 30 DAY + (o_orderkey % 24) * INTERVAL 1 HOUR END AS deadline, o_custkey % 5 > 0 AS deadline_is_explicit,
   CASE o_orderpriority WHEN '5-LOW' THEN 'internship' WHEN '2-HIGH' THEN 'full_time' ELSE 'unknown' END AS employment_type, CASE WHEN o_orderstatus = 'P' THEN 'remote' ELSE 'onsite' END AS remote_status,
   CASE WHEN o_custkey % 3 = 0 THEN o_totalprice END AS salary_min, CASE WHEN o_custkey % 4 = 0 THEN 'updated' ELSE 'new' END AS freshness
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey))"""
@@ -59,7 +60,7 @@ def all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir)
     at = lambda s: F.min(F.when(F.col("status") == s, F.col("ts")))
     last = F.struct("ts", "event_id")
-    rows = a.groupBy("user_id", "job_id").agg(F.max_by("status", last).alias("status"), F.max_by("value", last).alias("value"), at("saved").alias("saved_at"), at("applied").alias("applied_at"), at("dismissed").alias("dismissed_at"), at("new").alias("notified_at"), at("interview").alias("interview_at"))
+    rows = a.groupBy("user_id", "job_id").agg(F.max_by("status", last).alias("status"), F.max_by("value", last).alias("value"), at("saved").alias("saved_at"), at("applied").alias("applied_at"), at("dismissed").alias("dismissed_at"), at("new").alias("notified_at"), at("interview").alias("interview_at"), F.min(F.when((F.col("status") == "interview") & (F.col("value") > 50), F.col("ts"))).alias("offer_at"))
     return rows.withColumns({"score": F.when(F.col("status") == "new", F.least(F.floor("value") + 60.0, F.lit(100.0))), "priority": F.lit(None).cast("string")}).drop("value")
 
 
@@ -69,11 +70,11 @@ def user_state(spark: SparkSession, sf_dir: str, user: int = USER) -> DataFrame:
 
 STATE_SQL = f"""actions AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_id, CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'saved' WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'dismissed' ELSE 'interview' END AS status, ts, value, event_id FROM events),
 latest AS (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY ts DESC, event_id DESC) AS rn FROM actions),
-firsts AS (SELECT user_id, job_id, min(ts) FILTER (status = 'saved') AS saved_at, min(ts) FILTER (status = 'applied') AS applied_at, min(ts) FILTER (status = 'dismissed') AS dismissed_at, min(ts) FILTER (status = 'new') AS notified_at, min(ts) FILTER (status = 'interview') AS interview_at FROM actions GROUP BY 1, 2),
-all_states AS (SELECT l.user_id, l.job_id, l.status, f.saved_at, f.applied_at, f.dismissed_at, f.notified_at, f.interview_at, CASE WHEN l.status = 'new' THEN least(floor(l.value) + 60.0, 100.0) END AS score
+firsts AS (SELECT user_id, job_id, min(ts) FILTER (status = 'saved') AS saved_at, min(ts) FILTER (status = 'applied') AS applied_at, min(ts) FILTER (status = 'dismissed') AS dismissed_at, min(ts) FILTER (status = 'new') AS notified_at, min(ts) FILTER (status = 'interview') AS interview_at, min(ts) FILTER (status = 'interview' AND value > 50) AS offer_at FROM actions GROUP BY 1, 2),
+all_states AS (SELECT l.user_id, l.job_id, l.status, f.saved_at, f.applied_at, f.dismissed_at, f.notified_at, f.interview_at, f.offer_at, CASE WHEN l.status = 'new' THEN least(floor(l.value) + 60.0, 100.0) END AS score
   FROM latest l JOIN firsts f ON l.user_id = f.user_id AND l.job_id = f.job_id WHERE l.rn = 1),
 state AS (SELECT * FROM all_states WHERE user_id = {USER}),
-eff AS (SELECT j.*, coalesce(s.status, 'new') AS eff_status, coalesce(s.score, j.score) AS eff_score, j.priority AS eff_priority, s.saved_at, s.applied_at, s.dismissed_at, s.notified_at, s.status AS user_status FROM jobs j LEFT JOIN state s ON j.job_id = s.job_id)"""
+eff AS (SELECT j.*, coalesce(s.status, 'new') AS eff_status, coalesce(s.score, j.score) AS eff_score, j.priority AS eff_priority, s.saved_at, s.applied_at, s.dismissed_at, s.notified_at, s.interview_at, s.offer_at, s.status AS user_status FROM jobs j LEFT JOIN state s ON j.job_id = s.job_id)"""
 WITH = f"WITH {JOBS_SQL},\n{STATE_SQL}\n"
 
 

@@ -127,14 +127,14 @@ def multi_source_jobs(spark, sf):
     return analytics.multi_source(b.listings(spark, sf))
 
 
-@query(WITH + "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, round(avg(score), 4) AS avg_score, count(applied_at) AS applied, count(*) FILTER (eff_status = 'interview') AS interviews, count(*) FILTER (eff_status = 'offer') AS offers FROM eff")
+@query(WITH + "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, round(avg(score), 4) AS avg_score, count(applied_at) AS applied, count(interview_at) AS interviews, count(offer_at) AS offers FROM eff")
 def analytics_summary(spark, sf):
     return analytics.summary(eff(spark, sf))
 
 
 @query(f"""WITH {b.JOBS_SQL}, y AS (SELECT s_name AS source, count(DISTINCT j.job_id) AS jobs, CAST(sum(CASE WHEN priority IN ('apply_now', 'strong_match') THEN 1 ELSE 0 END) AS BIGINT) AS strong
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN jobs j ON l_orderkey = j.job_id WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
-SELECT source, jobs, strong, round(jobs / sum(jobs) OVER (), 6) AS share FROM y""")
+SELECT source, jobs, strong, round(100.0 * strong / greatest(sum(strong) OVER (), 1), 1) AS share_of_strong FROM y""")
 def source_yield_stats(spark, sf):
     return analytics.source_yield(b.listings(spark, sf), b.jobs(spark, sf), datetime(1998, 1, 1))
 
@@ -176,55 +176,77 @@ def harvest_first_seen(spark, sf):
     return analytics.first_seen(rows, "source", "doc_id", ["first_doc", "lang"])
 
 
-@query(WITH + f"""SELECT job_id, CASE WHEN notified_at IS NOT NULL THEN 'update' WHEN deadline BETWEEN {NOW_SQL} AND {NOW_SQL} + INTERVAL 3 DAY THEN 'deadline' ELSE 'new' END AS reason, eff_score,
-row_number() OVER (ORDER BY CASE WHEN notified_at IS NULL AND deadline BETWEEN {NOW_SQL} AND {NOW_SQL} + INTERVAL 3 DAY THEN 0 ELSE 1 END, list_position(['apply_now', 'strong_match', 'worth_considering', 'maybe', 'skip'], eff_priority), eff_score DESC, job_id) AS rank
-FROM eff WHERE is_active AND eff_score >= 80 AND eff_status = 'new' AND (notified_at IS NULL OR (freshness = 'updated' AND notified_at <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 72 HOUR)) ORDER BY rank LIMIT 7""".replace(NOW_SQL, "TIMESTAMP '2024-01-20 00:00:00'"))
+def _reasons_sql(now: str, least: int) -> str:
+    """Rows to tell about with their reason, as the digest's rules say."""
+    return f"""e AS (SELECT *, CASE WHEN deadline_is_explicit AND floor(epoch(deadline - {now}) / 86400) BETWEEN 0 AND 3 THEN 'deadline' WHEN notified_at IS NOT NULL THEN 'update' ELSE 'new' END AS reason FROM eff
+WHERE is_active AND eff_score >= {least} AND eff_status = 'new' AND (notified_at IS NULL OR (freshness = 'updated' AND notified_at <= {now} - INTERVAL 72 HOUR)))"""
+
+
+#: When actions of the user are three days old or older, so that told jobs come up as updates.
+LATER, LATER_SQL = datetime(2024, 1, 20), "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@query(WITH + ", " + _reasons_sql(LATER_SQL, 80) + """ SELECT job_id, reason, eff_score, row_number() OVER (ORDER BY CASE reason WHEN 'deadline' THEN 0 ELSE 1 END,
+list_position(['apply_now', 'strong_match', 'worth_considering', 'maybe', 'skip'], eff_priority), eff_score DESC, job_id) AS rank FROM e ORDER BY rank LIMIT 7""")
 def digest_selection(spark, sf):
-    return digest.select_digest(b.jobs(spark, sf), b.user_state(spark, sf), datetime(2024, 1, 20)).withColumn("rank", F.col("rank").cast("long"))
+    return digest.select_digest(b.jobs(spark, sf), b.user_state(spark, sf), LATER).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(WITH + """, e AS (SELECT *, CASE WHEN notified_at IS NOT NULL THEN 'update' WHEN deadline BETWEEN TIMESTAMP '2001-06-01 12:00:00' AND TIMESTAMP '2001-06-04 12:00:00' THEN 'deadline' ELSE 'new' END AS reason FROM eff
-WHERE is_active AND eff_score >= 60 AND eff_status = 'new' AND notified_at IS NULL)
-SELECT count(*) FILTER (reason = 'new') AS n_new, count(*) FILTER (reason = 'update') AS n_update, count(*) FILTER (reason = 'deadline') AS n_deadline, count(*) FILTER (eff_priority = 'apply_now') AS n_apply_now, count(*) AS total FROM e""")
+@query(WITH + ", " + _reasons_sql(NOW_SQL, 60) + """ SELECT count(*) FILTER (reason = 'new') AS n_new, count(*) FILTER (reason = 'update') AS n_update, count(*) FILTER (reason = 'deadline') AS n_deadline,
+count(*) FILTER (eff_priority = 'apply_now') AS n_apply_now, count(*) FILTER (eff_priority = 'strong_match') AS n_strong_match, count(*) AS total FROM e""")
 def digest_totals(spark, sf):
     return digest.digest_totals(b.jobs(spark, sf), b.user_state(spark, sf), NOW, 60.0)
 
 
+#: What a run fills but never empties.
+_FILL = ["price", "deadline", "requirements"]
+#: A closing time, moved by minutes or hours; required words, in other case or spacing; and how fresh a job was.
+def _facts() -> tuple[list, list]:
+    k, at = F.col("o_custkey"), F.col("o_orderkey")
+    fresh = F.element_at(F.array(*map(F.lit, ("new", "updated", "old", "reposted"))), (k % 4 + 1).cast("int"))
+    old = [F.when(k % 3 > 0, F.col("o_orderdate")).alias("deadline"), F.when(k % 4 > 0, F.concat_ws(" ", "o_orderpriority", F.lit("Required"))).alias("requirements"), fresh.alias("freshness")]
+    words = F.concat(F.col("o_orderpriority"), F.when(at % 2 == 0, " ").otherwise("  "), F.when(at % 3 == 0, "required").otherwise("Required"))
+    return old, [F.timestamp_add("MINUTE", at % 90, "o_orderdate").alias("deadline"), words.alias("requirements")]
+
+
 def _days(spark, sf):
     """Yesterday's snapshot and today's rows: orders up to 1999, and those from 1998 with some prices changed."""
     o = table(spark, sf, "orders")
-    old = o.where("o_orderdate < timestamp_ntz '1999-01-01 00:00:00'").select("o_orderkey", F.col("o_totalprice").alias("price"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("level"), (F.col("o_orderstatus") != "F").alias("is_active"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"))
-    new = o.where("o_orderdate >= timestamp_ntz '1998-01-01 00:00:00'").select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_totalprice") + F.when(F.col("o_custkey") % 2 == 0, 10).otherwise(0)).alias("price"), F.col("o_orderpriority").alias("level"))
+    old = o.where("o_orderdate < timestamp_ntz '1999-01-01 00:00:00'").select("o_orderkey", F.col("o_totalprice").alias("price"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("level"), (F.col("o_orderstatus") != "F").alias("is_active"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), *_facts()[0])
+    new = o.where("o_orderdate >= timestamp_ntz '1998-01-01 00:00:00'").select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_totalprice") + F.when(F.col("o_custkey") % 2 == 0, 10).otherwise(0)).alias("price"), F.col("o_orderpriority").alias("level"), *_facts()[1])
     return old, new
 
 
-_DAYS_SQL = f"""WITH old AS (SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_custkey % 5 > 0 THEN o_orderpriority END AS level, o_orderstatus <> 'F' AS is_active, o_orderdate AS first_seen, o_orderdate AS last_seen FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'),
-new AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice + CASE WHEN o_custkey % 2 = 0 THEN 10 ELSE 0 END END AS price, o_orderpriority AS level FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
+_DAYS_SQL = rf"""WITH old AS (SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_custkey % 5 > 0 THEN o_orderpriority END AS level, o_orderstatus <> 'F' AS is_active, o_orderdate AS first_seen, o_orderdate AS last_seen, CASE WHEN o_custkey % 3 > 0 THEN o_orderdate END AS deadline, CASE WHEN o_custkey % 4 > 0 THEN o_orderpriority || ' Required' END AS requirements, (['new', 'updated', 'old', 'reposted'])[o_custkey % 4 + 1] AS freshness FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'),
+new AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice + CASE WHEN o_custkey % 2 = 0 THEN 10 ELSE 0 END END AS price, o_orderpriority AS level, o_orderdate + (o_orderkey % 90) * INTERVAL 1 MINUTE AS deadline, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '  ' END || CASE WHEN o_orderkey % 3 = 0 THEN 'required' ELSE 'Required' END AS requirements FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
 m AS (SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.price, o.price) AS price, CASE WHEN n.o_orderkey IS NOT NULL THEN n.level ELSE o.level END AS level, coalesce(o.is_active, true) AS was_active,
   n.o_orderkey IS NOT NULL OR coalesce(o.is_active, false) AS is_active, coalesce(o.first_seen, {NOW_SQL}) AS first_seen, CASE WHEN n.o_orderkey IS NOT NULL THEN {NOW_SQL} ELSE o.last_seen END AS last_seen,
-  o.o_orderkey IS NOT NULL AS known, n.o_orderkey IS NOT NULL AS seen, o.o_orderkey IS NOT NULL AND n.price IS NOT NULL AND o.price IS DISTINCT FROM n.price AND o.price IS NOT NULL AS price_changed
+  o.o_orderkey IS NOT NULL AS known, n.o_orderkey IS NOT NULL AS seen, o.o_orderkey IS NOT NULL AND n.price IS NOT NULL AND o.price IS DISTINCT FROM n.price AND o.price IS NOT NULL AS price_changed,
+  coalesce(abs(epoch(n.deadline - o.deadline)) > 3600, false) AS deadline_changed, coalesce(string_split_regex(o.requirements, '\s+') <> string_split_regex(n.requirements, '\s+'), false) AS requirements_changed,
+  coalesce(n.deadline, o.deadline) AS deadline, coalesce(n.requirements, o.requirements) AS requirements, o.freshness AS freshness
   FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey)
 """
 
 
-@query(_DAYS_SQL + "SELECT o_orderkey, price, level, is_active, first_seen, last_seen, CASE WHEN NOT known THEN 'discovered' WHEN NOT seen THEN 'unseen' WHEN NOT was_active THEN 'reposted' WHEN price_changed THEN 'updated' ELSE 'seen' END AS event FROM m")
+@query(_DAYS_SQL + "SELECT o_orderkey, price, level, is_active, first_seen, last_seen, CASE WHEN NOT known THEN 'discovered' WHEN NOT seen THEN 'unseen' WHEN NOT was_active THEN 'reposted' WHEN price_changed OR deadline_changed OR requirements_changed THEN 'updated' ELSE 'seen' END AS event FROM m")
 def upsert_snapshot(spark, sf):
     old, new = _days(spark, sf)
-    return state.upsert(old, new, "o_orderkey", ["price"], ["level"], NOW).select("o_orderkey", "price", "level", "is_active", "first_seen", "last_seen", "event")
+    return state.upsert(old, new, "o_orderkey", _FILL, ["level"], NOW).select("o_orderkey", "price", "level", "is_active", "first_seen", "last_seen", "event")
 
 
-@query(_DAYS_SQL + "SELECT o_orderkey, 'price' AS changes FROM m WHERE price_changed AND seen")
+@query(_DAYS_SQL + "SELECT o_orderkey, concat_ws(',', CASE WHEN deadline_changed THEN 'deadline' END, CASE WHEN price_changed THEN 'price' END, CASE WHEN requirements_changed THEN 'requirements' END) AS changes FROM m WHERE seen AND (price_changed OR deadline_changed OR requirements_changed)")
 def material_changes(spark, sf):
     old, new = _days(spark, sf)
-    rows = state.upsert(old, new, "o_orderkey", ["price"], ["level"], NOW)
+    rows = state.upsert(old, new, "o_orderkey", _FILL, ["level"], NOW)
     return rows.where(F.size("change") > 0).select("o_orderkey", F.array_join("change", ",").alias("changes"))
 
 
-@query(_DAYS_SQL + f"""SELECT o_orderkey, CASE WHEN NOT known THEN 'new' WHEN seen AND NOT was_active THEN 'reposted' WHEN seen AND price_changed THEN 'updated' WHEN first_seen + INTERVAL 1 DAY <= {NOW_SQL} THEN 'old' ELSE 'new' END AS freshness FROM m""")
+@query(_DAYS_SQL + f"""SELECT o_orderkey, CASE WHEN NOT known THEN 'new' WHEN NOT seen THEN freshness WHEN NOT was_active THEN 'reposted' WHEN price_changed OR deadline_changed OR requirements_changed THEN 'updated'
+WHEN freshness IN ('new', 'updated') AND first_seen + INTERVAL 1 DAY <= {NOW_SQL} THEN 'old' ELSE freshness END AS freshness FROM m""")
 def lifecycle_freshness(spark, sf):
     old, new = _days(spark, sf)
-    rows = state.upsert(old, new, "o_orderkey", ["price"], ["level"], NOW)
-    return rows.select("o_orderkey", state.freshness_of(F.col("event"), F.lit("new"), F.col("first_seen"), NOW).alias("freshness"))
+    rows = state.upsert(old, new, "o_orderkey", _FILL, ["level"], NOW).join(old.select(F.col("o_orderkey").alias("known"), "freshness"), F.col("o_orderkey") == F.col("known"), "left")
+    return rows.select("o_orderkey", state.freshness_of(F.col("event"), F.col("freshness"), F.col("first_seen"), NOW).alias("freshness"))
 
 
 @query(WITH + "SELECT job_id, is_active AND NOT (is_active AND date_posted < TIMESTAMP '2001-05-22 12:00:00' AND eff_status NOT IN ('saved', 'applied', 'assessment', 'interview', 'offer')) AS is_active, is_active AND date_posted < TIMESTAMP '2001-05-22 12:00:00' AND eff_status NOT IN ('saved', 'applied', 'assessment', 'interview', 'offer') AS expired FROM eff")

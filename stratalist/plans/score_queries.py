@@ -73,7 +73,7 @@ CASE WHEN lower(company) = 'customer#000000003' THEN 100.0 WHEN regexp_matches(b
 CASE WHEN days <= 1 THEN 100.0 WHEN days <= 3 THEN 70.0 WHEN days <= 7 THEN 30.0 WHEN days <= 14 THEN 10.0 ELSE 0.0 END AS p_freshness,
 greatest(0.0, least(100.0, 50.0 + CASE employment_type WHEN 'internship' THEN 35 WHEN 'unknown' THEN 5 ELSE -35 END + CASE WHEN quarter(date_posted) = 3 THEN 10 ELSE -10 END + ([0, 10, -30, -40, -25])[ck % 5 + 1]
   + CASE WHEN salary_min IS NULL THEN 0 WHEN salary_min / 2080.0 >= 100 THEN 8 ELSE -10 END)) AS p_internship_constraints,
-least(40.0, 6.0 * (CASE WHEN contains(title, 'household') THEN 2.0 WHEN contains(body, 'household') THEN 0.5 ELSE 0 END + CASE WHEN contains(title, 'urgent') THEN 2.0 WHEN contains(body, 'urgent') THEN 0.5 ELSE 0 END)) AS penalty FROM i),
+least(40.0, 6.0 * (CASE WHEN contains(title, 'household') THEN 2.0 WHEN contains(body[:4000], 'household') THEN 0.5 ELSE 0 END + CASE WHEN contains(title, 'urgent') THEN 2.0 WHEN contains(body[:4000], 'urgent') THEN 0.5 ELSE 0 END)) AS penalty FROM i),
 f AS (SELECT *, (p_role_match * 25 + p_technical_skills * 25) / 50 * (0.7 + 0.3 * ((coalesce(p_candidate_fit * 15, 0) + p_location * 10 + p_company_preference * 5 + p_freshness * 10 + p_internship_constraints * 10) / (CASE WHEN p_candidate_fit IS NULL THEN 0 ELSE 15 END + 35)) / 100) AS blended FROM p)"""
 
 
@@ -84,10 +84,11 @@ def score_inputs(spark, sf):
     return rows.select("job_id", *[(F.round(f"p_{n}", 6) if n in score.RELEVANCE else F.col(f"p_{n}")).alias(n) for n in PREFS.weights])
 
 
-@query(_PARTS_SQL + ", s AS (SELECT job_id, round_even(greatest(0.0, least(100.0, blended - penalty)), 1) AS score FROM f) SELECT job_id, score, CASE WHEN score >= 90 THEN 'apply_now' WHEN score >= 80 THEN 'strong_match' WHEN score >= 70 THEN 'worth_considering' WHEN score >= 60 THEN 'maybe' ELSE 'skip' END AS priority FROM s")
+@query(_PARTS_SQL + ", s AS (SELECT job_id, greatest(0.0, least(100.0, blended - penalty)) AS exact, round_even(greatest(0.0, least(100.0, blended - penalty)), 1) AS score FROM f) SELECT job_id, score, CASE WHEN exact >= 90 THEN 'apply_now' WHEN exact >= 80 THEN 'strong_match' WHEN exact >= 70 THEN 'worth_considering' WHEN exact >= 60 THEN 'maybe' ELSE 'skip' END AS priority FROM s")
 def score_final(spark, sf):
-    rows = _scored(spark, sf).select("job_id", score.final_score(F.col("blended"), F.col("penalty")).alias("score"))
-    return rows.withColumn("priority", score.priority_band(F.col("score")))
+    """The score to one decimal; its priority is that of the unrounded one."""
+    exact = score.exact_score(F.col("blended"), F.col("penalty"))
+    return _scored(spark, sf).select("job_id", score.final_score(F.col("blended"), F.col("penalty")).alias("score"), score.priority_band(exact).alias("priority"))
 
 
 @query(_PARTS_SQL + ", s AS (SELECT job_id, round_even(greatest(0.0, least(100.0, blended - penalty)), 1) AS score FROM f), a AS (SELECT job_id, (job_id % 101) / 113.0 + 0.00123 AS relevance FROM s WHERE score >= 60 ORDER BY score DESC, job_id LIMIT 50) SELECT s.job_id, CASE WHEN relevance IS NOT NULL THEN round_even(0.75 * score + 25.0 * relevance, 1) ELSE score END AS score FROM s LEFT JOIN a ON a.job_id = s.job_id")

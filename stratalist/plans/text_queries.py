@@ -345,13 +345,15 @@ def priority_band(spark, sf):
     return score_blend(spark, sf).select("job_id", score.priority_band(F.col("blended")).alias("band"))
 
 
-@query(_PARTS_SQL + f""", t AS (SELECT *, p_role_match * 25 + coalesce(p_candidate_fit * 15, 0) + p_location * 10 + p_company_preference * 5 + p_freshness * 10 + p_internship_constraints * 10 AS total, {_BLEND_SQL} AS x FROM s)
-SELECT job_id, round(p_role_match * 25 / total * x, 6) AS role_match, round(coalesce(p_candidate_fit * 15, 0) / total * x, 6) AS candidate_fit FROM t""")
+@query(_PARTS_SQL + f""", t AS (SELECT *, coalesce(p_candidate_fit * 15, 0) + p_location * 10 + p_company_preference * 5 + p_freshness * 10 + p_internship_constraints * 10 AS ctx, CASE WHEN p_candidate_fit IS NULL THEN 35 ELSE 50 END AS over, {_BLEND_SQL} AS x FROM s),
+u AS (SELECT *, x * (0.3 * ctx / over / 100) / (0.7 + 0.3 * ctx / over / 100) AS ctx_share FROM t)
+SELECT job_id, round(CASE WHEN x > 0 THEN CASE WHEN p_role_match > 0 THEN x - ctx_share ELSE 0.0 END END, 6) AS role_match, round(CASE WHEN x > 0 AND p_candidate_fit IS NOT NULL THEN CASE WHEN ctx > 0 THEN ctx_share * p_candidate_fit * 15 / ctx ELSE 0.0 END END, 6) AS candidate_fit,
+round(CASE WHEN x > 0 THEN CASE WHEN ctx > 0 THEN ctx_share * p_location * 10 / ctx ELSE 0.0 END END, 6) AS location FROM u""")
 def score_contributions(spark, sf):
     rows, names = _scored(spark, sf)
     parts = {n: F.col(f"p_{n}") for n in names}
     split = score.contributions(parts, PREFS.weights, score.blend(parts, PREFS.weights))
-    return rows.select("job_id", *[F.round(split[n], 6).alias(n) for n in ("role_match", "candidate_fit")])
+    return rows.select("job_id", *[F.round(split[n], 6).alias(n) for n in ("role_match", "candidate_fit", "location")])
 
 
 @query(_PARTS_SQL + " SELECT job_id, CASE WHEN lower(company) = 'customer#000000005' THEN 'company' WHEN contains(lower(location), 'china') THEN 'location: CHINA' WHEN contains(lower(description), 'not specified') THEN 'keyword: not specified' END AS reason FROM s")
@@ -360,15 +362,48 @@ def hard_exclusions(spark, sf):
     return rows.select("job_id", score.hard_exclusion(F.lower("company"), F.col("location"), F.lower("description"), PREFS).alias("reason"))
 
 
-@query(_PARTS_SQL + " SELECT job_id, least(40.0, 6.0 * (CASE WHEN contains(title, 'household') THEN 2.0 WHEN contains(lower(description), 'household') THEN 0.5 ELSE 0 END + CASE WHEN contains(title, 'urgent') THEN 2.0 WHEN contains(lower(description), 'urgent') THEN 0.5 ELSE 0 END)) AS penalty FROM s")
+#: A text that names the second word of the negative ones only beyond the 4,000 characters that count, for every third job.
+_BODY_SQL = "lower(title || ' ' || CASE WHEN job_id % 3 = 0 THEN repeat('filler ', 600) ELSE '' END || description)"
+
+
+@query(_PARTS_SQL + f""" SELECT job_id, least(40.0, 6.0 * ({" + ".join(f"CASE WHEN contains(({_BODY_SQL})[:4000], '{w}') THEN CASE WHEN contains(title, '{w}') THEN 2.0 ELSE 0.5 END ELSE 0 END" for w in ("household", "urgent"))})) AS penalty FROM s""")
 def negative_penalty(spark, sf):
     rows, _ = _scored(spark, sf)
-    return rows.select("job_id", score.negative_penalty(F.col("title"), F.lower("description"), PREFS).alias("penalty"))
+    body = F.lower(F.concat(F.col("title"), F.lit(" "), F.when(F.col("job_id") % 3 == 0, "filler " * 600).otherwise(""), F.col("description")))
+    return rows.select("job_id", score.negative_penalty(F.col("title"), body, PREFS).alias("penalty"))
+
 
+#: Kinds of titles, by customer.
+_KINDS = ["intern", "sales intern", "campus marketing", "truck driver", "student nurse", "engineer", "machinery sales trainee", "co-op"]
+
+
+def _postings(spark, sf):
+    """Jobs with titles of several trades, declared types, stated terms and bodies short and long."""
+    j = b.jobs(spark, sf).withColumn("k", F.regexp_extract("company", "[0-9]+", 0).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("k") % len(_KINDS) + 1).cast("int"))
+    long = F.when(F.col("job_id") % 2 == 0, "filler " * 900).otherwise("")
+    return j.select(
+        "job_id", F.concat(F.element_at(F.split("title", " "), 1), F.lit(" "), kind).alias("title"), F.when(F.col("k") % 7 == 0, "Internship (paid)").alias("employment_type"),
+        F.when(F.col("k") % 11 == 0, F.array(F.lit("Summer"))).alias("terms"), F.concat("description", F.lit(" "), long, F.when(F.col("k") % 5 == 0, "our co-op").otherwise("")).alias("description"),
+    )
 
-@query(f"WITH {b.JOBS_SQL} SELECT count(*) FILTER (NOT contains(title, 'intern')) AS not_internship, count(*) FILTER (contains(title, 'intern') AND NOT (contains(t, 'machinery') OR contains(t, 'building'))) AS off_domain, count(*) FILTER (contains(title, 'intern') AND (contains(t, 'machinery') OR contains(t, 'building'))) AS kept FROM (SELECT *, lower(title || ' ' || description) AS t FROM jobs)")
+
+_POSTINGS_SQL = f"""{b.JOBS_SQL}, raw AS (SELECT *, CAST(regexp_extract(company, '[0-9]+') AS INT) AS k FROM jobs),
+postings AS (SELECT job_id, split_part(title, ' ', 1) || ' ' || ({_KINDS!r})[k % {len(_KINDS)} + 1] AS title, k % 7 = 0 AS declared, k % 11 = 0 AS stated,
+  description || ' ' || CASE WHEN job_id % 2 = 0 THEN repeat('filler ', 900) ELSE '' END || CASE WHEN k % 5 = 0 THEN 'our co-op' ELSE '' END AS body FROM raw),
+marked AS (SELECT *, regexp_matches(title, '{pre.INTERN_TITLE.replace("(?iU)", "(?i)")}') AS intern_title, regexp_matches(title, '{pre.OFF_DOMAIN.replace("(?iU)", "(?i)")}') AND NOT (contains(title, 'machinery') OR contains(title, 'building')) AS other,
+  regexp_matches(body, '{pre.INTERN_BODY.replace("(?iU)", "(?i)")}') AND length(body) < 6000 AS intern_body FROM postings)"""
+_TERMS = pre.domain_terms(["Machinery Internship"], ["building "])
+
+
+@query(f"WITH {_POSTINGS_SQL}, i AS (SELECT *, intern_title OR declared OR stated OR intern_body AS intern FROM marked) SELECT count(*) FILTER (NOT intern) AS not_internship, count(*) FILTER (intern AND other) AS off_domain, count(*) FILTER (intern AND NOT other) AS kept FROM i")
 def prefilter_counts(spark, sf):
-    return pre.prefilter(b.jobs(spark, sf), pre.domain_terms(["Machinery Intern"], ["building"]))[1]
+    return pre.prefilter(_postings(spark, sf), _TERMS)[1]
+
+
+@query(f"WITH {_POSTINGS_SQL} SELECT job_id, title FROM marked WHERE intern_title AND NOT other")
+def title_gate(spark, sf):
+    return _postings(spark, sf).where(pre.title_gate(F.col("title"), _TERMS)).select("job_id", "title")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS source_job_id, event_type AS title, 'https://x.example/' || CAST(event_id AS VARCHAR) AS url, ts - INTERVAL (microsecond(ts) % 1000) MICROSECOND AS date_posted FROM events")
@@ -391,14 +426,16 @@ def skill_tags(spark, sf):
     return rows.select("doc_id", F.contains("t", F.lit("software")).alias("software_word"), has("git").alias("git"), has("linux").alias("linux"), has("networking").alias("networking"))
 
 
-RESUMES = [("machinery", ["ECONOMY", "SMALL"]), ("building", ["LARGE", "PROMO", "STANDARD"]), ("general", ["ECONOMY", "MEDIUM", "LARGE"])]
+RESUMES = [("machinery", ["ECONOMY", "SMALL"], "Large medium projects."), ("building", ["LARGE", "PROMO", "STANDARD"], ""), ("general", ["ECONOMY", "MEDIUM", "LARGE"], "standard, small")]
 
 
 def _resume_sql() -> str:
     one = " UNION ALL ".join(
-        f"SELECT j.job_id, '{k}' AS kind, 100.0 * len(list_intersect(skills, {own!r})) / greatest(len(skills), 1) + CASE WHEN contains(lower(title), '{k}') THEN 5.0 ELSE 0 END AS score FROM jobs j JOIN skills s ON s.job_id = j.job_id" for k, own in RESUMES
+        f"SELECT j.job_id, '{k}' AS kind, {i} AS i, least(100.0, 100.0 * len(list_filter(skills, lambda x: lower(x) IN {tuple(map(str.lower, own))!r} OR (length(x) > 3 AND contains('{said.lower()}', lower(x))))) / len(skills)"
+        f" + CASE WHEN contains(lower(title), '{k}') THEN 5.0 ELSE 0 END) AS score FROM jobs j JOIN skills s ON s.job_id = j.job_id"
+        for i, (k, own, said) in enumerate(RESUMES)
     )
-    return f"WITH {b.JOBS_SQL}, {b.SKILLS_SQL}, r AS ({one}) SELECT job_id, kind, round(score, 6) AS score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, kind) AS rank FROM r"
+    return f"WITH {b.JOBS_SQL}, {b.SKILLS_SQL}, r AS ({one}) SELECT job_id, kind, round(score, 6) AS score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, i) AS rank FROM r"
 
 
 @query(_resume_sql())

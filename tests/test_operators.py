@@ -104,9 +104,9 @@ def test_blend_shares_unmeasured_weight(spark):
 
 
 def test_material_changes(spark):
-    df = spark.createDataFrame([(50.0, 70.0, "a  b", "A b"), (50.0, None, "a", "b"), (None, 5.0, "", "x")], "o_salary_min double, n_salary_min double, o_requirements string, n_requirements string")
+    df = spark.createDataFrame([(50.0, 70.0, "A  b", "A b"), (50.0, None, "a", "b"), (None, 5.0, "", "x"), (5.0, 5.0, "a b", "A b")], "o_salary_min double, n_salary_min double, o_requirements string, n_requirements string")
     got = [r[0] for r in df.coalesce(1).select(state.material_changes(("salary_min", "requirements"))).collect()]
-    assert got == [["salary_min"], ["requirements"], []]
+    assert got == [["salary_min"], ["requirements"], [], ["requirements"]]
 
 
 def test_board_payloads(spark):
