@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import normalize, resolve
+from ..operators import normalize, provenance, resolve
 from ..storage import table
 from . import bindings as b
 
@@ -103,3 +103,17 @@ def merge_provenance(spark, sf):
     """The guarded fingerprint stage: each edge to the head of its group, and whether the guard lets it stand."""
     edges = resolve.guarded_edges(_listings(spark, sf), "fingerprint", "node", "fingerprint", 0.95)
     return edges.select("left", "right", F.col("veto").isNull().alias("accepted"))
+
+
+@query()
+def merge_methods(spark, sf):
+    """How each listing came into its cluster: the stage of its lowest edge in the spanning forest of all evidence."""
+    rows = _listings(spark, sf)
+    return provenance.trace(rows, "node", *provenance.evidence(rows, "node", similar=False))[0]
+
+
+@query()
+def merge_records(spark, sf):
+    """The links that counted, and the refused ones whose ends nothing before them had joined."""
+    rows = _listings(spark, sf)
+    return provenance.trace(rows, "node", *provenance.evidence(rows, "node", similar=False))[1].select("left", "right", "stage", "confidence", "verdict", "reason")
