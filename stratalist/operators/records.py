@@ -60,6 +60,43 @@ def guarded_match(new: DataFrame, known: DataFrame, by: str, key: str, guarded:
     return n.join(o, key).where(~stored_conflict("o_", "n_")).groupBy(by).agg(F.min("job_id").alias("job_id"))
 
 
+#: Kinds of identities in the order of what they prove; of a member's own, the stored job's goes before its listing's.
+IDENTITIES = ["source_key", "job_ats", "listing_ats", "url_hash", "fingerprint"]
+GUARDED = ["company_slug", "requisition_id", "ats_identity", "discriminators"]
+
+
+def lookup_identities(members: DataFrame, heads: DataFrame, jobs: DataFrame, listings: DataFrame, companies: DataFrame) -> DataFrame:
+    """cluster, job_id, matched_by and company_id: the stored job and company of each cluster, null where there is none.
+
+    members: cluster, member (its place), source_key, ats_identity, url_hash. heads: cluster, fingerprint and ``GUARDED``. jobs: job_id, fingerprint and
+    ``GUARDED``. listings: job_id, source_key, ats_identity, url_hash. companies: company_id, company_slug. All identities of all kinds are
+    rows (kind, key) of one table on either side, so one join finds them, however many kinds there are; stored rows are combined by
+    key first. Among the hits the order is: source keys, then ATS identities, then urls, each by member; last a fingerprint whose guard finds no conflict.
+    """
+    guard = F.struct(*GUARDED)
+    none = F.lit(None).cast(heads.select(guard.alias("g")).schema["g"].dataType)
+
+    def rows(frame: DataFrame, ident: str, name: str, kinds: list[tuple[str, str, Column, Column]]) -> DataFrame:
+        each = [F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), place.alias("place"), g.alias("guard")) for kind, key, place, g in kinds]
+        return frame.select(F.col(ident).cast("long").alias(name), F.explode(F.array(*each)).alias("i")).select(name, "i.*").where("key <> ''")
+
+    place = lambda step, member=F.lit(0), sub=0: F.struct(F.lit(step).alias("step"), member.cast("long").alias("member"), F.lit(sub).alias("sub"))
+    m = F.col("member")
+    probes = rows(members, "cluster", "cluster", [("source_key", "source_key", place(0, m), none), ("job_ats", "ats_identity", place(1, m), none), ("listing_ats", "ats_identity", place(1, m, 1), none), ("url_hash", "url_hash", place(2, m), none)])
+    probes = probes.unionByName(rows(heads, "cluster", "cluster", [("fingerprint", "fingerprint", place(3), guard), ("company", "company_slug", place(4), none)]))
+    known = rows(jobs, "job_id", "id", [("job_ats", "ats_identity", place(0), none), ("fingerprint", "fingerprint", place(0), guard)])
+    known = known.unionByName(rows(listings, "job_id", "id", [("source_key", "source_key", place(0), none), ("listing_ats", "ats_identity", place(0), none), ("url_hash", "url_hash", place(0), none)]))
+    known = known.unionByName(rows(companies, "company_id", "id", [("company", "company_slug", place(0), none)]))
+    known = known.groupBy("kind", "key", F.col("guard").alias("stored")).agg(F.min("id").alias("id"))
+    # Two rows under one fingerprint are one opening only if the company is the same and nothing that the guard looks at differs.
+    hits = probes.join(known, ["kind", "key"])
+    flat = hits.select("*", *[F.col(f"stored.{c}").alias(f"o_{c}") for c in GUARDED], *[F.col(f"guard.{c}").alias(f"n_{c}") for c in GUARDED])
+    fits = (F.col("kind") != "fingerprint") | ((F.col("o_company_slug") == F.col("n_company_slug")) & ~stored_conflict("o_", "n_"))
+    best = F.min(F.when(F.col("kind") != "company", F.struct("place", "id", "kind"))).alias("best")
+    found = flat.where(fits).groupBy("cluster").agg(best, F.min(F.when(F.col("kind") == "company", F.col("id"))).alias("company_id"))
+    return heads.select("cluster").join(found, "cluster", "left").select("cluster", F.col("best.id").alias("job_id"), F.col("best.kind").alias("matched_by"), "company_id")
+
+
 def canonical_id(ats: Column, url: Column, slug: Column, fingerprint: Column) -> Column:
     """24 hexadecimal digits of the strongest identity there is."""
     named = F.coalesce(F.nullif(ats, F.lit("")), F.nullif(url, F.lit("")), F.concat(slug, F.lit("|"), fingerprint))

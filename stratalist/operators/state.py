@@ -45,12 +45,15 @@ def change_values(names: Column, fields: tuple[str, ...], texts: tuple[str, ...]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.array_contains(names, p["key"])))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], replace: list[str], now: datetime) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], replace: list[str], now: datetime, pairs: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
     """The next snapshot: full outer join on the key. ``fill_only`` columns take a new value only if there is one.
 
+    Each of ``pairs``, such as ("salary_min", "salary_max"), is replaced together where its first column has a new value, and kept together otherwise.
+
     Adds change (names of the fields), changes (their old and new values) and event: discovered, updated, reposted, seen or unseen. Jobs that come back count as reposted.
     """
-    columns = [*fill_only, *replace]
+    together = [c for pair in pairs for c in pair]
+    columns = [*fill_only, *replace, *together]
     o = old.select(F.col(key).alias("o_key"), *[F.col(c).alias(f"o_{c}") for c in columns], "is_active", "first_seen", "last_seen")
     n = new.select(F.col(key).alias("n_key"), *[F.col(c).alias(f"n_{c}") for c in columns])
     both = o.join(n, F.col("o_key") == F.col("n_key"), "full_outer")
@@ -59,6 +62,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], repla
     both = both.withColumn("change", change)
     event = F.when(~known, "discovered").when(~seen, "unseen").when(~F.col("is_active"), "reposted").when(F.size("change") > 0, "updated").otherwise("seen")
     fill = {c: F.coalesce(F.when(F.col(f"n_{c}").cast("string") != "", F.col(f"n_{c}")), F.col(f"o_{c}")) for c in fill_only}
+    fill |= {c: F.when(F.col(f"n_{pair[0]}").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for pair in pairs for c in pair}
     over = {c: F.when(seen, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for c in replace}
     return both.select(
         F.coalesce("n_key", "o_key").alias(key),
