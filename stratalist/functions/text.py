@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .html import strip_html  # noqa: F401  one of the text functions
+
 # Word lists, patterns and weights that decide which titles and companies count as equal.
 COMPANY_SUFFIXES = (
     "incorporated corporation technologies technology holdings solutions systems laboratories labs group limited company corp inc llc ltd plc gmbh co sa ag nv bv pte pvt the "
@@ -218,16 +220,3 @@ def truncate(text: Column, limit: int = 280) -> Column:
 
 def clamp(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
-
-
-def strip_html(text: Column) -> Column:
-    """Readable text of an HTML fragment: blocks become lines, tags go, common entities are decoded."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n* ")
-    t = F.regexp_replace(t, r"(?i)</?(br|p|div|h[1-4]|li|ul|ol|tr|table)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, plain in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#x2F;": "/", "&amp;": "&"}.items():
-        t = F.replace(t, F.lit(entity), F.lit(plain))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n\s*\n+", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import facts, urls
 from ..functions.skills import extract_skills
-from ..functions.text import discriminators, fingerprint, normalize_text, sha256_of, shingles, slugify_company, strip_html, title_core
+from ..functions.html import strip_html
+from ..functions.text import discriminators, fingerprint, normalize_text, sha256_of, shingles, slugify_company, title_core
 
 #: How sources declare where the work is done, and how much of a text pay, terms and the content hash look at.
 DECLARED_REMOTE = {"remote": "remote", "hybrid": "hybrid", "onsite": "onsite", "on-site": "onsite", "on_site": "onsite", "in office": "onsite"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import facts, text, urls
+from ..functions import facts, html, text, urls
 from ..operators import prefilter as pre
 from ..operators import resolve, score
 from ..sources import payloads
@@ -147,10 +147,10 @@ def ats_identity_extract(spark, sf):
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<li\b[^>]*>', chr(10) || '* ', 'gi'), '</?(br|p|div|h[1-4]|li|ul|ol|tr|table)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+c AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') AS t FROM b)
 SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM c""")
 def html_strip(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
+    return table(spark, sf, "pages").select("page_id", F.md5(html.strip_html(F.col("html"))).alias("digest"))
 
 
 def _postings(spark, sf):
@@ -377,7 +377,7 @@ def negative_penalty(spark, sf):
 _KINDS = ["intern", "sales intern", "campus marketing", "truck driver", "student nurse", "engineer", "machinery sales trainee", "co-op"]
 
 
-def _postings(spark, sf):
+def _trades(spark, sf):
     """Jobs with titles of several trades, declared types, stated terms and bodies short and long."""
     j = b.jobs(spark, sf).withColumn("k", F.regexp_extract("company", "[0-9]+", 0).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("k") % len(_KINDS) + 1).cast("int"))
@@ -388,7 +388,7 @@ def _postings(spark, sf):
     )
 
 
-_POSTINGS_SQL = f"""{b.JOBS_SQL}, raw AS (SELECT *, CAST(regexp_extract(company, '[0-9]+') AS INT) AS k FROM jobs),
+_TRADES_SQL = f"""{b.JOBS_SQL}, raw AS (SELECT *, CAST(regexp_extract(company, '[0-9]+') AS INT) AS k FROM jobs),
 postings AS (SELECT job_id, split_part(title, ' ', 1) || ' ' || ({_KINDS!r})[k % {len(_KINDS)} + 1] AS title, k % 7 = 0 AS declared, k % 11 = 0 AS stated,
   description || ' ' || CASE WHEN job_id % 2 = 0 THEN repeat('filler ', 900) ELSE '' END || CASE WHEN k % 5 = 0 THEN 'our co-op' ELSE '' END AS body FROM raw),
 marked AS (SELECT *, regexp_matches(title, '{pre.INTERN_TITLE.replace("(?iU)", "(?i)")}') AS intern_title, regexp_matches(title, '{pre.OFF_DOMAIN.replace("(?iU)", "(?i)")}') AND NOT (contains(title, 'machinery') OR contains(title, 'building')) AS other,
@@ -396,14 +396,14 @@ marked AS (SELECT *, regexp_matches(title, '{pre.INTERN_TITLE.replace("(?iU)", "
 _TERMS = pre.domain_terms(["Machinery Internship"], ["building "])
 
 
-@query(f"WITH {_POSTINGS_SQL}, i AS (SELECT *, intern_title OR declared OR stated OR intern_body AS intern FROM marked) SELECT count(*) FILTER (NOT intern) AS not_internship, count(*) FILTER (intern AND other) AS off_domain, count(*) FILTER (intern AND NOT other) AS kept FROM i")
+@query(f"WITH {_TRADES_SQL}, i AS (SELECT *, intern_title OR declared OR stated OR intern_body AS intern FROM marked) SELECT count(*) FILTER (NOT intern) AS not_internship, count(*) FILTER (intern AND other) AS off_domain, count(*) FILTER (intern AND NOT other) AS kept FROM i")
 def prefilter_counts(spark, sf):
-    return pre.prefilter(_postings(spark, sf), _TERMS)[1]
+    return pre.prefilter(_trades(spark, sf), _TERMS)[1]
 
 
-@query(f"WITH {_POSTINGS_SQL} SELECT job_id, title FROM marked WHERE intern_title AND NOT other")
+@query(f"WITH {_TRADES_SQL} SELECT job_id, title FROM marked WHERE intern_title AND NOT other")
 def title_gate(spark, sf):
-    return _postings(spark, sf).where(pre.title_gate(F.col("title"), _TERMS)).select("job_id", "title")
+    return _trades(spark, sf).where(pre.title_gate(F.col("title"), _TERMS)).select("job_id", "title")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS source_job_id, event_type AS title, 'https://x.example/' || CAST(event_id AS VARCHAR) AS url, ts - INTERVAL (microsecond(ts) % 1000) MICROSECOND AS date_posted FROM events")

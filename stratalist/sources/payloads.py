@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_html
+from ..functions.html import strip_html
 
 # The fields read from each board's payload.
 SCHEMAS = {
