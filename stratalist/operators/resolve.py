@@ -88,20 +88,40 @@ def resolve(rows: DataFrame, node: str, *, similar: bool = True, adjudicator: Ca
     return clusters(rows, node, reduce(DataFrame.unionByName, edges))
 
 
+# The fields of a folded record by rule. The first in order of authority that says something speaks for the cluster.
+FIRST_FILLED = "description requirements responsibilities preferred_qualifications salary_raw location_raw city state country requisition_id ats_identity company_url salary_currency salary_period".split()
+FIRST_KNOWN = "sponsorship employment_type remote_status".split()
+UNITED = "skills terms locations degrees".split()
+OF_LEADER = "source source_kind title company company_slug fingerprint content_hash".split()
+
+
 def fold(members: DataFrame, cluster: str, rank: str) -> DataFrame:
-    """One record for each cluster by the rules of each field: the first that says something, explicit dates before others, pay as a pair."""
-    order, of = F.col(rank), F.col
+    """One record for each cluster by the rules of each field, as far as ``members`` has it: the first that says something, explicit dates before
+    others, pay as a pair, a visa rule with its evidence, and ordered unions of lists."""
+    order, of, own = F.col(rank), F.col, set(members.columns)
     said = lambda c, none: F.min_by(c, F.when(of(c).isNotNull() & (of(c) != none), order)).alias(c)
-    pay = F.min_by(F.struct("salary_min", "salary_max"), F.when(of("salary_min").isNotNull(), order))
     union = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("r"), of(c).alias("x")))), lambda s: s["x"]))).alias(c)
-    explicit = F.min_by("deadline", F.when(of("deadline_is_explicit"), order))
-    return members.groupBy(cluster).agg(
-        F.count("*").alias("members"), *[said(c, "") for c in ("description", "requirements", "location_raw", "city", "state", "country", "requisition_id", "ats_identity", "company_url")],
-        pay.getField("salary_min").alias("salary_min"), pay.getField("salary_max").alias("salary_max"), F.min("date_posted").alias("date_posted"),
-        F.coalesce(explicit, F.min_by("deadline", order)).alias("deadline"), *[said(c, "unknown") for c in ("sponsorship", "employment_type", "remote_status")],
-        F.min_by("years", F.when(of("years").isNotNull(), order)).alias("years"), *[union(c) for c in ("skills", "terms", "locations", "degrees")],
-        *[F.min_by(c, order).alias(c) for c in ("source", "title", "company", "company_slug", "fingerprint", "content_hash")],
-    )
+    out = [F.count("*").alias("members"), *[said(c, "") for c in FIRST_FILLED if c in own], *[said(c, "unknown") for c in FIRST_KNOWN if c in own], *[union(c) for c in UNITED if c in own], *[F.min_by(c, order).alias(c) for c in OF_LEADER if c in own]]
+    if "salary_min" in own:
+        pay = F.min_by(F.struct("salary_min", "salary_max"), F.when(of("salary_min").isNotNull(), order))
+        out += [pay.getField("salary_min").alias("salary_min"), pay.getField("salary_max").alias("salary_max")]
+    if "sponsorship_evidence" in own:
+        out.append(F.min_by("sponsorship_evidence", F.when(of("sponsorship").isNotNull() & (of("sponsorship") != "unknown"), order)).alias("sponsorship_evidence"))
+    if "deadline" in own:
+        explicit = F.min_by("deadline", F.when(of("deadline_is_explicit"), order))
+        out += [F.coalesce(explicit, F.min_by("deadline", order)).alias("deadline"), F.coalesce(F.bool_or("deadline_is_explicit"), F.lit(False)).alias("deadline_is_explicit")]
+    out += [F.min(c).alias(c) for c in ("date_posted",) if c in own] + [F.max(c).alias(c) for c in ("date_updated",) if c in own]
+    out += [F.min_by(c, F.when(of(c).isNotNull(), order)).alias(c) for c in ("years",) if c in own]
+    return members.groupBy(cluster).agg(*out)
+
+
+def with_urls(members: DataFrame, cluster: str, rank: str, classify: Callable[[Column], Column]) -> DataFrame:
+    """cluster, application_url, host_class and posting_url. members: source_kind, apply_url and url."""
+    at = lambda c, apply: F.struct(F.col(c).alias("url"), F.lit(apply).alias("is_apply"))
+    each = members.select(cluster, F.col("source_kind").alias("kind"), F.col(rank).alias("rank"), F.explode(F.array(at("apply_url", True), at("url", False))).alias("u")).select(cluster, "kind", "rank", "u.*")
+    best = elect_url(each.withColumn("host_class", classify(F.col("url"))), cluster)
+    posting = members.groupBy(cluster).agg(F.min_by("url", F.when(F.coalesce("url", F.lit("")) != "", F.col(rank))).alias("posting_url"))
+    return posting.join(best.select(cluster, F.col("url").alias("application_url"), "host_class"), cluster, "left")
 
 
 def pair_score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
