@@ -44,7 +44,8 @@ from .shared import materialize, table
 WORDS = re.compile(r"\s*\S+|\s+").findall
 RARE_SPACE = re.compile(r"[^\S \n\t]").search
 #: Words that the ranked encoder takes: short ones of Latin letters, on which all versions of Unicode agree.
-PLAIN = re.compile(r"[\x00-ɏ]{1,64}").fullmatch
+PLAIN_CHARS = 64
+PLAIN = re.compile(rf"[\x00-ɏ]{{1,{PLAIN_CHARS}}}").fullmatch
 #: Words and characters of words that a worker remembers, characters of texts at a time, and pairs that a task holds.
 WORD_ENTRIES, WORD_CHARS, TEXT_CHARS, PAIRS_HELD = 400_000, 16_000_000, 4_000_000, 4_000_000
 #: A pair of ids in one number.
@@ -105,7 +106,6 @@ class Tokens:
         # The ranked encoder merges by id, so ids must follow the merges.
         self.ranked = tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
-        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
         self.bytes_b, spaced = {}, re.compile(r"\S[ \n\t]")
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -117,11 +117,13 @@ class Tokens:
             if not (self.b.is_control(i) or self.b.is_unknown(i)) and (spaced.search(plain) or "\n" in plain):
                 raise ValueError(f"piece {piece!r} goes on after white space, so texts cannot be cut there")
 
-        self.size_b = {i: len(x) for i, x in self.bytes_b.items()}
-        self.name = [str(i) for i in range(max(*self.bytes_a, *self.bytes_b) + 1)]
+        self.bytes_a, self.bytes_b = ([of.get(i, b"") for i in range(max(of) + 1)] for of in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = ([len(x) for x in of] for of in (self.bytes_a, self.bytes_b))
+        self.name = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a: list = [self.ranked.encode_ordinary(w) if PLAIN(w) else None for w in words]
+        ranked = self.ranked.encode_ordinary
+        a: list = [ranked(w) if (len(w) <= PLAIN_CHARS and w.isascii()) or PLAIN(w) else None for w in words]
         rest = [i for i, ids in enumerate(a) if ids is None]
         for i, found in zip(rest, self.a.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
             a[i] = found.ids
@@ -131,32 +133,35 @@ class Tokens:
         return a, [ids if x else ids[2:] for ids, x in zip(b, led, strict=True)]
 
 
-def align_word(word: str, a: list[int], b: list[int], tokens: Tokens) -> tuple[tuple[int, int, int, int], str, list[int]] | None:
-    """(tokens of a, of b, groups, links), the groups as text, and the linked pairs; None if the tokens don't give back the word."""
+def align_word(word: str, a: list[int], b: list[int], tokens: Tokens, spell: bool = True) -> tuple[tuple[int, int, int, int], str, list[int]] | None:
+    """(tokens of a, of b, groups, links), the groups as text (if ``spell``), and the linked pairs; None if the tokens don't give back the word."""
     raw, bytes_a, bytes_b, name = word.encode(), tokens.bytes_a, tokens.bytes_b, tokens.name
     if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
         return None
     if len(a) == 1 or len(b) == 1:  # one group, in which all meet
         pairs = [x << SHIFT | y for x in a for y in b]
-        return (len(a), len(b), 1, len(pairs)), f"{','.join([name[i] for i in a])}|{','.join([name[i] for i in b])}", pairs
+        return (len(a), len(b), 1, len(pairs)), f"{','.join([name[i] for i in a])}|{','.join([name[i] for i in b])}" if spell else "", pairs
     ends_a, ends_b = list(accumulate([tokens.size_a[i] for i in a])), list(accumulate([tokens.size_b[i] for i in b]))
-    groups, pairs, i0, j0 = [], [], 0, 0
+    groups, pairs, i0, j0, n = [], [], 0, 0, 0
     for i, j in common_ends(ends_a, ends_b):
+        n += 1
         if i == i0 and j == j0:
-            groups.append(name[a[i]] + "|" + name[b[j]])
+            if spell:
+                groups.append(name[a[i]] + "|" + name[b[j]])
             pairs.append(a[i] << SHIFT | b[j])
         else:
-            groups.append(",".join([name[x] for x in a[i0 : i + 1]]) + "|" + ",".join([name[x] for x in b[j0 : j + 1]]))
+            if spell:
+                groups.append(",".join([name[x] for x in a[i0 : i + 1]]) + "|" + ",".join([name[x] for x in b[j0 : j + 1]]))
             pairs += [a[x] << SHIFT | b[y] for x, y in overlaps(ends_a, ends_b, (i0, j0), (i, j))]
         i0, j0 = i + 1, j + 1
-    return (len(a), len(b), len(groups), len(pairs)), ";".join(groups), pairs
+    return (len(a), len(b), n, len(pairs)), ";".join(groups), pairs
 
 
 class Aligner:
     """Texts to words, and each word's alignment, remembered within bounds."""
 
-    def __init__(self, files: Files) -> None:
-        self.tokens = Tokens(files)
+    def __init__(self, tokens: Tokens, spell: bool = True) -> None:
+        self.tokens, self.spell = tokens, spell
         self.reset()
 
     def reset(self) -> None:
@@ -197,7 +202,7 @@ class Aligner:
         if new:
             gc.disable()  # many small lists and no cycles
             try:
-                found = [align_word(w, a, b, self.tokens) for w, a, b in zip(new, *self.tokens.encode(new), strict=True)]
+                found = [align_word(w, a, b, self.tokens, self.spell) for w, a, b in zip(new, *self.tokens.encode(new), strict=True)]
             finally:
                 gc.enable()
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
@@ -247,11 +252,12 @@ class Slice:
 _ALIGNERS: dict[str, Aligner] = {}
 
 
-def _aligner(files: Files) -> Aligner:
-    """One for each worker, reused by its next tasks."""
-    if files.key not in _ALIGNERS:
-        _ALIGNERS[files.key] = Aligner(files)
-    return _ALIGNERS[files.key]
+def _aligner(files: Files, spell: bool) -> Aligner:
+    """One for each worker, reused by its next tasks; words without their groups' text serve only tasks that need none."""
+    found = _ALIGNERS.get(files.key)
+    if found is None or found.spell != spell:
+        _ALIGNERS[files.key] = found = Aligner(found.tokens if found else Tokens(files), spell)
+    return found
 
 
 def _some(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -275,7 +281,7 @@ def pair_counts(docs: DataFrame, files: Broadcast) -> DataFrame:
     """(pair, n, best) of all pairs of ids that are linked anywhere; ``pair`` is a << SHIFT | b. docs: text, not null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files.value)
+        aligner = _aligner(files.value, spell=False)
         seen, keys, counts, held = np.zeros(0, dtype=np.int64), [], [], 0
 
         def drain() -> None:
@@ -341,7 +347,7 @@ def _valued(rows: DataFrame, files: Broadcast, slice_: Broadcast, *, last: bool,
     group = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files.value)
+        aligner = _aligner(files.value, spell=last)
         for b in batches:
             for part, texts in _some(b):
                 if aligner.full:

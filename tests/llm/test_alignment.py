@@ -98,7 +98,7 @@ def test_all_documents_and_made_texts_equal_whole_texts(spark, libraries):
 
 def test_bounds_of_what_a_worker_remembers_change_nothing(libraries, monkeypatch):
     with open(A, "rb") as f, open(B, "rb") as g:
-        aligner = al.Aligner(al.Files(f.read(), g.read(), "k"))
+        aligner = al.Aligner(al.Tokens(al.Files(f.read(), g.read(), "k")))
     monkeypatch.setattr(al, "WORD_ENTRIES", 10)
     for t in filter(None, made(60, 8)):
         if aligner.full:
