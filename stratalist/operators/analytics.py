@@ -88,7 +88,9 @@ def preferred_coverage(jobs: DataFrame, preferred: DataFrame) -> DataFrame:
     counts = counts.groupBy(slugify_company(F.col("company")).alias("slug")).agg(F.sum("jobs").alias("jobs"), F.sum("internships").alias("internships"))
     out = preferred.withColumn("slug", slugify_company(F.col("name"))).join(counts, "slug", "left")
     state = F.when(F.col("internships") > 0, "ok").when(F.col("jobs") > 0, "no_internships").otherwise("missing")
-    return out.select("name", "slug", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("internships", F.lit(0)).alias("internships"), state.alias("state"))
+    out = out.select("name", "slug", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("internships", F.lit(0)).alias("internships"), state.alias("state"))
+    # What needs action first.
+    return out.orderBy(F.array_position(F.array(*map(F.lit, ("missing", "no_internships", "ok"))), F.col("state")), F.lower("name"))
 
 
 def top_by_status(rows: DataFrame, statuses: list[str], top: int = 80) -> DataFrame:
@@ -118,7 +120,7 @@ def outcome_insights(applications: DataFrame) -> DataFrame:
     by = by.withColumns({"total": F.sum("applications").over(all_of_it), "best": F.max(comparable).over(all_of_it), "worst": F.min(comparable).over(all_of_it)})
     enough = F.col("total") >= MIN_APPLICATIONS
     stands_out = enough & (comparable == F.col("best")) & (F.col("best") > F.col("worst") * BETTER) & (F.col("interviews") > 0)
-    return by.select("category", "applications", "interviews", "offers", "rejections", "interview_rate", enough.alias("enough_data"), F.coalesce(stands_out, F.lit(False)).alias("stands_out"))
+    return by.select("category", "applications", "interviews", "offers", "rejections", "interview_rate", enough.alias("enough_data"), F.coalesce(stands_out, F.lit(False)).alias("stands_out")).orderBy(F.desc("interview_rate"), F.desc("applications"), "category")
 
 
 def first_seen(rows: DataFrame, key: str, order: str, keep: list[str]) -> DataFrame:

@@ -68,6 +68,32 @@ def normalize_listings(raw: DataFrame, reference: Column) -> DataFrame:
     )
 
 
+#: Facts that a stored job keeps under its own name, and those that it names otherwise.
+STORED_AS = {
+    "company": "company_name", "url": "posting_url", "apply_url": "application_url", "date_updated": "date_updated_source", "degrees": "degree_requirements", "years": "experience_required_years", "preferred": "preferred_qualifications",
+}
+SAME_NAME = (
+    "ats_identity title location_raw city state country description requirements responsibilities salary_min salary_max salary_currency salary_period salary_raw date_posted deadline requisition_id sponsorship_evidence"
+).split()
+
+
+def scoreable(jobs: DataFrame) -> DataFrame:
+    """Stored jobs as listings that can be scored again, without what only deduplication needs: unknown kinds are ``unknown``, missing lists empty, and
+    slug and discriminators are made anew from company, title and requirements (else description). Facts that ``jobs`` has no column for are left out."""
+    own = set(jobs.columns)
+    said = lambda c: F.col(c) if c in own else F.lit(None)
+    body = F.coalesce(F.nullif(said("requirements").cast("string"), F.lit("")), said("description").cast("string"), F.lit(""))
+    known = lambda c: F.coalesce(F.nullif(said(c).cast("string"), F.lit("")), F.lit("unknown")).alias(c)
+    lists = {"locations": "locations", "terms": "terms", "skills": "skills"}
+    return jobs.select(
+        F.lit("stored").alias("source"), F.lit("unknown").alias("source_kind"), F.col("job_id").cast("string").alias("source_job_id"), slugify_company(F.col(STORED_AS["company"])).alias("company_slug"),
+        F.coalesce(F.nullif(said("title_core").cast("string"), F.lit("")), F.col("title")).alias("title_core"), discriminators(normalize_text(F.concat_ws(" ", F.col("title"), body))).alias("discriminators"),
+        *[F.coalesce(said(c).cast("string"), F.lit("")).alias(c) for c in ("fingerprint", "content_hash")], *[known(c) for c in ("remote_status", "employment_type", "sponsorship")],
+        *[F.coalesce(said(c).cast("array<string>"), F.array().cast("array<string>")).alias(n) for n, c in lists.items()], F.coalesce(said("deadline_is_explicit").cast("boolean"), F.lit(False)).alias("deadline_is_explicit"),
+        *[F.col(c) for c in SAME_NAME if c in own], *[F.col(c).alias(n) for n, c in STORED_AS.items() if c in own],
+    )
+
+
 def normalize_counts(raw: DataFrame) -> DataFrame:
     """How many rows become listings, and how many are dropped for want of a company or a title."""
     return _filled(raw).agg(F.count_if(_usable()).alias("normalized"), F.count_if(~_usable()).alias("dropped"))

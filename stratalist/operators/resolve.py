@@ -115,6 +115,11 @@ def fold(members: DataFrame, cluster: str, rank: str) -> DataFrame:
     return members.groupBy(cluster).agg(*out)
 
 
+def cluster_order() -> list[Column]:
+    """Folded clusters: the largest first, then by company and title; last by their id, so the order is one."""
+    return [F.desc("members"), F.asc("company_slug"), F.asc("title_core"), F.asc("cluster_id")]
+
+
 def with_urls(members: DataFrame, cluster: str, rank: str, classify: Callable[[Column], Column]) -> DataFrame:
     """cluster, application_url, host_class and posting_url. members: source_kind, apply_url and url."""
     at = lambda c, apply: F.struct(F.col(c).alias("url"), F.lit(apply).alias("is_apply"))

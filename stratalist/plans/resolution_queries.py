@@ -120,6 +120,13 @@ def merge_records(spark, sf):
     return provenance.trace(rows, "node", *provenance.evidence(rows, "node", similar=False))[1].select("left", "right", "stage", "confidence", "verdict", "reason")
 
 
+@query(f"WITH {b.JOBS_SQL} SELECT CAST(job_id AS VARCHAR) AS source_job_id, lower(company) AS company_slug, title AS title_core, CASE WHEN contains(title, 'intern') THEN 'intern' ELSE '' END AS discriminators, employment_type, remote_status, deadline_is_explicit FROM jobs")
+def scoreable_rows(spark, sf):
+    """Stored jobs as rows that can be scored again."""
+    rows = normalize.scoreable(b.jobs(spark, sf).withColumnRenamed("company", "company_name"))
+    return rows.select("source_job_id", "company_slug", "title_core", F.array_join("discriminators", ",").alias("discriminators"), "employment_type", "remote_status", "deadline_is_explicit")
+
+
 #: What the listings of a customer differ in, by key.
 _KINDS = ["company_careers", "ats", "job_board", "aggregator", "curated_list", "unknown"]
 _TAGS = [["summer"], ["fall", "design"], ["design"], ["verification", "design"], [], []]
