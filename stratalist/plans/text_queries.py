@@ -79,7 +79,27 @@ def discriminators(spark, sf):
 ROLES = [("Hardware Design Engineer Intern", 1.0), ("Widget Engineer", 1.5), ("Bolt Development", 0.5)]
 
 
-@query()
+def _map_sql(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+def _role_sql(role: str) -> str:
+    """The affinity of ``tokens`` to a role: the weighted share of its words that are there, and how few others there are."""
+    own = text.role_words(role)
+    anchors = [w for w in own if w not in text.GENERIC_ROLE_WORDS] or own
+    weight = {w: text.GENERIC_WEIGHT if w in text.GENERIC_ROLE_WORDS else 1.0 for w in own}
+    got = " + ".join(f"CASE WHEN list_contains(tokens, '{w}') THEN {x} ELSE 0 END" for w, x in weight.items())
+    off = f"len(tokens) = 0 OR list_has_any(tokens, {text.FOREIGN_DISCIPLINES!r}) OR NOT list_has_any(tokens, {anchors!r})"
+    return f"CASE WHEN {off} THEN 0.0 ELSE ({got}) / {sum(weight.values())} * (0.75 + 0.25 * len(list_intersect(tokens, {own!r})) / len(tokens)) END"
+
+
+_ROLES_SQL = f"""WITH w AS (SELECT p_partkey, [x FOR x IN string_split({_core_sql(PART_TITLE)}, ' ') IF length(x) > 1] AS words FROM part),
+s AS (SELECT p_partkey, [coalesce({_map_sql(text.ROLE_STEMS)}[x], x) FOR x IN words] AS stems FROM w),
+t AS (SELECT p_partkey, list_distinct([coalesce({_map_sql(text.ROLE_SYNONYMS)}[x], x) FOR x IN stems IF NOT list_contains({text.ROLE_STOPWORDS!r}, x)]) AS tokens FROM s)
+SELECT p_partkey, {", ".join(f"round({_role_sql(r)}, 6) AS role_{i}" for i, (r, _) in enumerate(ROLES))} FROM t"""
+
+
+@query(_ROLES_SQL)
 def role_affinity(spark, sf):
     """Every title against every role of the preferences."""
     t = _part_titles(spark, sf).withColumn("tokens", text.role_tokens(text.title_core(F.col("title"))))
