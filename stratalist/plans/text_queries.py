@@ -292,13 +292,14 @@ def dedup_similarity_all(spark, sf):
     return resolve.similar_sets(_openings(spark, sf), "doc_id", "t").withColumn("score", F.round("score", 6))
 
 
-@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS c, left(text, 60) AS o FROM documents), h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS hc, min(doc_id) OVER (PARTITION BY o) AS ho FROM k),
+@query(r"""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS c, md5(array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '))), ' ')) AS o FROM documents), h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS hc, min(doc_id) OVER (PARTITION BY o) AS ho FROM k),
 s AS (SELECT doc_id AS x, hc AS y FROM h UNION SELECT doc_id, ho FROM h), e AS (SELECT x, y FROM s WHERE x <> y UNION SELECT y, x FROM s WHERE x <> y),
 r AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, e.y FROM r JOIN e ON r.m = e.x) SELECT n AS doc_id, min(m) AS cluster_id FROM r GROUP BY 1""")
 def dedup_components(spark, sf):
-    """Two kinds of evidence, one partition: equal texts and equal openings."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.substring("text", 1, 60).alias("opening"))
-    edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97).unionByName(resolve.star_edges(d, "opening", "doc_id", "fingerprint", 0.95))
+    """Two kinds of evidence over whole texts, one partition: equal texts, and texts of the same words in whatever order and number."""
+    words = F.array_sort(F.array_distinct(F.split(text.normalize_ascii(F.col("text")), " ")))
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"), F.md5(F.array_join(words, " ")).alias("words"))
+    edges = resolve.star_edges(d, "content", "doc_id", "content_hash", 0.97).unionByName(resolve.star_edges(d, "words", "doc_id", "fingerprint", 0.95))
     return resolve.clusters(d, "doc_id", edges.select("left", "right"))
 
 
@@ -306,11 +307,10 @@ def dedup_components(spark, sf):
 SELECT min(doc_id) AS cluster_id, count(*) AS members, arg_min(quality, rk) FILTER (quality IS NOT NULL) AS quality, arg_min(source, rk) AS source, max(doc_id) AS last_doc FROM k GROUP BY c""")
 def dedup_survivorship(spark, sf):
     """Copies folded into one row: the first known label and the leading member's source."""
-    from pyspark.sql import Window
-
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("c", F.md5("text"))
-    d = d.withColumns({"cluster_id": F.min("doc_id").over(Window.partitionBy("c")), "rank": F.row_number().over(Window.partitionBy("c").orderBy("source", "doc_id")), "last_doc": F.col("doc_id")})
-    return resolve.survivors(d.select("cluster_id", "rank", "quality", "source", "last_doc"), "cluster_id", "rank", first=["quality"], lists=[], latest=["last_doc"], leader=["source"])
+    # The order itself is the rank, so each task folds its own members before they are shuffled: no window over a group of copies.
+    d = d.select("c", F.struct("source", "doc_id").alias("rank"), "quality", "source", F.col("doc_id").alias("cluster_id"), F.col("doc_id").alias("last_doc"))
+    return resolve.survivors(d, "c", "rank", first=["quality"], lists=[], earliest=["cluster_id"], latest=["last_doc"], leader=["source"]).drop("c")
 
 
 @query(rf"""WITH p AS (SELECT page_id, url, {HOST} AS host, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang FROM pages)
