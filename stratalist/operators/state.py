@@ -45,10 +45,10 @@ def change_values(names: Column, fields: tuple[str, ...], texts: tuple[str, ...]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.array_contains(names, p["key"])))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], replace: list[str], now: datetime, pairs: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], replace: list[str], now: datetime, pairs: tuple[tuple[str, ...], ...] = (), material: tuple[str, ...] | None = None) -> DataFrame:
     """The next snapshot: full outer join on the key. ``fill_only`` columns take a new value only if there is one.
 
-    Each of ``pairs``, such as ("salary_min", "salary_max"), is replaced together where its first column has a new value, and kept together otherwise.
+    material: the fields whose change is news; all if none are named. Each of ``pairs``, such as ("salary_min", "salary_max"), is replaced together where its first column has a new value, and kept together otherwise.
 
     Adds change (names of the fields), changes (their old and new values) and event: discovered, updated, reposted, seen or unseen. Jobs that come back count as reposted.
     """
@@ -58,7 +58,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], repla
     n = new.select(F.col(key).alias("n_key"), *[F.col(c).alias(f"n_{c}") for c in columns])
     both = o.join(n, F.col("o_key") == F.col("n_key"), "full_outer")
     known, seen = F.col("o_key").isNotNull(), F.col("n_key").isNotNull()
-    change = F.when(known & seen, material_changes(tuple(columns))).otherwise(F.array().cast("array<string>"))
+    change = F.when(known & seen, material_changes(tuple(columns if material is None else [c for c in material if c in columns]))).otherwise(F.array().cast("array<string>"))
     both = both.withColumn("change", change)
     event = F.when(~known, "discovered").when(~seen, "unseen").when(~F.col("is_active"), "reposted").when(F.size("change") > 0, "updated").otherwise("seen")
     fill = {c: F.coalesce(F.when(F.col(f"n_{c}").cast("string") != "", F.col(f"n_{c}")), F.col(f"o_{c}")) for c in fill_only}
@@ -72,7 +72,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: list[str], repla
         F.coalesce("first_seen", ntz(now)).alias("first_seen"),
         F.when(seen, ntz(now)).otherwise(F.col("last_seen")).alias("last_seen"),
         "change",
-        F.when(F.size("change") > 0, change_values(F.col("change"), tuple(columns))).alias("changes"),
+        F.when(F.size("change") > 0, change_values(F.col("change"), tuple(columns if material is None else [c for c in material if c in columns]))).alias("changes"),
         event.alias("event"),
     )
 
