@@ -42,7 +42,8 @@ from .bpe import BYTE_LEVEL_PATTERN, byte_letters, tokenizer_path
 from .shared import materialize, table
 
 WORDS = re.compile(r"\s*\S+|\s+").findall
-RARE_SPACE = re.compile(r"[^\S \n\t]").search
+#: White space of other kinds than space, newline and tab: a text with any is one word.
+RARE_SPACE = [chr(c) for c in (*range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Words that the ranked encoder takes: short ones of Latin letters, on which all versions of Unicode agree.
 PLAIN_CHARS = 64
 PLAIN = re.compile(rf"[\x00-ɏ]{{1,{PLAIN_CHARS}}}").fullmatch
@@ -52,6 +53,37 @@ WORD_ENTRIES, WORD_CHARS, TEXT_CHARS, PAIRS_HELD = 400_000, 16_000_000, 4_000_00
 SHIFT = 31
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each with the white space before it; one space before it is left out, so such a word starts with something else."""
+    if not text:
+        return []
+    if any(c in text for c in RARE_SPACE):
+        found = [" " + text]
+    elif "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or text[0] in " \n" or text[-1] in " \n":
+        found = WORDS(" " + text)
+    else:  # one space or newline between all words
+        return text.replace("\n", " \n").split(" ")
+    return [w[1:] if w[0] == " " and len(w) > 1 and not w[1].isspace() else w for w in found]
+
+
+def spelled(word: str) -> str:
+    """A word of ``words_of`` with all white space before it."""
+    return word if word[0].isspace() else " " + word
+
+
+class _Numbers(dict):
+    """Words to numbers; a word that is asked for first gets the next number and is noted as new."""
+
+    def __init__(self, known: dict[str, int] | None = None) -> None:
+        super().__init__(known or {})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """(i, j) with a[i] = b[j], both ascending. The shorter list drives."""
     swapped = len(a) > len(b)
@@ -135,8 +167,9 @@ class Tokens:
 
 def align_word(word: str, a: list[int], b: list[int], tokens: Tokens, spell: bool = True) -> tuple[tuple[int, int, int, int], str, list[int]] | None:
     """(tokens of a, of b, groups, links), the groups as text (if ``spell``), and the linked pairs; None if the tokens don't give back the word."""
-    raw, bytes_a, bytes_b, name = word.encode(), tokens.bytes_a, tokens.bytes_b, tokens.name
-    if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
+    raw, bytes_b, name = word.encode(), tokens.bytes_b, tokens.name
+    # Byte-level tokens give back their text always; that their lengths add up is enough to see that nothing was normalised away.
+    if b"".join([bytes_b[i] for i in b]) != raw or sum([tokens.size_a[i] for i in a]) != len(raw):
         return None
     if len(a) == 1 or len(b) == 1:  # one group, in which all meet
         pairs = [x << SHIFT | y for x in a for y in b]
@@ -165,7 +198,7 @@ class Aligner:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.chars, self.groups = 0, []
         self.fine = np.zeros(0, dtype=bool)
         self.sizes = np.zeros((0, 4), dtype=np.int64)
@@ -181,7 +214,7 @@ class Aligner:
         at = np.flatnonzero(kept)
         words = list(self.index)
         sizes = self.sizes[:, 3]
-        self.index = {words[k]: i for i, k in enumerate(at.tolist())}
+        self.index = _Numbers({words[k]: i for i, k in enumerate(at.tolist())})
         self.chars = sum(map(len, self.index))
         self.groups = [self.groups[k] for k in at.tolist()]
         self.pairs = self.pairs[np.repeat(kept, sizes)]
@@ -197,22 +230,21 @@ class Aligner:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of all texts, one after the other, and how many words each has."""
-        words = [[x] if RARE_SPACE(x) else WORDS(x) for x in (" " + t if t else "" for t in texts)]
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.index]
-        if new:
+        words = [words_of(t) for t in texts]
+        counts = np.array([len(w) for w in words])
+        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=counts.sum())
+        if self.index.new:
+            new, self.index.new = [spelled(w) for w in self.index.new], []
             gc.disable()  # many small lists and no cycles
             try:
                 found = [align_word(w, a, b, self.tokens, self.spell) for w, a, b in zip(new, *self.tokens.encode(new), strict=True)]
             finally:
                 gc.enable()
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.chars += sum(map(len, new))
             self.groups += ["" if f is None else f[1] for f in found]
             self.fine = np.concatenate([self.fine, [f is not None for f in found]])
             self.sizes = np.concatenate([self.sizes, np.array([(0, 0, 0, 0) if f is None else f[0] for f in found], dtype=np.int64)])
             self.pairs = np.concatenate([self.pairs, np.fromiter(chain.from_iterable(f[2] for f in found if f is not None), dtype=np.int64)])
-        counts = np.array([len(w) for w in words])
-        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=counts.sum())
         uses = np.bincount(numbers, minlength=len(self.groups))
         uses[: len(self.uses)] += self.uses
         self.uses = uses

@@ -111,6 +111,14 @@ def test_bounds_of_what_a_worker_remembers_change_nothing(libraries, monkeypatch
             assert ";".join(aligner.groups[k] for k in words) == w[3]
 
 
+def test_words_give_back_their_text():
+    for t in [*filter(None, made(3_000, 4)), "a\nb c", "a\n\nb", " a", "a ", "\na", "a\n", "\x1ca b", " ", "\n", "a \nb", "a\n b", "a\tb c"]:
+        words = al.words_of(t)
+        assert "".join(map(al.spelled, words)) == " " + t
+        cuts = {sum(len(al.spelled(w)) for w in words[:i]) for i in range(1, len(words))}
+        assert all(not (" " + t)[c - 1].isspace() and (" " + t)[c] in " \n\t" for c in cuts)
+
+
 def test_full_output(spark):
     docs = spark.createDataFrame([(1, "naïve tokenizers 漢字"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in al.align(docs, A, B, full=True).collect()}
