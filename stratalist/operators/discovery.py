@@ -68,11 +68,15 @@ def rank_resumes(jobs: DataFrame, resumes: list[tuple[str, list[str], str]]) ->
 
 
 def source_health(health: DataFrame, run: DataFrame) -> DataFrame:
-    """Per source (source, runs, avg_new, failures) after a run (source, ok, partial, new): status, failures in a row, rolling mean."""
+    """Per source (source, runs, avg_new, failures) after a run (source, ok, partial, new; configured if some were not): status, failures in a row, rolling mean.
+
+    A source that was not configured did not run, so neither its failures nor its mean move.
+    """
+    unset = ~F.coalesce("configured", F.lit(True)) if "configured" in run.columns else F.lit(False)
     both = health.join(run, "source", "left")
-    ran = F.col("ok").isNotNull()
+    ran = F.col("ok").isNotNull() & ~unset
     runs = F.col("runs") + ran.cast("int")
     mean = F.when(ran, F.round((F.col("avg_new") * (runs - 1) + F.col("new")) / runs, 2)).otherwise(F.col("avg_new"))
     failures = F.when(~ran, F.col("failures")).when(F.col("ok"), 0).otherwise(F.col("failures") + 1)
-    status = F.when(~ran, "idle").when(~F.col("ok"), "failed").when(F.col("partial"), "degraded").otherwise("ok")
+    status = F.when(unset, "unconfigured").when(~ran, "idle").when(~F.col("ok"), "failed").when(F.col("partial"), "degraded").otherwise("ok")
     return both.select("source", runs.alias("runs"), mean.alias("avg_new"), failures.alias("failures"), status.alias("status"))

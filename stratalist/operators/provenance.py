@@ -137,3 +137,11 @@ def adjudicate(links: DataFrame, doubts: DataFrame, ask: Callable[[DataFrame], D
         answered.append(own.where(~joins).select(*EDGE, "verdict", F.when(F.col("said").isNull(), "adjudicator error").otherwise(F.col("reason")).alias("reason")))
         pending = materialize(pending.join(said.select("rank"), "rank", "left_anti"), "pending")
     return links, reduce(DataFrame.unionByName, [rest, *answered, pending])
+
+
+def resolve_with_records(rows: DataFrame, node: str, *, similar: bool = True, ask: Callable[[DataFrame], DataFrame] | None = None, budget: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, cluster_id), (node, method, confidence) and the records of all stages, with an adjudicator for uncertain pairs if ``ask`` is given."""
+    links, doubts = evidence(rows, node, similar=similar)
+    if ask is not None:
+        links, doubts = adjudicate(links, doubts, ask, budget)
+    return resolve.clusters(rows, node, links.select("left", "right")), *trace(rows, node, links, doubts)

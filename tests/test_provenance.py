@@ -127,3 +127,30 @@ def test_no_evidence(spark):
     links, doubts = frames(spark, [])
     methods, records = pv.trace(spark.range(2).select(F.col("id").alias("n")), "n", links, doubts)
     assert sorted(tuple(r) for r in methods.collect()) == [(0, "primary", 1.0), (1, "primary", 1.0)] and records.count() == 0
+
+
+def test_listings_with_an_adjudicator(spark):
+    from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+
+    place = StructType([StructField(c, StringType()) for c in ("city", "state", "country", "metro")] + [StructField("remote", BooleanType()), StructField("key", StringType())])
+    texts, lists = ["source", "source_key", "canonical_url", "ats_identity", "company_slug", "fingerprint", "content_hash", "requisition_id", "employment_type", "location_key"], ["discriminators", "title_tokens", "shingles"]
+    schema = StructType([StructField("node", LongType()), *[StructField(c, StringType()) for c in texts], *[StructField(c, ArrayType(StringType())) for c in lists], StructField("location", place), StructField("date_posted", TimestampNTZType()), StructField("salary_min", DoubleType())])
+
+    def listing(i, source, title, grams, **more):
+        base = dict.fromkeys(texts, "") | {"node": i, "source": source, "source_key": f"{source}/{i}", "company_slug": "acme", "employment_type": "unknown", "discriminators": [], "title_tokens": title.split(), "shingles": [f"g{g}" for g in grams], "location": (None, None, None, None, False, ""), "date_posted": None, "salary_min": None}
+        return tuple((base | more)[f.name] for f in schema.fields)
+
+    rows = [
+        listing(0, "a", "fpga intern x y", range(10), canonical_url="u1"), listing(1, "b", "fpga intern x y", range(10), canonical_url="u1"),  # one url
+        listing(2, "c", "fpga intern x y", range(10)),  # alike
+        listing(3, "d", "fpga intern x z", range(1, 11)), listing(4, "e", "other words of work", range(50, 60)), listing(5, "f", "fpga intern x y", range(10), requisition_id="9"), listing(6, "f", "fpga intern x y", range(10), requisition_id="8"),
+    ]
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    clusters, methods, records = pv.resolve_with_records(df, "node")
+    assert {r.node: r.cluster_id for r in clusters.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 0, 6: 0}
+    assert {r.node: r.method for r in methods.collect()} == {0: "primary", 1: "url", 2: "similarity", 3: "primary", 4: "primary", 5: "similarity", 6: "similarity"}
+    assert {(r.left, r.right, r.verdict) for r in records.collect() if r.verdict == "uncertain"} >= {(0, 3, "uncertain")}
+    same = lambda pairs: pairs.select("left", "right", F.lit("same").alias("verdict"), F.lit(0.9).alias("confidence"))
+    clusters, methods, records = pv.resolve_with_records(df, "node", ask=same, budget=1)
+    assert {r.node: r.cluster_id for r in clusters.collect()}[3] == 0 and {r.node: r.method for r in methods.collect()}[3] == "llm"
+    assert not [r for r in records.collect() if r.verdict == "uncertain"]  # the one answer joined all that was in doubt

@@ -57,6 +57,13 @@ def test_stored_jobs_can_be_scored(spark):
     assert (got["2"].discriminators, got["2"].employment_type, got["2"].deadline_is_explicit) == (["design", "software"], "internship", False)
 
 
+def test_health(spark):
+    health = spark.createDataFrame([("a", 1, 4.0, 2), ("b", 1, 4.0, 2), ("c", 1, 4.0, 2), ("d", 1, 4.0, 2)], "source string, runs int, avg_new double, failures int")
+    run = spark.createDataFrame([("a", True, False, 8, True), ("b", False, False, 0, True), ("c", False, False, 0, False)], "source string, ok boolean, partial boolean, new int, configured boolean")
+    got = {r.source: (r.runs, r.avg_new, r.failures, r.status) for r in discovery.source_health(health, run).collect()}
+    assert got == {"a": (2, 6.0, 0, "ok"), "b": (2, 2.0, 3, "failed"), "c": (1, 4.0, 2, "unconfigured"), "d": (1, 4.0, 2, "idle")}
+
+
 def test_orders(spark):
     clusters = spark.createDataFrame([(1, 2, "b", "x"), (2, 3, "z", "x"), (3, 2, "a", "y"), (4, 2, "a", "x")], "cluster_id long, members long, company_slug string, title_core string")
     assert [r.cluster_id for r in clusters.orderBy(*resolve.cluster_order()).collect()] == [2, 4, 3, 1]
