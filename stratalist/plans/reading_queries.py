@@ -23,6 +23,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: The longest reply that is parsed here.
+MOST = 5_000
+
+
 def _replies(spark, sf):
     """A reply for each order, in one of seven shapes: whole, fenced, among words, cut off, none, wrong types, and far too long."""
     o = table(spark, sf, "orders")
@@ -31,7 +35,7 @@ def _replies(spark, sf):
     domain = F.element_at(F.array(*map(F.lit, ("Hardware", "ml", "cooking", "new grad"))), (F.col("o_custkey") % 4 + 1).cast("int"))
     body = F.to_json(F.struct(skills.alias("skills"), domain.alias("domain"), F.lit("New Grad").alias("seniority"), (F.col("o_custkey") % 2 == 0).alias("is_internship"), (F.col("o_custkey") % 40).alias("min_years_experience"), F.array(F.lit("Summer"), F.lit(" "), F.lit("Fall")).alias("terms")))
     odd = F.format_string('{"skills": "c", "domain": 5, "is_internship": "yes", "min_years_experience": "7", "terms": {"a": 1}, "summary": "  two   words %s "}', F.col("o_orderkey"))
-    shapes = [body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Sure: "), body, F.lit(" Done.")), F.substring(body, 1, 30), F.lit("I cannot tell."), odd, F.concat(body, F.repeat(F.lit(" "), F.lit(100_001)))]
+    shapes = [body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Sure: "), body, F.lit(" Done.")), F.substring(body, 1, 30), F.lit("I cannot tell."), odd, F.concat(body, F.repeat(F.lit(" "), F.lit(MOST + 1)))]
     kind = F.col("o_orderkey") % 7
     reply = F.lit(None).cast("string")
     for i, shape in enumerate(shapes):
@@ -46,7 +50,7 @@ CASE WHEN kind <= 2 THEN o_custkey % 2 = 0 END AS is_internship, CASE WHEN kind
 CASE WHEN kind <= 2 THEN 'Summer,Fall' WHEN kind = 5 THEN '' END AS terms, CASE WHEN kind <= 2 THEN '' WHEN kind = 5 THEN 'two words ' || k.o_orderkey END AS summary FROM k JOIN s ON s.o_orderkey = k.o_orderkey""")
 def model_facts(spark, sf):
     """Typed facts of every reply, and what became of those that hold none."""
-    rows = model_output.with_reply(_replies(spark, sf), "reply").withColumn("f", model_output.facts(F.col("reply_json")))
+    rows = model_output.with_reply(_replies(spark, sf), "reply", most=MOST).withColumn("f", model_output.facts(F.col("reply_json")))
     return rows.select(
         "o_orderkey", F.col("reply_status").alias("status"), F.size("f.skills").cast("long").alias("n_skills"), "f.domain", "f.seniority", "f.is_internship", F.col("f.min_years_experience").alias("years"),
         F.array_join("f.terms", ",").alias("terms"), "f.summary",
