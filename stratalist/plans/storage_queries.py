@@ -39,21 +39,20 @@ def _run(spark, sf):
     per = i.groupBy("l_suppkey").agg(F.ceil(F.count("*") / PAGE).alias("n_pages"))
     rows = i.join(per, "l_suppkey").join(s, i["l_suppkey"] == s["s_suppkey"]).withColumn("page", F.pmod(F.xxhash64("key"), F.col("n_pages")))
     rows = rows.where("s_suppkey % 11 <> 5")
+    jobs = rows.groupBy("provider", "board", "s_suppkey", "page").agg(F.collect_list(F.struct("key", "title")).alias("jobs"))
     # The id and title go under the names that each provider uses.
-    lever = F.struct(F.col("key").alias("id"), F.col("title").alias("text"))
-    jobs = rows.groupBy("provider", "board", "s_suppkey", "page").agg(F.collect_list(F.struct(F.col("key").alias("id"), "title")).alias("jobs"), F.collect_list(lever).alias("list"))
-    payload = F.when(F.col("provider") == "lever", F.to_json("list")).otherwise(F.to_json(F.struct("jobs")))
+    named = lambda title: F.transform("jobs", lambda x: F.struct(x["key"].alias("id"), x["title"].alias(title)))
+    payload = F.when(F.col("provider") == "lever", F.to_json(named("text"))).otherwise(F.to_json(F.struct(named("title").alias("jobs"))))
     broken = (F.col("s_suppkey") % 10 == 3) & (F.col("page") == 0)
     path = new_path(spark, "boards")
-    boards.record(jobs.select("provider", "board", F.when(broken, F.substring(payload, 1, 20)).otherwise(payload).alias("payload")), path)
-    registry = [(r.provider, r.board, r.s_suppkey % 7 == 0) for r in s.orderBy("s_suppkey").collect()]  # the registry's boards, one partition each
-    return path, boards.registry_option(registry)
+    pages = jobs.select("provider", "board", F.when(broken, F.substring(payload, 1, 20)).otherwise(payload).alias("payload"))
+    boards.record_run(pages, s.select("provider", "board", (F.col("s_suppkey") % 7 == 0).alias("speculative")), path)
+    return path
 
 
 def _read(spark, sf, **options):
     boards.register(spark)
-    path, registry = _run(spark, sf)
-    return spark.read.format("recorded_boards").options(path=path, boards=registry, **options).load()
+    return spark.read.format("recorded_boards").options(path=_run(spark, sf), **options).load()
 
 
 _BOARDS_SQL = """i AS (SELECT *, l_orderkey || '-' || l_linenumber AS key, (['air', 'mail', 'rail', 'truck'])[l_partkey % 4 + 1] || ' ' || CASE WHEN l_returnflag = 'N' THEN 'intern' ELSE 'engineer' END AS title FROM lineitem),

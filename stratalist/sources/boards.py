@@ -1,11 +1,14 @@
-"""Recorded payloads of boards as a data source: one input partition a board, failures as rows, filters pushed into the reader.
+"""Recorded payloads of boards as a data source: failures as rows, filters pushed into the reader.
 
-A recorded run is a folder with the pages of each board, one JSON page a line, at ``provider=<p>/board=<b>/``. ``recorded_boards`` reads
-it in one of two modes: ``listings`` gives the postings of the boards that could be read, each as its JSON, and ``status`` one row a
-board. A board whose folder is missing or empty, or one of whose pages cannot be read, fails alone: it has no postings and a status row with the error.
+A recorded run is a folder in one of two layouts. A short registry goes into the option ``boards``: the pages of each board, one JSON page a
+line, are at ``provider=<p>/board=<b>/``, one input partition a board. A registry of any length is recorded with the pages (``record_run``): each
+file holds whole boards in order, every board's registration before its pages, and is one input partition; neither passes through the driver.
+``recorded_boards`` reads a run in one of two modes: ``listings`` gives the postings of the boards that could be read, each as its JSON, and
+``status`` one row a board. A board without pages, or one of whose pages cannot be read, fails alone: it has no postings and a status row with the error.
 
     register(spark)
     spark.read.format("recorded_boards").option("path", run).option("boards", registry_option(boards)).load()
+    spark.read.format("recorded_boards").option("path", run).load()
 
 Filters on ``provider`` and ``board`` prune partitions; filters on ``title`` drop a posting before anything else of it is touched. What
 the reader cannot judge goes back to Spark. Options ``title_terms`` (words of which a title must hold one) and ``intern_titles`` (the title gate)
@@ -14,6 +17,7 @@ push what no column filter can say.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +35,8 @@ ID_FIELDS = {"workable": "shortcode", "arbeitnow": "slug"}
 TITLE_FIELDS = {"lever": "text", "smartrecruiters": "name", "themuse": "name"}
 TOP_LEVEL = ("lever", "curated")
 ERROR_CHARS, EXAMPLE_CHARS = 500, 120
+#: What a line of a file of boards is; registrations sort first.
+REGISTERED, PAGE = "0", "1"
 
 
 @dataclass
@@ -40,6 +46,13 @@ class Board(InputPartition):
     speculative: bool = False
 
 
+@dataclass
+class Recorded(InputPartition):
+    """A file of whole boards."""
+
+    file: str
+
+
 def registry_option(boards: Iterable[tuple[str, str, bool]]) -> str:
     """(provider, board, speculative) as the ``boards`` option."""
     return json.dumps([list(b) for b in boards])
@@ -67,6 +80,36 @@ def pages(path: str, b: Board) -> Iterator[object]:
                     yield json.loads(line)
 
 
+def recorded_files(path: str) -> list[str]:
+    from pyarrow import fs
+
+    system, root = _folder(path)
+    return sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and not f.base_name.startswith(("_", ".")))
+
+
+def recorded_boards(path: str, file: str) -> Iterator[tuple[Board, Iterator[object]]]:
+    """Each registered board of a file with its parsed pages, which must be read before the next board; pages of no registered board are passed over."""
+    from itertools import groupby
+
+    system, _ = _folder(path)
+    with system.open_input_stream(file) as stream, io.TextIOWrapper(stream, encoding="utf-8", newline="\n") as text:
+        lines = (line.rstrip("\n").split("\t", 2) for line in text)
+        for name, own in groupby(lines, key=lambda x: x[0]):
+            first = next(own)
+            if first[1] == REGISTERED:
+                yield Board(*json.loads(name), first[2] == "true"), _parsed(x[2] for x in own if x[1] == PAGE)
+
+
+def _parsed(lines: Iterator[str]) -> Iterator[object]:
+    some = False
+    for line in lines:
+        some = True
+        if line.strip():
+            yield json.loads(line)
+    if not some:
+        raise FileNotFoundError("no recorded payload")
+
+
 def postings(page: object, provider: str, keep: Callable[[str | None], bool]) -> Iterator[tuple[str | None, str | None, dict]]:
     """(id, title, posting) of a page's postings whose title is kept; nothing else of the rest is looked at."""
     found = page if provider in TOP_LEVEL else page[LISTS.get(provider, "jobs")]
@@ -107,7 +150,8 @@ class BoardReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.mode = options["path"], options.get("mode", "listings")
-        self.boards = [Board(*b) for b in json.loads(options["boards"])]
+        self.boards = [Board(*b) for b in json.loads(options["boards"])] if "boards" in options else None
+        self.wanted: list[tuple[str, set[str]]] = []
         self.terms = json.loads(options.get("title_terms", "[]"))
         self.intern_terms = json.loads(options["intern_titles"]) if "intern_titles" in options else None
         self.on_title: list[Filter] = []
@@ -117,23 +161,34 @@ class BoardReader(DataSourceReader):
         for f in filters:
             column = f.attribute[0] if isinstance(f, self.JUDGED) and len(f.attribute) == 1 else None
             if column in ("provider", "board") and isinstance(f, (EqualTo, In, IsNotNull)):
-                wanted = None if isinstance(f, IsNotNull) else {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.boards = [b for b in self.boards if wanted is None or getattr(b, column) in wanted]
+                if not isinstance(f, IsNotNull):
+                    self.wanted.append((column, {f.value} if isinstance(f, EqualTo) else set(f.value)))
             elif column == "title" and self.mode == "listings":
                 self.on_title.append(f)
             else:
                 yield f
 
+    def judged(self, b: Board) -> bool:
+        return all(getattr(b, column) in values for column, values in self.wanted)
+
     def partitions(self) -> list[InputPartition]:
-        return list(self.boards) or [Board("", "")]
+        if self.boards is None:
+            return [Recorded(f) for f in recorded_files(self.path)] or [Board("", "")]
+        return [b for b in self.boards if self.judged(b)] or [Board("", "")]
 
-    def read(self, b: Board) -> Iterator[tuple]:
-        if not b.provider:  # no board is left
-            return
+    def read(self, part: Board | Recorded) -> Iterator[tuple]:
         keep = title_judge(self.on_title, self.terms, self.intern_terms)
+        if isinstance(part, Recorded):
+            for b, own in recorded_boards(self.path, part.file):
+                if self.judged(b):
+                    yield from self.board_rows(b, own, keep)
+        elif part.provider:  # some board is left
+            yield from self.board_rows(part, pages(self.path, part), keep)
+
+    def board_rows(self, b: Board, own: Iterator[object], keep: Callable[[str | None], bool]) -> Iterator[tuple]:
         rows, error = [], None
         try:
-            for page in pages(self.path, b):
+            for page in own:
                 rows += [(key, title, json.dumps(p)) for key, title, p in postings(page, b.provider, keep)] if self.mode == "listings" else [None] * sum(1 for _ in postings(page, b.provider, keep))
         except Exception as e:  # a failing board is a row, not the end of the job
             rows, error = [], f"{type(e).__name__}: {e}"[:ERROR_CHARS]
@@ -166,6 +221,17 @@ def record(payloads: DataFrame, path: str) -> None:
     payloads.select("provider", "board", F.col("payload").alias("value")).repartition("provider", "board").write.partitionBy("provider", "board").text(path)
 
 
+def record_run(payloads: DataFrame, registry: DataFrame, path: str) -> None:
+    """Writes pages (provider, board, payload: JSON in one line) and the registry (provider, board, speculative: a row a board) as one recorded run.
+
+    The names as JSON hold no tab; whole boards go to one file, in as many files as Spark makes partitions of them.
+    """
+    name = F.to_json(F.array("provider", "board")).alias("name")
+    lines = payloads.select(name, F.lit(PAGE).alias("kind"), F.coalesce("payload", F.lit("")).alias("rest"))
+    lines = lines.unionByName(registry.select(name, F.lit(REGISTERED).alias("kind"), F.coalesce("speculative", F.lit(False)).cast("string").alias("rest")))
+    lines.repartition("name").sortWithinPartitions("name", "kind").select(F.concat_ws("\t", "name", "kind", "rest").alias("value")).write.text(path)
+
+
 def source_status(status: DataFrame, needs: dict[str, list[str]] | None = None, credentials: Iterable[str] = (), sources: Iterable[str] = ()) -> DataFrame:
     """One row a source: attempted, succeeded, found, status and error, over its registered boards.
 

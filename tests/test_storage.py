@@ -48,6 +48,23 @@ def test_boards_fail_alone(run):
     assert sorted(tuple(r) for r in boards.board_yield(run(mode="status")).collect()) == [("ashby", "c", 1), ("ashby", "none", 0), ("lever", "a", 3)]
 
 
+def test_a_recorded_registry_reads_alike_in_few_partitions(spark, tmp_path):
+    boards.register(spark)
+    many = [("lever", f"b{i}", json.dumps([{"id": f"{i}-{j}", "text": f"Intern {j}"}])) for i in range(300) if i % 9 for j in range(2)]
+    many += [("lever", "b5", "[{"), ("lever", "b6", "  "), ("ashby", "c", json.dumps({"jobs": [{"id": "5", "title": "a\tb"}]})), ("ashby", "stray", json.dumps({"jobs": [{"id": "6"}]}))]
+    registry = [("lever", f"b{i}", i % 7 == 0) for i in range(300)] + [("ashby", "c", False), ("ashby", "tab\tname", True)]
+    payloads = spark.createDataFrame(many, "provider string, board string, payload string")
+    one, both = str(tmp_path / "one"), str(tmp_path / "both")
+    boards.record(payloads, one)
+    boards.record_run(payloads, spark.createDataFrame(registry, "provider string, board string, speculative boolean"), both)
+    old = lambda **o: spark.read.format("recorded_boards").options(path=one, boards=boards.registry_option(registry), **o).load()
+    new = lambda **o: spark.read.format("recorded_boards").options(path=both, **o).load()
+    for o in ({}, {"mode": "status"}):
+        assert sorted(map(str, new(**o).collect())) == sorted(map(str, old(**o).collect()))
+    assert new(mode="status").rdd.getNumPartitions() < 100 < old(mode="status").rdd.getNumPartitions()
+    assert [r.source_job_id for r in new().where("provider = 'ashby' and board in ('c', 'x')").collect()] == ["5"]
+
+
 def test_queries_fail_only_together(spark):
     rows = [("x", f"q{i}", i, i == 13, 5) for i in range(14)] + [("y", "a", 0, True, 2), ("y", "b", 1, False, 9)]
     got = {r.source: (r.attempted, r.succeeded, r.found, r.status, r.error) for r in boards.query_status(spark.createDataFrame(rows, "source string, query string, at int, ok boolean, found long")).collect()}
