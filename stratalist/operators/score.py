@@ -14,7 +14,8 @@ from ..functions.text import role_affinity, words_array
 # Weights, bands and steps of the score.
 WEIGHTS = {"role_match": 25.0, "technical_skills": 25.0, "candidate_fit": 15.0, "location": 10.0, "company_preference": 5.0, "freshness": 10.0, "internship_constraints": 10.0}
 RELEVANCE = ("role_match", "technical_skills")
-CONTEXT_FLOOR = 0.70
+#: What of the relevance stands whatever the context, and what the context adds at most: 1 - 0.7 is not the float 0.3.
+CONTEXT_FLOOR, CONTEXT_LIFT = 0.70, 0.30
 BANDS = [(90.0, "apply_now"), (80.0, "strong_match"), (70.0, "worth_considering"), (60.0, "maybe")]
 FRESHNESS = [(1, 10.0), (3, 7.0), (7, 3.0), (14, 1.0)]
 UBIQUITOUS = "python java javascript typescript git linux bash sql docker aws gcp azure c c++ react node.js ci/cd jenkins kubernetes numpy pandas".split()
@@ -68,11 +69,12 @@ def best_role(tokens: Column, prefs: Preferences) -> Column:
     return F.array_max(F.array(*rated))
 
 
-def role_match(tokens: Column, prefs: Preferences, title: Column | None = None, skills: Column | None = None) -> Column:
-    """0 to 100: the best role of the preferences that a title covers; 50 without roles. A weak match whose title names one of the skills counts 45."""
+def role_match(tokens: Column, prefs: Preferences, title: Column | None = None, skills: Column | None = None, best: Column | None = None) -> Column:
+    """0 to 100: the best role of the preferences that a title covers; 50 without roles. A weak match whose title names one of the skills counts 45.
+    best: ``best_role`` of the tokens, where a row has it already."""
     if not prefs.roles:
         return F.lit(50.0)
-    value = _clamp(F.coalesce(best_role(tokens, prefs)["adjusted"], F.lit(0.0)) * 100)
+    value = _clamp(F.coalesce((best_role(tokens, prefs) if best is None else best)["adjusted"], F.lit(0.0)) * 100)
     if title is None:
         return value
     named = F.exists(skills, lambda x: F.contains(F.lower(title), F.lower(x)))
@@ -158,7 +160,7 @@ def blend(components: dict[str, Column], weights: dict[str, float]) -> Column:
         return F.when(over > 0, total / F.nullif(over, F.lit(0.0)))
 
     relevance, context = mean([n for n in components if n in RELEVANCE]), mean([n for n in components if n not in RELEVANCE])
-    return F.coalesce(F.when(relevance.isNull(), context).when(context.isNull(), relevance).otherwise(relevance * (CONTEXT_FLOOR + (1 - CONTEXT_FLOOR) * context / 100)), F.lit(0.0))
+    return F.coalesce(F.when(relevance.isNull(), context).when(context.isNull(), relevance).otherwise(relevance * (CONTEXT_FLOOR + CONTEXT_LIFT * context / 100)), F.lit(0.0))
 
 
 def negative_penalty(title: Column, text: Column, prefs: Preferences) -> Column:
@@ -248,7 +250,7 @@ def contributions(components: dict[str, Column], weights: dict[str, float], scor
         return over, sum((F.coalesce(components[n] * weights[n], F.lit(0.0)) for n in own), F.lit(0.0))
 
     (rel_over, rel_total), (ctx_over, ctx_total) = group(True), group(False)
-    lift = (1 - CONTEXT_FLOOR) * ctx_total / F.nullif(ctx_over, F.lit(0.0)) / 100
+    lift = CONTEXT_LIFT * ctx_total / F.nullif(ctx_over, F.lit(0.0)) / 100
     ctx_share = F.when(rel_over <= 0, score).when(ctx_over <= 0, 0.0).otherwise(score * lift / (CONTEXT_FLOOR + lift))
     out = {}
     for n, c in components.items():

@@ -85,6 +85,13 @@ def test_bands_look_at_the_unrounded_score(spark):
     assert got == [(90.0, "strong_match"), (90.0, "apply_now"), (90.0, "strong_match")]
 
 
+def test_the_context_adds_three_tenths(spark):
+    # 50 * (0.7 + 0.3 * 67 / 100) is 45.05, a tie that goes to the even 45.0; with 1 - 0.7 for 0.3 it is above.
+    parts = {"role_match": 100.0, "technical_skills": 0.0, "candidate_fit": 58.0, "location": 60.0, "company_preference": 50.0, "freshness": 100.0, "internship_constraints": 63.0}
+    df = spark.createDataFrame([tuple(parts.values())], ", ".join(f"{n} double" for n in parts)).coalesce(1)
+    assert df.select(score.final_score(score.blend({n: F.col(n) for n in parts}, score.WEIGHTS), F.lit(0.0))).first()[0] == 45.0
+
+
 def test_negative_words_count_in_the_first_4000_characters(spark):
     prefs = score.Preferences(negative=["senior"])
     rows = [("senior intern", "senior intern x"), ("intern", "intern senior"), ("intern", "intern " + "x" * 4000 + " senior"), ("intern", "intern")]
