@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # The vocabulary, and the contexts that words with a second meaning need.
 VOCABULARY = [
     "fpga", "rtl", "systemverilog", "verilog", "vhdl", "uvm", "asic", "soc", "verification", "validation", "synthesis", "timing analysis", "sta", "place and route", "physical design", "dft",
@@ -31,16 +35,19 @@ def _quoted(word: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in word)
 
 
+#: A pattern or words without which an ambiguous skill is not named, as a search for these is cheaper.
+NEEDED = {"c": r"\bc\b", "go": ["go"], "rf": ["rf", "radio"], "arm": ["arm", "cortex"], "power": ["power"]}
+
+
+def _named(low: Column, skill: str) -> Column:
+    if skill in AMBIGUOUS:
+        need = NEEDED[skill]
+        first = low.rlike(need) if isinstance(need, str) else reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in need])
+        return first & low.rlike(AMBIGUOUS[skill])
+    hit = F.contains(low, F.lit(skill))
+    return hit & low.rlike(rf"(?<![a-z0-9+#]){_quoted(skill)}(?![a-z0-9+#])") if len(skill) <= SHORT else hit
+
+
 def extract_skills(text: Column) -> Column:
     """The skills that a text names, in order of the vocabulary. Words of three letters or fewer must stand alone."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = []
-    for skill in VOCABULARY:
-        if skill in AMBIGUOUS:
-            hit = low.rlike(AMBIGUOUS[skill])
-        elif len(skill) <= SHORT:
-            hit = low.rlike(rf"(?<![a-z0-9+#]){_quoted(skill)}(?![a-z0-9+#])")
-        else:
-            hit = F.contains(low, F.lit(skill))
-        found.append(F.when(hit, F.lit(skill)))
-    return F.array_compact(F.array(*found))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(_named(low, s), F.lit(s)) for s in VOCABULARY])))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratalist.functions import text
+from stratalist.functions import skills, text
 from stratalist.operators import analytics, digest, discovery, prefilter, score, state
 
 NOW = datetime(2026, 8, 18, 12)
@@ -92,6 +93,26 @@ def test_the_context_adds_three_tenths(spark):
     assert df.select(score.final_score(score.blend({n: F.col(n) for n in parts}, score.WEIGHTS), F.lit(0.0))).first()[0] == 45.0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_lowered_once_for_all_skills(spark):
+    words = ["c", "C programming", "in C.", "go", "Golang", "go language", "RF design", "radio  frequency", "arm", "cortex-m", "low-power design", "power", "git", "digit", "git+", "x.sql,", "FreeRTOS", "c/c++", "embedded c", ""]
+    texts = [f"{a} {b}" for a in words for b in words] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", skills.extract_skills(F.col("t")).alias("s"))
+    assert plan_of(out).count("lower(") == 1
+
+    def named(low, s):
+        if s in skills.AMBIGUOUS:
+            return re.search(skills.AMBIGUOUS[s], low)
+        return re.search(rf"(?<![a-z0-9+#]){re.escape(s)}(?![a-z0-9+#])", low) if len(s) <= skills.SHORT else s in low
+
+    for r in out.collect():
+        assert r.s == [s for s in skills.VOCABULARY if named((r.t or "").lower(), s)], r.t
+
+
 def test_negative_words_count_in_the_first_4000_characters(spark):
     prefs = score.Preferences(negative=["senior"])
     rows = [("senior intern", "senior intern x"), ("intern", "intern senior"), ("intern", "intern " + "x" * 4000 + " senior"), ("intern", "intern")]
