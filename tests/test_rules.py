@@ -113,6 +113,12 @@ def test_texts_are_lowered_once_for_all_skills(spark):
         assert r.s == [s for s in skills.VOCABULARY if named((r.t or "").lower(), s)], r.t
 
 
+def test_texts_are_put_together_once_for_all_groups(spark):
+    df = spark.createDataFrame([("rtl intern ml",), ("ml ",), ("",), (None,)], "t string")
+    out = df.select(text.discriminators(F.col("t")).alias("g"))
+    assert plan_of(out).count("concat(") == 1 and [r.g for r in out.collect()] == [["design", "intern", "ml"], ["ml"], [], []]
+
+
 def test_negative_words_count_in_the_first_4000_characters(spark):
     prefs = score.Preferences(negative=["senior"])
     rows = [("senior intern", "senior intern x"), ("intern", "intern senior"), ("intern", "intern " + "x" * 4000 + " senior"), ("intern", "intern")]
