@@ -4,12 +4,14 @@
     select * from search_phrases(array('FPGA Engineer'), array('uvm'), array('Austin'), 60)
     select * from harvest_boards(table(select provider, board, company, source, extra, at from seen))
 
-Rows of a board come together, in the order of ``at``, and one row stays in memory however many there are. For frames ``discovery.harvest_boards`` is the faster way.
+Rows of a board come together, in the order of ``at``, and one row stays in memory however many there are. A row with a column ``n`` stands for so many:
+``fold_seen`` leaves at most two rows of a board, before any reach Python. For frames ``discovery.harvest_boards`` is the faster way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, NullType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
@@ -46,7 +48,7 @@ class HarvestBoards:
         if self.first is None:
             self.first = row
         self.extra = self.extra or row["extra"] or None
-        self.n += 1
+        self.n += row["n"] if "n" in row.__fields__ else 1
 
     def terminate(self):
         if self.first is not None:
@@ -54,6 +56,14 @@ class HarvestBoards:
             yield r["provider"], r["board"], r["company"], r["source"], self.extra, self.n
 
 
+def fold_seen(seen: DataFrame) -> DataFrame:
+    """The rows of each board that its harvest is read from: the first, with the number of all, and the first with an extra, which counts as none."""
+    row = F.struct("company", "source", "extra", "at")
+    has = F.coalesce("extra", F.lit("")) != ""
+    by = seen.groupBy("provider", "board").agg(F.min_by(row, "at").alias("first"), F.min_by(row, F.when(has, F.col("at"))).alias("said"), F.count("*").alias("n"))
+    return by.select("provider", "board", "first.*", "n").unionByName(by.where("said.at > first.at").select("provider", "board", "said.*", F.lit(0).cast("long").alias("n")))
+
+
 def register(spark: SparkSession) -> None:
     from pyspark.sql.functions import udtf
 

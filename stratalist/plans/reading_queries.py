@@ -62,10 +62,11 @@ def harvest_in_sql(spark, sf):
     """Boards seen in listings, by the table function."""
     table_functions.register(spark)
     item, o, s = (table(spark, sf, t) for t in ("lineitem", "orders", "supplier"))
+    item = item.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     seen = item.join(o, item["l_orderkey"] == o["o_orderkey"]).join(s, item["l_suppkey"] == s["s_suppkey"])
     extra = F.when(F.col("l_quantity") > 45, F.col("l_linestatus")).otherwise("")
-    seen = seen.select(F.concat(F.lit("b"), (F.col("s_nationkey") % 3).cast("string")).alias("provider"), F.col("s_name").alias("board"), F.col("o_orderstatus").alias("company"), F.col("l_returnflag").alias("source"), extra.alias("extra"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    return spark.sql("SELECT * FROM harvest_boards(TABLE({seen}))", seen=seen)
+    seen = seen.select(F.concat(F.lit("b"), (F.col("s_nationkey") % 3).cast("string")).alias("provider"), F.col("s_name").alias("board"), F.col("o_orderstatus").alias("company"), F.col("l_returnflag").alias("source"), extra.alias("extra"), F.struct((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "file", "row").alias("at"))  # of lines with one number, the first stored
+    return spark.sql("SELECT * FROM harvest_boards(TABLE({seen}))", seen=table_functions.fold_seen(seen))
 
 
 @query(WITH + f""", d AS (SELECT *, CAST(floor(epoch({NOW_SQL} - date_posted) / 86400) AS BIGINT) AS ago, CAST(floor(epoch(deadline - {NOW_SQL}) / 86400) AS BIGINT) AS ahead, CASE WHEN job_id % 5 = 0 THEN salary_min / 10000 ELSE salary_min END AS low FROM eff)
