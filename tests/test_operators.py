@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stratalist.functions import facts, text
 from stratalist.operators import resolve, score, state
 from stratalist.operators.components import connected_components
+from stratalist.storage import materialize
 from stratalist.operators.filters import ListFilter, pages
 from stratalist.sources import payloads
 from stratalist.streaming import incremental
@@ -63,6 +64,20 @@ def test_components_do_not_depend_on_order(spark):
     assert one == two
 
 
+def test_components_end_once_only_stars_are_left(spark):
+    kept = []
+
+    def keep(df, name):
+        kept.append(materialize(df, name))
+        return kept[-1]
+
+    star = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51)], "a long, b long")
+    assert {r.node: r.component for r in connected_components(star, keep=keep).collect()} == {**{i: 1 for i in range(1, 40)}, 50: 50, 51: 50} and len(kept) == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    kept.clear()
+    assert {r.component for r in connected_components(path, keep=keep).collect()} == {0} and len(kept) <= 3
+
+
 def test_similarity_band_and_adjudicator(spark):
     rows = spark.createDataFrame([(1, "c", "fpga design intern team one"), (2, "c", "fpga design intern team two"), (3, "c", "sales")], "id long, block string, title string")
     rows = rows.withColumn("t", text.title_tokens(F.col("title")))
