@@ -47,17 +47,18 @@ def _inputs(spark, sf):
 
 def _components(rows):
     days = F.timestamp_diff("SECOND", "date_posted", F.lit(NOW).cast("timestamp_ntz")) / 86400
-    tokens = text.role_tokens(text.title_core(F.col("title"), text.normalize_ascii))
     lower = F.transform("skills", lambda x: F.lower(x))
     return {
-        "role_match": score.role_match(tokens, PREFS, F.col("title"), F.col("skills")), "technical_skills": score.technical_skills(lower, F.col("body"), PREFS), "candidate_fit": score.candidate_fit(F.col("years"), F.col("degrees"), PREFS),
+        "role_match": score.role_match(F.col("tokens"), PREFS, F.col("title"), F.col("skills"), F.col("best")), "technical_skills": score.technical_skills(lower, F.col("body"), PREFS), "candidate_fit": score.candidate_fit(F.col("years"), F.col("degrees"), PREFS),
         "location": score.location_score(F.col("location"), PREFS, F.col("remote_status")), "company_preference": score.company_preference(F.col("slug"), PREFS, F.col("body")), "freshness": score.freshness_score(days),
         "internship_constraints": score.constraints_score(F.col("employment_type"), PREFS, F.col("terms"), F.col("sponsorship"), F.col("salary_min"), F.lit("yearly")),
     }
 
 
 def _scored(spark, sf):
-    rows = _inputs(spark, sf)
+    # Columns of their own, which Spark computes once a row: what reads them names them several times.
+    rows = _inputs(spark, sf).withColumn("tokens", text.role_tokens(text.title_core(F.col("title"), text.normalize_ascii)))
+    rows = rows.withColumn("best", score.best_role(F.col("tokens"), PREFS))
     rows = rows.withColumns({f"p_{n}": x for n, x in _components(rows).items()})
     parts = {n: F.col(f"p_{n}") for n in PREFS.weights}
     blended = score.blend(parts, PREFS.weights)
@@ -107,8 +108,7 @@ def score_explained(spark, sf):
     """Matched and missing skills, missing requirements, and what speaks for and against a listing."""
     rows = _scored(spark, sf)
     matched, missing = score.skill_gap(F.col("skills"), PREFS)
-    tokens = text.role_tokens(text.title_core(F.col("title"), text.normalize_ascii))
-    good, bad = score.explanations({n: F.col(f"p_{n}") for n in PREFS.weights}, score.best_role(tokens, PREFS))
+    good, bad = score.explanations({n: F.col(f"p_{n}") for n in PREFS.weights}, F.col("best"))
     lists = {"matched": matched, "missing": missing, "requirements": score.missing_requirements(F.col("years"), F.col("degrees"), PREFS), "reasons": good, "concerns": bad}
     return rows.select("job_id", *[F.array_join(x, ",").alias(n) for n, x in lists.items()])
 

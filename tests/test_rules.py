@@ -97,6 +97,12 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_roles_of_a_title_are_read_once(spark):
+    from stratalist.plans import score_queries
+
+    assert plan_of(score_queries.score_explained(spark, "/root/testdata/sf0.001")).count("regexp_replace(translate(") == 1
+
+
 def test_texts_are_lowered_once_for_all_skills(spark):
     words = ["c", "C programming", "in C.", "go", "Golang", "go language", "RF design", "radio  frequency", "arm", "cortex-m", "low-power design", "power", "git", "digit", "git+", "x.sql,", "FreeRTOS", "c/c++", "embedded c", ""]
     texts = [f"{a} {b}" for a in words for b in words] + [None]
