@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .shared import table
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens kept by a worker's cache, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Characters of texts whose new pre-tokens are merged together.
+AT_ONCE = 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -157,6 +160,82 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
     return [s for s in symbols if s >= 0]
 
 
+class Merger:
+    """Merges many words at once: the segment trees of words of about one length are the rows of one array.
+
+    A row's leaves hold ``rank * width + position`` of the pair that starts at each position, and position 0 and the end are empty, so each
+    symbol has neighbours. A round takes the root of each row that still has a pair, and repairs the paths above the three leaves that a merge changes.
+    """
+
+    #: Rows are at most so many positions wide; a longer word is merged on its own.
+    WIDEST = 64
+
+    def __init__(self, tok: Tokenizer) -> None:
+        pairs = np.array([*tok.merges], dtype=np.int64).reshape(-1, 2)
+        found = np.array([*tok.merges.values()], dtype=np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] * 2**32 + pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], found[order, 0]
+        self.becomes = np.zeros(found[:, 0].max(initial=0) + 1, dtype=np.int64)  # by rank
+        self.becomes[found[:, 0]] = found[:, 1]
+        self.first, self.last = np.array(tok.first, dtype=np.int64), np.array(tok.last, dtype=np.int64)
+        self.one = lambda word: np.array(merge_symbols(tok.symbols(word), tok.merges), "<u4").tobytes()
+
+    def merged(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        out, by_width = {}, {}
+        for word in words:
+            raw = word.encode()
+            width = max(8, 1 << (len(raw) + 1).bit_length())
+            if width <= self.WIDEST:
+                by_width.setdefault(width, []).append((word, raw))
+            else:
+                out[word] = self.one(word)
+        for width, group in by_width.items():
+            for at in range(0, len(group), 2**17 // width):
+                part = group[at : at + 2**17 // width]
+                out.update(zip((w for w, _ in part), self._rows([raw for _, raw in part], width), strict=True))
+        return out
+
+    def _leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        key = a * 2**32 + b
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.ranks[found] * width + at, NONE)
+
+    def _rows(self, raws: list[bytes], width: int) -> list[bytes]:
+        m, place = len(raws), np.arange(width)
+        size = np.array([len(r) for r in raws])
+        symbols = np.full((m, width), -1, dtype=np.int64)
+        symbols[(place > 0) & (place <= size[:, None])] = self.first[np.frombuffer(b"".join(raws), np.uint8)]
+        symbols[np.arange(m), size] = self.last[[r[-1] for r in raws]]
+        after, before = np.tile(place + 1, (m, 1)), np.tile(place - 1, (m, 1))
+        tree = np.full((m, 2 * width), NONE, dtype=np.int64)
+        if len(self.keys):
+            tree[:, width:-1] = self._leaves(symbols[:, :-1], symbols[:, 1:], place[:-1], width)
+        for half in (width >> i for i in range(1, width.bit_length())):
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+        row = np.flatnonzero(tree[:, 1] != NONE)
+        while len(row):
+            rank, i = np.divmod(tree[row, 1], width)
+            j = after[row, i]
+            k, p = after[row, j], before[row, i]
+            own = symbols[row, i] = self.becomes[rank]
+            symbols[row, j] = -1
+            after[row, i], before[row, k] = k, i
+            tree[row, width + j] = NONE
+            tree[row, width + i] = self._leaves(own, symbols[row, k], i, width)
+            tree[row, width + p] = self._leaves(symbols[row, p], own, p, width)
+            at = (width + np.stack([j, i, p])) >> 1
+            while at[0, 0]:
+                tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+                at >>= 1
+            row = row[tree[row, 1] != NONE]
+        kept = symbols >= 0
+        ends = 4 * np.cumsum(kept.sum(axis=1))
+        flat = symbols[kept].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def prove_whole_tokens(tok: Tokenizer) -> dict[str, int]:
     """The vocabulary strings that are one pre-token and that the merges turn into that one token.
 
@@ -229,10 +308,18 @@ class _Unicode:
         return "".join(unicodedata.normalize("NFC", part) for part in self.marks.split(text))
 
 
+def one_space(text: str) -> str:
+    """Each run of white space as one space."""
+    if any(x in text for x in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+        return regex.sub(r"\s+", " ", text)
+    ends = [" " if x.isspace() else "" for x in (text[:1], text[-1:])]
+    return (text and " ") if text.isspace() else " ".join(text.split()).join(ends)
+
+
 def normalize(text: str, exact: _Unicode | None = None) -> str:
     """NFC, white space to one space, lower case letter by letter (a final sigma is no exception)."""
     composed = exact.compose(text) if exact else unicodedata.normalize("NFC", text)
-    lower = regex.sub(r"\s+", " ", composed).replace("Σ", "σ")
+    lower = one_space(composed).replace("Σ", "σ")
     return (lower.translate(LATER_CAPITALS) if exact else lower).lower()
 
 
@@ -278,6 +365,13 @@ class _Cache(dict):
             self[word] = value
         return value
 
+    def learn(self, found: dict) -> None:
+        """Takes these in, which may be over the bound by themselves."""
+        if len(self) + len(found) > CACHE_ENTRIES + len(self.start):
+            self.clear()
+            self.update(self.start)
+        self.update(found)
+
 
 _WORKERS: dict[tuple[str, str], object] = {}
 
@@ -301,22 +395,42 @@ class Counter:
 
 class Encoder:
     def __init__(self, tok: Tokenizer) -> None:
-        self.tok, self.pieces = tok, _Pieces(tok)
-        self.ids = _Cache(lambda w: np.array(merge_symbols(tok.symbols(w), tok.merges), "<u4").tobytes(), {})
-        self.text = _Cache(lambda ids: " ".join(tok.by_id[i] for i in np.frombuffer(ids, "<u4").tolist()), {})
+        self.tok, self.pieces, self.merger = tok, _Pieces(tok), Merger(tok)
+        self.ids = _Cache(self.merger.one, {})
+        self.names = [tok.by_id.get(i, "") for i in range(max(tok.by_id) + 1)]
 
     def encode(self, text: str) -> list[bytes]:
         """The ids of each pre-token or special token, as little-endian unsigned 32-bit integers."""
+        return self._ids(self.pieces.of(text))
+
+    def _ids(self, pieces: Iterable[tuple[list[str], str | None]]) -> list[bytes]:
         out: list[bytes] = []
-        for words, special in self.pieces.of(text):
+        for words, special in pieces:
             out += map(self.ids.__getitem__, words)
             if special is not None:
                 out.append(self.tok.specials[special].to_bytes(4, "little"))
         return out
 
-    def decode(self, ids: list[bytes]) -> str:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text. The new pre-tokens of about ``AT_ONCE`` characters are merged together."""
+        held, chars = [], 0
+        for text in texts:
+            held.append([*self.pieces.of(text)])
+            chars += len(text)
+            if chars >= AT_ONCE:
+                yield from self._learnt(held)
+                held, chars = [], 0
+        yield from self._learnt(held)
+
+    def _learnt(self, held: list[list[tuple[list[str], str | None]]]) -> Iterator[bytes]:
+        seen = set(chain.from_iterable(words for pieces in held for words, _ in pieces))
+        self.ids.learn(self.merger.merged([w for w in seen if w not in self.ids and len(w) <= CACHE_CHARS]))
+        for pieces in held:
+            yield b"".join(self._ids(pieces))
+
+    def decode(self, ids: list[int]) -> str:
         """The tokens with one space between them, as the library joins those of a file without a decoder."""
-        return " ".join(map(self.text.__getitem__, ids))
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,11 +460,11 @@ def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         encoder = _worker("encode", shared.value, Encoder)
         for batch in batches:
             out: list[list] = [[] for _ in range(3 + len(more))]
-            for t in batch.column("text"):
-                ids = encoder.encode(t.as_py() or "")
-                packed, decoded = b"".join(ids), encoder.decode(ids)
-                row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                for column, x in zip(out, (*row, *((np.frombuffer(packed, "<u4").astype(np.int64), decoded) if full else ())), strict=True):
+            for packed in encoder.encode_all(t.as_py() or "" for t in batch.column("text")):
+                ids = np.frombuffer(packed, "<u4")
+                decoded = encoder.decode(ids.tolist())
+                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                for column, x in zip(out, (*row, *((ids.astype(np.int64), decoded) if full else ())), strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.string(), pa.string(), *(k for _, k in more)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(k for k, _ in more)]

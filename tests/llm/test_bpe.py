@@ -85,3 +85,26 @@ def test_every_code_point_equals_the_library():
             text = "\n".join(forms[at : at + 32])
             ids = np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             assert b"".join(own.encode(text)) == ids, [f for f in forms[at : at + 32] if b"".join(own.encode(f)) != np.array(lib.encode(f, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_merging_many_at_once_equals_one_by_one(monkeypatch):
+    tok = bpe.load_tokenizer(bpe.tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abetnhioß中🙂") for _ in range(rng.randint(1, 48))) for _ in range(2_000)] + ["a", "x" * 62, "x" * 63, "é" * 48]
+    merger, one = bpe.Merger(tok), lambda w: np.array(bpe.merge_symbols(tok.symbols(w), tok.merges), "<u4").tobytes()
+    monkeypatch.setattr(merger, "one", lambda w: one(w) if len(w.encode()) > 62 else pytest.fail(f"{w} was merged alone"))
+    assert merger.merged(words) == {w: one(w) for w in words}
+
+
+def test_white_space_becomes_one_space():
+    for text in ["", " ", "\t\n", " a", "a ", "a\u2003\x85 b\n", "a\x1c b", "\x1f", "\u200b a"]:
+        assert bpe.one_space(text) == bpe.regex.sub(r"\s+", " ", text)
+
+
+def test_a_full_cache_gives_the_same_ids(monkeypatch):
+    tok = bpe.load_tokenizer(bpe.tokenizer_path("word_bpe_49k.json"))
+    rows = [t or "" for t in texts()]
+    want = [*bpe.Encoder(tok).encode_all(rows)]
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
+    assert [*bpe.Encoder(tok).encode_all(rows)] == want == [b"".join(bpe.Encoder(tok).encode(t)) for t in rows[:20]] + want[20:]
