@@ -283,17 +283,19 @@ class _Unicode:
     """How the library's Unicode versions differ from those of this Python and of ``regex``."""
 
     def __init__(self) -> None:
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        own, more = {}, {"L": _points(LETTERS_16), "N": _points(NUMBERS_16)}
-        # A later Python may know more than Unicode 16: what it added in between is no letter to the library.
-        for kind, added in more.items():
-            known = {ord(c) for c in every if unicodedata.category(c)[0] == kind} if unicodedata.unidata_version < "17" else set()
-            found = {ord(c) for c in regex.findall(rf"\p{{{kind}}}", every)}
-            if not known:
-                raise RuntimeError("Unicode 17 or later: fix the letters and numbers of Unicode 16 here")
-            own[kind] = found - known - added
-            if lacking := (known | added) - found:
-                raise RuntimeError(f"regex is older than Unicode 16: {len(lacking)} characters")
+        if unicodedata.unidata_version >= "17":
+            raise RuntimeError("Unicode 17 or later: fix the letters and numbers of Unicode 16 here")
+        own, more, lacking = {"L": set(), "N": set()}, {"L": _points(LETTERS_16), "N": _points(NUMBERS_16)}, 0
+        # A later Python may know more than Unicode 16: what it added in between is no letter to the library. By blocks, so that the driver never holds all code points.
+        for at in range(0, 0x110000, 0x800):
+            block = "" if 0xD800 <= at < 0xE000 else "".join(map(chr, range(at, at + 0x800)))
+            for kind, added in more.items():
+                known = {ord(c) for c in block if unicodedata.category(c)[0] == kind} | {c for c in added if at <= c < at + 0x800}
+                found = {ord(c) for c in regex.findall(rf"\p{{{kind}}}", block)}
+                own[kind] |= found - known
+                lacking += len(known - found)
+        if lacking:
+            raise RuntimeError(f"regex is older than Unicode 16: {lacking} characters")
         #: Characters that send a text the slow way.
         self.odd = frozenset(chr(c) for c in {*own["L"], *own["N"], *_points(LATER_MARKS), *LATER_CAPITALS})
         self.classes = {rf"\p{{{k}}}": rf"[\p{{{k}}}--[{''.join(map(regex.escape, map(chr, sorted(v))))}]]" if v else rf"\p{{{k}}}" for k, v in own.items()}

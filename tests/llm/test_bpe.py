@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -108,3 +109,11 @@ def test_a_full_cache_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
     monkeypatch.setattr(bpe, "AT_ONCE", 100)
     assert [*bpe.Encoder(tok).encode_all(rows)] == want == [b"".join(bpe.Encoder(tok).encode(t)) for t in rows[:20]] + want[20:]
+
+
+def test_unicode_tables_never_hold_all_code_points():
+    tracemalloc.start()
+    bpe._Unicode()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stratalist.llm import near_dedup as nd
@@ -161,3 +162,10 @@ def test_repeated_and_missing_ids_with_several_texts(spark):
     assert kept.columns == docs.columns
     texts = sorted((r.text or "", r.own_0) for r in kept.collect())
     assert len(texts) == 5 and {one, two, "", "own words " * 9} <= {t for t, _ in texts}
+
+
+def test_workers_look_at_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"text": [f"t{i}" for i in range(1300)]})
+    parts = [*nd._parts([batch, batch.slice(0, 0)])]
+    assert max(p.num_rows for p in parts) <= nd.AT_ONCE < 1300
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
