@@ -73,3 +73,19 @@ def test_orders(spark):
     at = datetime(2026, 1, 1)
     applied = spark.createDataFrame([("a", at, None), ("b", at, at), ("c", at, None), ("c", at, None)], "category string, applied_at timestamp_ntz, interview_at timestamp_ntz").withColumns({"offer_at": F.lit(None).cast("timestamp_ntz"), "rejected_at": F.lit(None).cast("timestamp_ntz")})
     assert [r.category for r in analytics.outcome_insights(applied).collect()] == ["b", "c", "a"]
+
+
+def test_pairs_are_intersected_once_and_stand_on_axes_by_row(spark):
+    from stratalist.functions import text
+
+    assert str(text.jaccard(F.col("a"), F.col("b"))).count("array_intersect") == 1
+    score = str(resolve.pair_score(resolve.side("a"), resolve.side("b")))
+    assert score.count("shingles") == str(text.jaccard(F.col("a.shingles"), F.col("b.shingles"))).count("shingles") + 2
+    assert "array_intersect" not in str(resolve.axes_veto(resolve.side("a"), resolve.side("b")))
+    tags = [[], ["summer"], ["fall", "design"], ["design"], ["design", "fall"], ["phd"], None]
+    place = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("city", "state", "country", "metro")], F.lit(False).alias("remote"), F.lit("").alias("key"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, discriminators array<string>").withColumns({c: F.lit("x") for c in ("company_slug", "requisition_id", "ats_identity", "source", "canonical_url", "employment_type")} | {"location": place})
+    rows = resolve.with_axes(rows)
+    a, b = resolve.side("a"), resolve.side("b")
+    both = rows.alias("a").crossJoin(rows.alias("b")).select(resolve.merge_veto(a, b).alias("x"), resolve.axes_veto(a, b).alias("y")).collect()
+    assert all(r.x == r.y for r in both) and any(r.x for r in both)
