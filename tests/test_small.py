@@ -89,3 +89,14 @@ def test_pairs_are_intersected_once_and_stand_on_axes_by_row(spark):
     a, b = resolve.side("a"), resolve.side("b")
     both = rows.alias("a").crossJoin(rows.alias("b")).select(resolve.merge_veto(a, b).alias("x"), resolve.axes_veto(a, b).alias("y")).collect()
     assert all(r.x == r.y for r in both) and any(r.x for r in both)
+
+
+def test_unlike_sets_of_a_rare_token_are_not_compared_in_full(spark, monkeypatch):
+    kept, write = {}, resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    own = lambda i, n: [f"w{i}_{j}" for j in range(n)]
+    often = [f"often{j}" for j in range(40)]
+    # Sets of 140 tokens with 40 frequent ones and one that only some of them have; 30 and 31 share 100 of 140, and 32 and 33 one less than enough.
+    rows = [(i, [f"rare{i // 5}", *often, *own(i, 99)]) for i in range(30)] + [(30, own(30, 140)), (31, own(30, 100) + own(31, 40)), (32, own(32, 140)), (33, own(32, 97) + own(33, 43))]
+    got = [(r.left, r.right, r.score) for r in resolve.similar_sets(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t").collect()]
+    assert got == [(30, 31, 100 / 140)] and kept["pairs"].count() <= 2
