@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.facts import country_code
 from ..functions.text import role_affinity, words_array
+from ..storage import materialize
 
 # Weights, bands and steps of the score.
 WEIGHTS = {"role_match": 25.0, "technical_skills": 25.0, "candidate_fit": 15.0, "location": 10.0, "company_preference": 5.0, "freshness": 10.0, "internship_constraints": 10.0}
@@ -230,8 +231,10 @@ def explanations(components: dict[str, Column], role: Column) -> tuple[Column, C
 def model_blend(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], budget: int, least: float = 60.0) -> DataFrame:
     """The score moved by a model's relevance (0 to 1) on the best rows: at most ``budget`` of those that score ``least`` or more are asked about.
 
-    judge: (job_id, score) to (job_id, relevance); rows that it says nothing about keep their score.
+    judge: (job_id, score) to (job_id, relevance); rows that it says nothing about keep their score. The rows are written once, since they are
+    read for the best and for the result.
     """
+    rows = materialize(rows, "scored")
     asked = rows.where(F.col("score") >= least).orderBy(F.desc("score"), "job_id").limit(budget)
     said = judge(asked.select("job_id", "score")).select("job_id", "relevance")
     both = rows.join(said, "job_id", "left")
