@@ -103,6 +103,24 @@ def test_roles_of_a_title_are_read_once(spark):
     assert plan_of(score_queries.score_explained(spark, "/root/testdata/sf0.001")).count("regexp_replace(translate(") == 1
 
 
+def test_shingles_are_no_column_functions_and_salaries_are_searched_once(spark):
+    from stratalist.plans import text_queries
+
+    sf = "/root/testdata/sf0.001"
+    assert plan_of(text_queries.shingle_set(spark, sf)).count("transform(") == 0
+    plan = plan_of(text_queries.fact_salary(spark, sf))
+    assert plan.count("regexp_extract_all(") == 1 and "try_cast(regexp_replace(regexp_extract" in plan and "CASE WHEN NOT (regexp_extract" in plan
+    df = spark.createDataFrame([("a b c d e a b c d e",), ("é " * 7,), (None,), ("",), (" ".join(str(i) for i in range(155)),)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(text.grams_of()(F.col("t"))).collect()]
+    assert [None if g is None else (g.n, len(g.lowest)) for g in got] == [(5, 5), (1, 1), None, (0, 0), (151, 150)] and got[0].lowest == ["a b c d e", "b c d e a", "c d e a b", "d e a b c", "e a b c d"]
+
+
+def test_rows_are_scored_once_for_the_model(spark):
+    from stratalist.plans import score_queries
+
+    assert plan_of(score_queries.score_with_model(spark, "/root/testdata/sf0.001")).count("regexp_replace(translate(") == 0
+
+
 def test_texts_are_lowered_once_for_all_skills(spark):
     words = ["c", "C programming", "in C.", "go", "Golang", "go language", "RF design", "radio  frequency", "arm", "cortex-m", "low-power design", "power", "git", "digit", "git+", "x.sql,", "FreeRTOS", "c/c++", "embedded c", ""]
     texts = [f"{a} {b}" for a in words for b in words] + [None]
