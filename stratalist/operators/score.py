@@ -120,8 +120,9 @@ def company_preference(slug: Column, prefs: Preferences, text: Column | None = N
     """text: company and description in lower case, of which the first 2000 characters are searched for whole words of an industry."""
     out = F.when(slug.isin(prefs.preferred), 100.0) if prefs.preferred else F.when(F.lit(False), 100.0)
     if text is not None and prefs.industries:
-        words = "|".join(rf"\Q{x.lower()}\E" for x in prefs.industries)
-        out = out.when(F.substring(text, 1, 2000).rlike(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])"), 75.0)
+        words, head = "|".join(rf"\Q{x.lower()}\E" for x in prefs.industries), F.substring(text, 1, 2000)
+        # The pattern looks behind itself at every character, so it is tried only where a word is found at all.
+        out = out.when((_hits(head, prefs.industries) > 0) & head.rlike(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])"), 75.0)
     return out.otherwise(50.0)
 
 

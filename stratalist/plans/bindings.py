@@ -20,7 +20,8 @@ USER = 7
 STATUS_OF = {"view": "new", "click": "saved", "purchase": "applied", "error": "dismissed", "signup": "interview"}
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jobs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """more: columns of orders that come along as they are."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     # Companies and places are dimension tables; Spark broadcasts them when their size is small.
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
@@ -34,7 +35,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 5 > 0).alias("deadline_is_explicit"),
         F.when(F.col("o_orderpriority") == "5-LOW", "internship").when(F.col("o_orderpriority") == "2-HIGH", "full_time").otherwise("unknown").alias("employment_type"),
         F.when(F.col("o_orderstatus") == "P", "remote").otherwise("onsite").alias("remote_status"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("salary_min"),
-        F.when(F.col("o_custkey") % 4 == 0, "updated").otherwise("new").alias("freshness"),
+        F.when(F.col("o_custkey") % 4 == 0, "updated").otherwise("new").alias("freshness"), *more,
     )
 
 
@@ -88,7 +89,7 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id and the sorted distinct part types of its listings."""
     item, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     rows = item.join(p, item["l_partkey"] == p["p_partkey"])
-    return rows.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.array_sort(F.collect_set("p_type")).alias("skills"))
+    return rows.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.sort_array(F.collect_set("p_type")).alias("skills"))
 
 
 SKILLS_SQL = "skills AS (SELECT l_orderkey AS job_id, list_sort(list(DISTINCT p_type)) AS skills FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"

@@ -33,9 +33,7 @@ PREFS = score.Preferences(
 
 def _inputs(spark, sf):
     """Jobs with the facts that the components look at, all from the row of the order and the parts of its lines."""
-    j = b.jobs(spark, sf).join(b.skills(spark, sf), "job_id")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey")
-    j = j.join(o, "job_id")
+    j = b.jobs(spark, sf, "o_custkey").join(b.skills(spark, sf), "job_id")
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
     custkey = F.col("o_custkey")
     return j.withColumns({

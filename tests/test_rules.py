@@ -103,6 +103,18 @@ def test_roles_of_a_title_are_read_once(spark):
     assert plan_of(score_queries.score_explained(spark, "/root/testdata/sf0.001")).count("regexp_replace(translate(") == 1
 
 
+def test_orders_are_read_once_and_titles_are_searched_without_a_negated_class(spark):
+    from stratalist.plans import score_queries
+
+    plan = plan_of(score_queries.score_explained(spark, "/root/testdata/sf0.001"))
+    assert plan.count("o_orderkey#") and plan.count("Relation [o_orderkey") == 1 and "[^a-z0-9+#. ]" not in plan and "array_sort(" not in plan
+    titles = ["Hardware / Design, (intern) C++ C# Node.js", "a\U0001f600b \n c\u00e9", "x) y (z", "(a) [b", "", None, "AB-12345 Systems Engineering\tteam", "building", "rebuilding a building", "rebuilding"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").coalesce(1)
+    got = df.select(text.title_core(F.col("t")).alias("c"), text.role_tokens(text.title_core(F.col("t"))).alias("k"), score.company_preference(F.lit("x"), score.Preferences(industries=["Building", "sales"]), F.col("t")).alias("p")).collect()
+    assert [r.c for r in got] == ["hardware design c++ c# node.js", "a b ce", "x y z", "b", "", "", "systems engineering team", "building", "rebuilding a building", "rebuilding"]
+    assert [r.k for r in got][0] == ["hardware", "design", "c++", "c#", "node.js"] and got[6].k == ["system", "engineer", "team"] and [r.p for r in got] == [50.0] * 7 + [75.0, 75.0, 50.0]
+
+
 def test_shingles_are_no_column_functions_and_salaries_are_searched_once(spark):
     from stratalist.plans import text_queries
 
