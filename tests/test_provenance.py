@@ -154,3 +154,28 @@ def test_listings_with_an_adjudicator(spark):
     clusters, methods, records = pv.resolve_with_records(df, "node", ask=same, budget=1)
     assert {r.node: r.cluster_id for r in clusters.collect()}[3] == 0 and {r.node: r.method for r in methods.collect()}[3] == "llm"
     assert not [r for r in records.collect() if r.verdict == "uncertain"]  # the one answer joined all that was in doubt
+
+
+def test_stars_of_the_first_stage_need_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(pv, "connected_components", lambda *a, own=pv.connected_components: rounds.append(1) or own(*a))
+    stars = [(h, h + i, "exact_id", 1.0, (0, h + i, 0, 0), "link", "") for h in (0, 10, 20) for i in (1, 2, 3)]
+    more = [(3, 12, "fingerprint", 0.95, (3, 3, 12, 0), "link", ""), (1, 11, "content_hash", 0.97, (4, 1, 11, 0), "link", "")]
+    doubts = [(1, 2, "fingerprint", 0.0, (3, 1, 2, 0), "different", "r"), (2, 13, "fingerprint", 0.0, (3, 2, 13, 0), "different", "r"), (2, 13, "content_hash", 0.0, (4, 2, 13, 0), "different", "r"), (1, 22, "content_hash", 0.0, (4, 1, 22, 0), "different", "r")]
+    nodes = spark.range(25).withColumnRenamed("id", "n")
+    for rows, least in ((stars, 0), (stars + more + doubts, 1)):
+        rounds.clear()
+        want, records = sequential(rows)
+        links, asked = frames(spark, rows)
+        methods, found = pv.trace(nodes, "n", links, asked)
+        assert len(rounds) == least
+        assert {r.n: (r.method, r.confidence) for r in methods.collect()} == {i: want.get(i, ("primary", 1.0)) for i in range(25)} and told(found) == records
+
+
+def test_methods_do_without_the_doubts(spark):
+    listings = _listings(spark, "/root/testdata/sf0.001")
+    links, doubts = pv.evidence(listings, "node", similar=False, doubted=False)
+    both = pv.evidence(listings, "node", similar=False)
+    assert doubts is None and sorted(map(tuple, links.collect())) == sorted(map(tuple, both[0].collect()))
+    forest = pv.spanning_forest(links)[0]
+    assert sorted(map(tuple, pv.methods(listings, "node", forest).collect())) == sorted(map(tuple, pv.trace(listings, "node", *both)[0].collect()))
