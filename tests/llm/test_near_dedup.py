@@ -169,3 +169,12 @@ def test_workers_look_at_few_rows_at_a_time():
     parts = [*nd._parts([batch, batch.slice(0, 0)])]
     assert max(p.num_rows for p in parts) <= nd.AT_ONCE < 1300
     assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+
+
+def test_band_keys_are_not_broadcast(spark, monkeypatch):
+    plans, keep = {}, nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    rows = [(i, " ".join(f"w{i // 2 * 40 + j}" for j in range(40))) for i in range(20)]
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(20)}
+    assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
