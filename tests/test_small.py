@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
+import zlib
 from datetime import datetime
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stratalist.functions import text
-from stratalist.operators import analytics, discovery, normalize, resolve
+from stratalist.operators import analytics, discovery, normalize, overlap, resolve
 from stratalist.sources import payloads
 from stratalist.streaming import incremental
 
@@ -100,3 +105,46 @@ def test_unlike_sets_of_a_rare_token_are_not_compared_in_full(spark, monkeypatch
     rows = [(i, [f"rare{i // 5}", *often, *own(i, 99)]) for i in range(30)] + [(30, own(30, 140)), (31, own(30, 100) + own(31, 40)), (32, own(32, 140)), (33, own(32, 97) + own(33, 43))]
     got = [(r.left, r.right, r.score) for r in resolve.similar_sets(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t").collect()]
     assert got == [(30, 31, 100 / 140)] and kept["pairs"].count() <= 2
+
+
+def test_candidates_of_similar_sets_are_not_dealt_out(spark, monkeypatch):
+    plans, keep = {}, resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    # One set of 200 rows, which end up in several partitions, and three that share 9, 8 and 6 of its 10 tokens.
+    word = lambda i: f"w{i:02}"
+    rows = [(i, [*map(word, range(10))]) for i in range(10, 210)] + [(1, [*map(word, range(9)), "x"]), (500, [*map(word, range(8)), "y", "z"]), (600, [*map(word, range(6)), *"abcd"]), (None, ["w00"]), (700, []), (701, None)]
+    got = {(r.left, r.right): r.score for r in resolve.similar_sets(spark.createDataFrame(rows, "id long, t array<string>").repartition(7), "id", "t").collect()}
+    assert got == {(10, i): 1.0 for i in range(11, 210)} | {(1, 10): 0.9, (10, 500): 0.8, (1, 500): 0.8}
+    assert "Join" not in plans["pairs"] and "Exchange" not in plans["pairs"]
+
+
+def test_sets_in_blocks_equal_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for name, value in (("AT_ONCE", 300), ("BYTES", 2500), ("SETS", 40)):
+        monkeypatch.setattr(overlap, name, value)
+    sets = [sorted({f"t{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randint(1, 70))}) for _ in range(150)]
+    for _ in range(60):  # near copies, some of which only just share enough
+        of = rng.choice(sets[:12])
+        sets.append(sorted({w if rng.random() < 0.85 else f"n{rng.randrange(10**6)}" for w in of}))
+    sets = sorted({tuple(x) for x in sets}, key=lambda x: (len(x), x))
+    hashes = [[zlib.crc32(w.encode()) * 7919 for w in x] for x in sets]
+    counts = np.bincount(np.concatenate(hashes) % overlap.COUNTED, minlength=overlap.COUNTED)
+    given = pa.RecordBatch.from_pydict({"node": [*range(len(sets))], "n": [*map(len, sets)], "set": [" ".join(x) for x in sets], "words": [" ".join(x) for x in sets], "hashes": hashes})
+    monkeypatch.setattr(overlap.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rows = pa.Table.from_batches(overlap.placed(lambda: counts, 70)(iter([given.slice(0, 0), given.slice(0, 50), given.slice(49)])))
+    assert rows.column("node").to_pylist() == [*range(len(sets))]  # the repeated row is no second set
+    of = rows.to_pandas()
+    pieces = [(x.place.min(), x.place.max(), x.n.min(), x.n.max(), x.words.map(len).sum(), len(x)) for _, x in of.groupby("piece")]
+    cut = overlap.blocks(pieces)
+    assert len(pieces) > len(cut) > 4 and all(((of.place >= a) & (of.place <= b)).sum() <= 40 for a, b, _, _ in cut)
+    got = {}
+    for first, last, low, high in cut:
+        block = overlap.Block.of(rows.filter(pa.array((of.place >= first) & (of.place <= last))))
+        like = rows.filter(pa.array((of.place > first) & (of.n >= -(-70 * low // 100)) & (of.n <= 100 * high // 70)))
+        for found in overlap.matched(lambda b=block: b, 70, 0.7)(iter(like.to_batches())):
+            pairs = [*zip(*(c.to_pylist() for c in found.columns), strict=True)]
+            assert not any((a, b) in got for a, b, _ in pairs)
+            got |= {(a, b): s for a, b, s in pairs}
+    share = lambda a, b: len({*a} & {*b}) / max(len(a), len(b))
+    assert got == {(i, j): s for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if (s := share(a, b)) >= 0.7} and len(got) > 60
+    assert any(s == 0.7 for s in got.values()) and overlap.repeated([(5, "a", "b"), (9, "b", "b"), (12, "b", "c"), (20, "d", "d")]) == [9, 12]
